@@ -28,7 +28,7 @@ from scriptoria.llm.common import U, mix
 from scriptoria.llm.mixing import source_key
 from scriptoria.session import spread
 
-MOST_LABELLED = 4000  # labelled documents of either class that the models are fitted on
+MOST_LABELLED = 2000  # labelled documents of either class that the models are fitted on
 DISCOUNT = 0.75
 LENGTH_PRIOR = 2.0  # words added to a sentence's length before normalising
 THRESHOLD = 0.5

@@ -6,11 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.functions.labels import canonical_label, not_blank
-from scriptoria.llm import abuse, leaks, mixing, near, overlap, pairs, quotas, truncation
+from scriptoria.llm import abuse, leaks, mixing, near, overlap, pairs, quotas, scans, truncation
 from scriptoria.session import cut, table
 
 SIMILAR, SHINGLE = 0.6, 3  # "alike" in this project's data
 
+# --- 1: noise from scanned pages
+
+
+def _scans(spark: SparkSession, d: str) -> scans.Repaired:
+    return scans.Repaired(table(spark, d, "txt_opendataloader"), table(spark, d, "dataset_atti"), "testo_completo_llm")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with a defect and its kind."""
+    return _scans(spark, d).found()
+
+
+def p1_text(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired texts, a paragraph a line."""
+    return _scans(spark, d).text()
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Texts and lines with each kind of defect."""
+    return _scans(spark, d).found().groupBy("difetto").agg(F.countDistinct("txt_id").alias("testi"), F.count(F.lit(1)).alias("linee"))
+
+
 # --- 2: cut texts
 
 
@@ -201,7 +223,7 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_report, p3_found, p3_sample, p3_report, p4_found, p4_report, p5_found, p5_report, p6_found, p6_groups,
+        p1_found, p1_text, p1_report, p2_found, p2_report, p3_found, p3_sample, p3_report, p4_found, p4_report, p5_found, p5_report, p6_found, p6_groups,
         p8_found, p8_report, p9_found, p9_mix, p9_shares, p10_found, p10_scores, p10_report,
     )
 }
