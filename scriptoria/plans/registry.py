@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from scriptoria.operators import parsing
+from scriptoria.operators import parsing, textops
 
-MODULES = (parsing,)
+MODULES = (textops, parsing)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
