@@ -99,6 +99,12 @@ def text_of(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once. Inside a lambda of a higher-order
+    function nothing shares equal subexpressions, so what is used often is bound."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -122,7 +128,7 @@ def preclean(c: Column) -> Column:
     bars, dots and dashes blanked."""
     t = F.translate(text_of(c), "\r\t" + LINE_ENDS, "\n " + "\n" * len(LINE_ENDS))
     lines = F.transform(F.split(t, "\n"), collapse)
-    kept = F.filter(lines, lambda x: (F.length(x) > 0) & ~((letters(x) < 3) & (symbols(x) > letters(x))))
+    kept = F.filter(lines, lambda x: (F.length(x) > 0) & let(letters(x), lambda n: ~((n < 3) & (symbols(x) > n))))
 
     def rulers(x: Column) -> Column:
         for p in (r"[|_]{3,}", r"\.{5,}", r"[-=]{5,}"):
@@ -141,13 +147,18 @@ def rfind(c: Column, part: str) -> Column:
 def truncate_unit(c: Column, most: int | Column) -> Column:
     """Text longer than ``most`` cut after its last logical unit inside the window,
     else after its last space, else at ``most`` + 1; a dangling mark becomes a stop."""
-    t, most = text_of(c), F.lit(most) if isinstance(most, int) else most
-    win = F.substring(t, F.lit(1), most)
-    cut = F.greatest(*[rfind(win, p) for p in UNIT_ENDS])
-    cut = F.when(cut < F.floor(most * 0.75), rfind(win, " ")).otherwise(cut)
-    cut = F.when(cut <= 0, most).otherwise(cut)
-    short = strip(F.substring(t, F.lit(1), (cut + 1).cast("int")))
-    return F.when(F.length(t) <= most, t).otherwise(strip(F.regexp_replace(short, r"(?U)[,;:\-\s]+$", ".")))
+    most = F.lit(most) if isinstance(most, int) else most
+
+    def cut_in(win: Column) -> Column:
+        unit = lambda cut: F.when(cut < F.floor(most * 0.75), rfind(win, " ")).otherwise(cut)
+        at = let(let(F.greatest(*[rfind(win, p) for p in UNIT_ENDS]), unit), lambda cut: F.when(cut <= 0, most).otherwise(cut))
+        return at + 1
+
+    def shorten(t: Column) -> Column:
+        end = let(F.substring(t, F.lit(1), most), cut_in).cast("int")
+        return strip(F.regexp_replace(strip(F.substring(t, F.lit(1), end)), r"(?U)[,;:\-\s]+$", "."))
+
+    return let(text_of(c), lambda t: F.when(F.length(t) <= most, t).otherwise(shorten(t)))
 
 
 def token_estimate(c: Column) -> Column:
@@ -167,18 +178,20 @@ def output_clean(c: Column) -> Column:
 
 def quality(c: Column, keywords: Sequence[str] = KEYWORDS) -> Column:
     """0 to 100 from length, share of letters, share of symbols, keywords, digits."""
-    t = collapse(c)
-    n = F.greatest(F.length(t), F.lit(1))
-    low = F.lower(t)
-    hits = sum((low.contains(k).cast("int") for k in keywords), F.lit(0))
-    score = (
-        F.least(F.lit(40), F.floor(F.length(t) / 80))
-        + F.least(F.lit(25), F.floor(letters(t) / n * 100 / 2.5))
-        - F.least(F.lit(20), F.floor(symbols(t) / n * 100))
-        + F.least(F.lit(20), hits * 4)
-        + F.when(t.rlike(r"(?U)\d"), 5).otherwise(0)
-    )
-    return F.when(F.length(t) == 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score))).cast("bigint")
+
+    def score(t: Column) -> Column:
+        n = F.greatest(F.length(t), F.lit(1))
+        hits = let(F.lower(t), lambda low: sum((low.contains(k).cast("int") for k in keywords), F.lit(0)))
+        points = (
+            F.least(F.lit(40), F.floor(F.length(t) / 80))
+            + F.least(F.lit(25), F.floor(letters(t) / n * 100 / 2.5))
+            - F.least(F.lit(20), F.floor(symbols(t) / n * 100))
+            + F.least(F.lit(20), hits * 4)
+            + F.when(t.rlike(r"(?U)\d"), 5).otherwise(0)
+        )
+        return F.when(F.length(t) == 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), points)))
+
+    return let(collapse(c), score).cast("bigint")
 
 
 def sufficient(c: Column, least_length: int = 500, least_score: int = 75, keywords: Sequence[str] = KEYWORDS) -> Column:
@@ -188,8 +201,8 @@ def sufficient(c: Column, least_length: int = 500, least_score: int = 75, keywor
 
 def noisy(c: Column) -> Column:
     """Surely noise: empty, of a noise pattern, or more symbols than its few letters."""
-    b = strip(F.lower(text_of(c)))
-    return (F.length(b) == 0) | b.rlike(_any(NOISE)) | ((letters(b) < 8) & (symbols(b) > letters(b)))
+    few = lambda b: let(letters(b), lambda n: (n < 8) & (symbols(b) > n))
+    return let(strip(F.lower(text_of(c))), lambda b: (F.length(b) == 0) | b.rlike(_any(NOISE)) | few(b))
 
 
 def blocks(c: Column, separator: str = r"(?U)\n\s*\n+") -> Column:
@@ -201,15 +214,16 @@ def blocks(c: Column, separator: str = r"(?U)\n\s*\n+") -> Column:
 def select_blocks(c: Column, most: int | Column | None = 1000, separator: str = r"(?U)\n\s*\n+", least_score: int = 75) -> Column:
     """P10: blocks that are no noise and stand first, match a useful pattern or are long
     and good; the first eight where none is left; cut to ``most``."""
-    all_ = blocks(c, separator)
 
     def keep(b: Column, i: Column) -> Column:
-        flat = collapse(b)
-        good = (i < 4) | F.lower(flat).rlike(_any(USEFUL)) | ((F.length(flat) > 350) & (quality(flat) >= least_score))
-        return ~noisy(flat) & good
+        good = lambda flat: (i < 4) | F.lower(flat).rlike(_any(USEFUL)) | ((F.length(flat) > 350) & (quality(flat) >= least_score))
+        return let(collapse(b), lambda flat: ~noisy(flat) & good(flat))
+
+    def join(all_: Column) -> Column:
+        useful = F.filter(all_, keep)
+        return let(useful, lambda u: strip(F.array_join(F.when(F.size(u) > 0, u).otherwise(F.slice(all_, 1, 8)), "\n\n")))
 
-    useful = F.filter(all_, keep)
-    text = strip(F.array_join(F.when(F.size(useful) > 0, useful).otherwise(F.slice(all_, 1, 8)), "\n\n"))
+    text = let(blocks(c, separator), join)
     return text if most is None else truncate_unit(text, most)
 
 
@@ -221,13 +235,18 @@ def signature(b: Column) -> Column:
 def filter_blocks(c: Column, most: int | Column | None = 750, most_blocks: int = 3, separator: str = r"(?U)\n\s*\n+") -> Column:
     """Of the distinct blocks without noise the first two, then only ones that name
     the subject, ``most_blocks`` in all; the first ones where none is left; cut to ``most``."""
-    all_ = blocks(c, separator)
-    clean = F.filter(all_, lambda b: ~noisy(collapse(b)) & ~F.lower(collapse(b)).rlike(_any(DISCARD)))
-    marks = F.transform(clean, signature)
-    once = F.filter(clean, lambda b, i: F.array_position(marks, signature(b)) == i + 1)
-    rest = F.filter(F.slice(once, 3, 1_000_000), lambda b: F.lower(collapse(b)).rlike(r"(?U)\boggetto\b"))
-    kept = F.concat(F.slice(once, 1, min(2, most_blocks)), F.slice(rest, 1, max(0, most_blocks - 2)))
-    text = strip(F.array_join(F.when(F.size(kept) > 0, kept).otherwise(F.slice(all_, 1, most_blocks)), "\n\n"))
+
+    def join(all_: Column) -> Column:
+        clean = F.filter(all_, lambda b: let(collapse(b), lambda flat: ~noisy(flat) & ~F.lower(flat).rlike(_any(DISCARD))))
+        marked = F.transform(clean, lambda b: F.struct(b.alias("b"), signature(b).alias("s")))
+        once = let(marked, lambda m: let(m["s"], lambda s: F.filter(m, lambda x, i: F.array_position(s, x["s"]) == i + 1))["b"])
+        return let(let(once, pick), lambda kept: strip(F.array_join(F.when(F.size(kept) > 0, kept).otherwise(F.slice(all_, 1, most_blocks)), "\n\n")))
+
+    def pick(once: Column) -> Column:
+        rest = F.filter(F.slice(once, 3, 1_000_000), lambda b: F.lower(collapse(b)).rlike(r"(?U)\boggetto\b"))
+        return F.concat(F.slice(once, 1, min(2, most_blocks)), F.slice(rest, 1, max(0, most_blocks - 2)))
+
+    text = let(blocks(c, separator), join)
     return text if most is None else truncate_unit(text, most)
 
 
@@ -257,28 +276,32 @@ def chunks(c: Column, most: int = 1000, overlap: int = 0) -> Column:
     """Greedy pieces of at most ``most`` characters, each ended after its last line
     feed, ". " or "; " if that lies beyond 65 % of the window. Cut points depend on one
     another, so they fold over as many steps as the text can need."""
-    t = strip(text_of(c))
-    n = F.length(t)
+    least_step = max(1, int(most * 0.65) + 1 - overlap)
 
-    def end_of(start: Column) -> Column:
-        stop = F.least(start + most, n)
-        win = F.substring(t, start + 1, stop - start)
-        cut = F.greatest(*[rfind(win, p) for p in ("\n", ". ", "; ")])
-        return F.when((stop < n) & (cut > most * 0.65), start + cut + 1).otherwise(stop).cast("int")
+    def end_of(t: Column, start: Column) -> Column:
+        stop = F.least(start + most, F.length(t))
 
-    least_step = max(1, int(most * 0.65) + 1 - overlap)
-    steps = F.sequence(F.lit(1), F.ceil(n / least_step).cast("int") + 1)
-    empty = F.struct(F.lit(0).cast("int").alias("start"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, _: Column) -> Column:
-        end = end_of(s["start"])
-        piece = strip(F.substring(t, s["start"] + 1, end - s["start"]))
-        done = s["done"] | (end >= n)
-        return F.struct(
-            F.when(s["done"], s["start"]).otherwise(F.greatest(F.lit(0), end - overlap)).cast("int").alias("start"),
-            done.alias("done"),
-            F.when(s["done"], s["out"]).otherwise(F.concat(s["out"], F.array(piece))).alias("out"),
-        )
+        def cut(win: Column) -> Column:
+            last = F.greatest(*[rfind(win, p) for p in ("\n", ". ", "; ")])
+            return let(last, lambda x: F.when((stop < F.length(t)) & (x > most * 0.65), start + x + 1).otherwise(stop))
+
+        return let(F.substring(t, start + 1, stop - start), cut).cast("int")
+
+    def pieces(t: Column) -> Column:
+        empty = F.struct(F.lit(0).cast("int").alias("start"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
+
+        def step(s: Column, _: Column) -> Column:
+            def go_on(end: Column) -> Column:
+                return F.struct(
+                    F.greatest(F.lit(0), end - overlap).cast("int").alias("start"),
+                    (end >= F.length(t)).alias("done"),
+                    F.concat(s["out"], F.array(strip(F.substring(t, s["start"] + 1, end - s["start"])))).alias("out"),
+                )
+
+            return F.when(s["done"], s).otherwise(let(end_of(t, s["start"]), go_on))
+
+        steps = F.sequence(F.lit(1), F.ceil(F.length(t) / least_step).cast("int") + 1)
+        many = F.filter(F.aggregate(steps, empty, step)["out"], lambda x: F.length(x) > 0)
+        return F.when(F.length(t) <= most, F.array(t)).otherwise(many)
 
-    many = F.filter(F.aggregate(steps, empty, step)["out"], lambda x: F.length(x) > 0)
-    return F.when(n <= most, F.array(t)).otherwise(many)
+    return let(strip(text_of(c)), pieces)

@@ -9,7 +9,7 @@ from scriptoria.functions import convert as C
 from scriptoria.functions import text as T
 from scriptoria.functions.labels import REJECTED, canonical_label, normalize_label, not_blank
 from scriptoria.plans import sqlkit as Q
-from scriptoria.session import table
+from scriptoria.session import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -28,7 +28,8 @@ def query(sql: str | None = None):
 
 
 def docs(s: SparkSession, d: str, *cols) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", *cols)
+    """Expressions over the documents' text, spread over the cores where files are few."""
+    return spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", *cols)
 
 
 t = "text"
@@ -37,7 +38,8 @@ t = "text"
 @query(f"SELECT lang, count(*) AS n, avg({Q.quality('text')}) AS avg_score, count(*) FILTER (length({Q.collapse('text')}) >= 500 AND {Q.quality('text')} >= 75) AS sufficient FROM documents GROUP BY lang")
 def quality_by_lang(s, d):
     """Flagship: quality, routing flag and counts by language."""
-    x = table(s, d, "documents").select("lang", T.quality(t).alias("score"), T.sufficient(t).alias("ok"))
+    x = spread(table(s, d, "documents").select("lang", "text")).select("lang", T.quality(t).alias("score"), (F.length(T.collapse(t)) >= 500).alias("long"))
+    x = x.withColumn("ok", F.col("long") & (F.col("score") >= 75))
     return x.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("avg_score"), F.count_if("ok").alias("sufficient"))
 
 
@@ -309,7 +311,11 @@ _VARIANTS = (("A", 7, 7, 1000, 2500), ("B", 5, 3, 750, 900), ("VF", 5, 3, 1000,
 )
 def variant_sweep(s, d):
     """The parameter sweep: every variant's limits on every document."""
-    v = F.explode(F.array(*[F.struct(F.lit(k).alias("variante"), F.lit(i).alias("mi"), F.lit(o).alias("mo")) for k, _, _, i, o in _VARIANTS])).alias("v")
-    x = docs(s, d, T.preclean(t).alias("pc")).select("pc", v)
-    x = x.select("v.variante", T.truncate_unit(F.col("pc"), F.col("v.mi")).alias("inp"), T.truncate_unit(F.col("pc"), F.col("v.mo")).alias("outp"))
+    limits = F.array(*[F.struct(F.lit(k).alias("variante"), F.lit(i).alias("mi"), F.lit(o).alias("mo")) for k, _, _, i, o in _VARIANTS])
+
+    def all_(pc):  # the cleaned text is computed once for all variants
+        one = lambda v: F.struct(v["variante"].alias("variante"), T.truncate_unit(pc, v["mi"]).alias("inp"), T.truncate_unit(pc, v["mo"]).alias("outp"))
+        return F.transform(limits, one)
+
+    x = docs(s, d, F.explode(T.let(T.preclean(t), all_)).alias("v")).select("v.*")
     return x.groupBy("variante").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("inp")).alias("media_input"), F.avg(F.length("outp")).alias("media_output"))
