@@ -20,15 +20,17 @@ def seeded(id_: str, seed: int) -> Column:
 
 
 def group_rank(df: DataFrame, group: str, id_: str, seed: int, width: int = 3) -> DataFrame:
-    """``df`` with h (the digest) and rank, 1-based in the order of (h, id) per group;
-    ``width`` hex digits give 16^width buckets a group. Null groups are a group."""
-    x = df.withColumn("h", seeded(id_, seed)).withColumn("__b", F.substring("h", 1, width))
+    """``df`` with __rank, 1-based in the order of (digest, id) per group; ``width`` hex
+    digits give 16^width buckets a group. Null groups are a group, repeated ids are
+    ranked one after the other, an empty table stays empty. Helper columns start with
+    two underscores, so that no column of ``df`` is hidden."""
+    x = df.withColumn("__h", seeded(id_, seed)).withColumn("__b", F.substring("__h", 1, width))
     counts = x.groupBy(group, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.withColumn("__off", F.sum("__n").over(Window.partitionBy(group).orderBy("__b")) - F.col("__n"))
     before = before.select(F.col(group).alias("__g"), F.col("__b").alias("__c"), "__off")
     y = x.join(before, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__c")))
-    local = F.row_number().over(Window.partitionBy(group, "__b").orderBy("h", id_))
-    return y.withColumn("rank", (F.col("__off") + local).cast("bigint")).drop("__b", "__c", "__g", "__off")
+    local = F.row_number().over(Window.partitionBy(group, "__b").orderBy("__h", id_))
+    return y.withColumn("__rank", (F.col("__off") + local).cast("bigint")).drop("__h", "__b", "__c", "__g", "__off")
 
 
 def total_rank(df: DataFrame, *order: Column) -> DataFrame:

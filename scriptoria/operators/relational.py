@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import convert as C
 from scriptoria.functions import text as T
-from scriptoria.functions.labels import LABELS, canonical_label, not_blank
+from scriptoria.functions.labels import canonical_label, not_blank
 from scriptoria.operators.ranking import group_rank, total_rank
-from scriptoria.operators.textops import prepared
 from scriptoria.plans import sqlkit as Q
-from scriptoria.session import cut, table
+from scriptoria.session import table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -81,7 +80,7 @@ SELECT numero, count(*) AS files, string_agg(file_name, ', ' ORDER BY file_name)
 def duplicate_numbers(s, d):
     """Numbers that several file names share."""
     f = table(s, d, "dataset_atti").filter("file_name is not null").select("file_name").distinct().withColumn("numero", C.name_number(F.col("file_name")))
-    return f.filter("numero is not null").groupBy("numero").agg(F.count(F.lit(1)).alias("files"), F.listagg("file_name", F.lit(", ")).alias("nomi0"), F.array_join(F.array_sort(F.collect_list("file_name")), ", ").alias("nomi")).filter("files > 1").drop("nomi0")
+    return f.filter("numero is not null").groupBy("numero").agg(F.count(F.lit(1)).alias("files"), F.array_join(F.array_sort(F.collect_list("file_name")), ", ").alias("nomi")).filter("files > 1")
 
 
 @query(
@@ -326,7 +325,7 @@ def balanced_sample(rows: DataFrame, label: str, id_: str, per_class: int, seed:
     small = rows.groupBy(label).count().filter(F.col("count") < per_class).limit(20).collect()
     if small:
         raise ValueError("classes too small: " + ", ".join(f"{r[0]}: {r[1]}" for r in small))
-    return group_rank(rows, label, id_, seed).filter(F.col("rank") <= per_class).drop("h", "rank")
+    return group_rank(rows, label, id_, seed).filter(F.col("__rank") <= per_class).drop("__rank")
 
 
 @query(f"SELECT riga_id, label FROM {_RANKED} WHERE rank <= 5")
@@ -347,8 +346,8 @@ def stratified_split(rows: DataFrame, label: str, id_: str, share: float = 0.25,
     q = n.withColumn("base", F.floor(exact)).withColumn("part", exact - F.floor(exact))
     left = Window.orderBy(F.desc("part"), F.desc("n"), label)
     spare = F.lit(size) - F.sum("base").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    q = q.withColumn("quota", F.col("base") + (F.row_number().over(left) <= spare).cast("int")).select(F.col(label).alias("__l"), "quota")
-    return ranked.join(F.broadcast(q), F.col(label) == F.col("__l")).withColumn("split", F.when(F.col("rank") <= F.col("quota"), "test").otherwise("train")).drop("h", "rank", "__l", "quota")
+    q = q.withColumn("quota", F.col("base") + (F.row_number().over(left) <= spare).cast("int")).select(F.col(label).alias("__l"), F.col("quota").alias("__quota"))
+    return ranked.join(F.broadcast(q), F.col(label) == F.col("__l")).withColumn("split", F.when(F.col("__rank") <= F.col("__quota"), "test").otherwise("train")).drop("__rank", "__l", "__quota")
 
 
 @query(
@@ -371,8 +370,8 @@ def stratified_folds(s, d):
 
 def folds(rows: DataFrame, label: str, id_: str, most: int = 5, seed: int = SEED) -> DataFrame:
     """``rows`` with fold: as many folds as the smallest class allows, ``most`` at most."""
-    k = rows.groupBy(label).count().agg(F.least(F.lit(most), F.min("count"))).first()[0] or 1
-    return group_rank(rows, label, id_, seed).withColumn("fold", ((F.col("rank") - 1) % F.lit(k)).cast("int")).drop("h", "rank")
+    k = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.least(F.lit(most), F.min("n"))).first()[0] or 1
+    return group_rank(rows, label, id_, seed).withColumn("fold", ((F.col("__rank") - 1) % F.lit(k)).cast("int")).drop("__rank")
 
 
 # --- routing
@@ -423,5 +422,3 @@ def audit_rows(records: DataFrame) -> DataFrame:
         *[pick(c, "string", "") for c in cols], pick("modello", "string", ""), *[pick(c, "bigint", 0) for c in counts], *[pick(c, "double", 0.0) for c in money], F.current_timestamp().alias("timestamp")
     )
 
-
-__all__ = ["LABELS", "prepared", "cut"]

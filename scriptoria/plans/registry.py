@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from scriptoria.operators import parsing, relational, textops
+from scriptoria.operators import cleaning, learn, metrics, parsing, relational, textops
 
-MODULES = (textops, relational, parsing)
+MODULES = (textops, cleaning, relational, metrics, learn, parsing)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
