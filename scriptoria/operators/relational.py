@@ -328,10 +328,12 @@ def balanced_sample(rows: DataFrame, label: str, id_: str, per_class: int, seed:
     return group_rank(rows, label, id_, seed).filter(F.col("__rank") <= per_class).drop("__rank")
 
 
-@query(f"SELECT riga_id, label FROM {_RANKED} WHERE rank <= 5")
+@query(f"SELECT riga_id, label FROM {_RANKED} WHERE rank <= (SELECT least(5, min(n)) FROM {_RANKED})")
 def balanced_rows(s, d):
-    """Five rows of each class."""
-    return balanced_sample(labelled(s, d), "label", "riga_id", 5)
+    """Five rows of each class, or as many as the smallest class has."""
+    rows = labelled(s, d)
+    n = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.least(F.lit(5), F.min("n"))).first()[0] or 0
+    return balanced_sample(rows, "label", "riga_id", n)
 
 
 def stratified_split(rows: DataFrame, label: str, id_: str, share: float = 0.25, seed: int = SEED) -> DataFrame:
