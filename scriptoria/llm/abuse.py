@@ -31,13 +31,12 @@ from scriptoria.session import spread
 MOST_LABELLED = 2000  # labelled documents of either class that the models are fitted on
 DISCOUNT = 0.75
 LENGTH_PRIOR = 2.0  # words added to a sentence's length before normalising
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 
-TOKEN = re.compile(r"[^\W_](?:[^\W_]|[@$!*#€+](?=[^\W_]))*")
-SENTENCE = re.compile(r"(?<=[.!?])[\"»)]?\s+(?=[^\W_a-z]|[«\"(])|\n+")
+TOKEN = re.compile(r"[^\W_]+(?:[@$!*#€+]+[^\W_]+)*")
+SENTENCE = re.compile(r"(?<=[.!?])[\"»)]?\s+(?=[^\W\d_a-z]|[«\"(])|\n+")
 NAMED = re.compile(r"\b([A-Z])\.\s?([A-Z][\w'’]+)")
 SPACED = re.compile(r"(?<!\w)[^\W\d_](?:[ .\-_*·]{1,2}[^\W\d_]){3,}(?!\w)")
-ABBREVIATED = re.compile(r"\b(n|prot|art|rep|tab|rif|all|f|v|lett|sig|dott|cap|nr|no)\.\s+(?=[\dA-Z(])", re.I)
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e", "+": "t"})
 LONG_RUN = re.compile(r"(.)\1{2,}")
 
@@ -46,7 +45,7 @@ KNOWN = """
 coglione|coglioni|stronzo|stronzi|stronza|bastardo|bastardi|merda|pezzo di merda|gente di merda|testa di cazzo|cazzo|vaffanculo|figlio di puttana|puttana|puttane|troia|troie|zoccola|
 idiota|idioti|imbecille|imbecilli|cretino|cretini|deficiente|deficienti|buffone|verme|feccia|schifoso|ritardato|mongoloide|ricchione|frocio|froci|negro di merda|sporchi negri|zingari di merda|
 ti ammazzo|vi ammazzo|ti spacco la faccia|devi morire|dovete morire|crepa|crepate|andate a morire|ti vengo a prendere|bruciamoli|sono bestie|sono parassiti|esseri subumani|razza inferiore|
-scopare|scoperei|scopata|scopate|pompino|pompini|sega|seghe|orgia|orge|ammucchiata|porno|video porno|vogliosa|vogliose|godere|leccarti|inculare|culo|tette|cazzo duro|figa|fica|foto nuda|sesso anale|massaggi erotici|sborra|
+scopare|scoperei|scopata|scopate|pompino|pompini|orgia|orge|ammucchiata|porno|video porno|vogliosa|vogliose|leccarti|inculare|culo|tette|cazzo duro|figa|fica|foto nuda|sesso anale|massaggi erotici|sborra|
 fuck you|fucking|motherfucker|bastard|bitch|asshole|idiot|moron|whore|slut|scum|kill you|i will kill|nude pics|want to fuck|vermin|subhuman|
 connard|connards|ordure|salope|pute|putain|enculé|enculés|fils de pute|va te faire foutre|sales étrangers|je vais te tuer|baiser|
 arschloch|arschlöcher|schwein|wichser|hurensohn|fotze|schlampe|ungeziefer|ich bringe dich um|verdammte|ficken|drecksau|missgeburt|
@@ -57,7 +56,6 @@ gilipollas|hijo de puta|puta|maricón|cabrón|mierda
 def sentences(text: str) -> list[str]:
     t = SPACED.sub(lambda m: re.sub(r"[^\w]|_", "", m.group()), text)
     t = NAMED.sub("Nnnn", t)
-    t = ABBREVIATED.sub(r"\1 ", t)
     return [s for s in SENTENCE.split(t) if s and not s.isspace()]
 
 
@@ -185,7 +183,8 @@ class KneserNey:
         k = _key2(v, w)
         i = np.minimum(np.searchsorted(self.bi, k), len(self.bi) - 1)
         hit = self.bi[i] == k if len(self.bi) else np.zeros(len(k), bool)
-        return np.log(np.where(hit, self.p2[i] if len(self.bi) else 0.0, self.bow1[v] * self.p1[w]))
+        p = np.where(hit, self.p2[i] if len(self.bi) else 0.0, self.bow1[v] * self.p1[w])
+        return np.log(np.maximum(p, 1e-300))
 
     def log3(self, u, v, w):
         k = _key3(u, v, w)
@@ -304,13 +303,13 @@ def fit(texts: list[str], labels: list[int], rounds: int = 4) -> Model:
         return float(np.mean(~np.isin(_key2(v, w), have)))
 
     toxic = [s for s in flagged if len(s) >= 3 and strange(s) >= 0.6]
-    model = Model(prior + toxic * 2, ordinary, words)
+    model = Model(prior * 2 + toxic * 2, ordinary, words)
     for _ in range(rounds):
         score = model.sentence_scores(flagged)
         toxic = [s for s, x in zip(flagged, score) if x > THRESHOLD]
         score = model.sentence_scores(ordinary)
         kept = [s for s, x in zip(ordinary, score) if x <= THRESHOLD]
-        new = Model(prior + toxic * 2, kept, words)
+        new = Model(prior * 2 + toxic * 2, kept, words)
         same = len(new.tri) == len(model.tri) and np.array_equal(new.llr3, model.llr3)
         model = new
         if same:
@@ -334,7 +333,8 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: st
         pairs = sorted(zip(ys, (t or "" for t in texts)))
         yield pa.RecordBatch.from_arrays([pa.array([fit([t for _, t in pairs], [y for y, _ in pairs]).dump()], pa.binary())], names=["model"])
 
-    return Model.load(rows.repartition(1).mapInArrow(run, "model binary").first()[0])
+    got = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return Model.load(got[0]) if got else fit([], [])
 
 
 def scored(docs: DataFrame, doc_id: str, text: str, source: str, model: Model) -> DataFrame:

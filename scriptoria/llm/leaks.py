@@ -134,7 +134,12 @@ class Items:
     def tiles(self, item: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Greedy tiles (length, start in doc, start in item): the longest match first,
         none overlapping another on either side, each of ``least`` item words or more."""
-        heap = [(-n, d, i) for n, d, i in found if self.covered(item, i, i + n) >= self.least]
+        heap = []
+        for n, d, i in found:  # to whole item words, so that no tile takes letters of the next
+            e = self.edge[item]
+            a, b = np.searchsorted(e, i, "left"), np.searchsorted(e, i + n, "right") - 1
+            if b - a >= self.least:
+                heap.append((-int(e[b] - e[a]), d + int(e[a]) - i, int(e[a])))
         heapq.heapify(heap)
         out: list[tuple[int, int, int]] = []
         while heap:

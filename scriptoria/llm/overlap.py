@@ -101,6 +101,13 @@ def winnow(sh: np.ndarray, rank: np.ndarray, w: int = WINDOW) -> np.ndarray:
     return np.unique(np.arange(n - w + 1) + w - 1 - win.argmin(axis=1))
 
 
+def window_of(n: int, w: int = WINDOW) -> int:
+    """The window for a text of ``n`` distinct shingles: smaller in short texts, where
+    few edits leave only short runs. Texts of different windows still meet: the least
+    shingle of a shared run that is as long as either window is kept by both."""
+    return 1 if n <= 12 else min(w, 2) if n <= 30 else min(w, 4) if n <= 60 else w
+
+
 def order_of(sh: np.ndarray, counts: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """One number a shingle, rarest first and then by hash, as float-free uint64."""
     c = np.minimum(counts[(sh >> U(64 - bits)).astype(np.int64)], (1 << 24) - 1).astype(np.uint64)
@@ -124,7 +131,7 @@ def seeded(classes: DataFrame, counts, k: int, threshold: float, w: int = WINDOW
                 n = len(first)
                 prefix = min(n, int(n * (1 - threshold) * 1.25) + 2)
                 limit = np.partition(rank[first], prefix - 1)[prefix - 1] if n else 0
-                pos = winnow(sh, rank, w)
+                pos = winnow(sh, rank, window_of(n, w))
                 pos = pos[rank[pos] <= limit]
                 if n and not len(pos):
                     pos = np.array([int(rank.argmin())])
