@@ -31,7 +31,8 @@ from scriptoria.session import spread
 MOST_LABELLED = 2000  # labelled documents of either class that the models are fitted on
 DISCOUNT = 0.75
 LENGTH_PRIOR = 2.0  # words added to a sentence's length before normalising
-THRESHOLD = 0.4
+PART, PART_MARGIN = 5, 0.8  # see Model.sentence_scores
+THRESHOLD = 0.55
 
 TOKEN = re.compile(r"[^\W_]+(?:[@$!*#€+]+[^\W_]+)*")
 SENTENCE = re.compile(r"(?<=[.!?])[\"»)]?\s+(?=[^\W\d_a-z]|[«\"(])|\n+")
@@ -246,20 +247,26 @@ class Model:
         return np.where(w > 0, out, 0.0)
 
     def sentence_scores(self, seqs: list[list[int]]) -> np.ndarray:
-        """Length-normalised ratio of each sentence."""
+        """Length-normalised ratio of each sentence, or of its most toxic run of PART
+        words less PART_MARGIN where that is higher: abuse in part of a long sentence."""
         if not seqs:
             return np.empty(0)
         flat: list[int] = []
         for s in seqs:
             flat += [START, START, *s]
-        r = self.ratios(np.array([*flat], np.int64))
+        ids = np.array(flat, np.int64)
+        r = np.concatenate([[0.0, 0.0], self.ratios(ids)])
         n = np.array([len(s) for s in seqs])
-        run = np.concatenate([[0.0, 0.0], r])
         ends = np.cumsum(n + 2)
-        total = np.concatenate([[0.0], np.cumsum(run)])
-        known = np.concatenate([[0], np.cumsum(np.array(flat) > 0)])
-        k = known[ends] - known[ends - n]
-        return (total[ends] - total[ends - n]) / (k + LENGTH_PRIOR)
+        total = np.concatenate([[0.0], np.cumsum(r)])
+        known = np.concatenate([[0], np.cumsum(ids > 0)])
+        whole = (total[ends] - total[ends - n]) / (known[ends] - known[ends - n] + LENGTH_PRIOR)
+        place = np.arange(len(ids)) - np.repeat(ends - n, n + 2)  # place in the sentence, starts negative
+        part = np.full(len(ids), -99.0)
+        if len(ids) > PART:
+            part[PART - 1 :] = (total[PART:] - total[:-PART]) / (PART + LENGTH_PRIOR)
+        part[place < PART - 1] = -99.0
+        return np.maximum(whole, np.maximum.reduceat(part, ends - n - 2) - PART_MARGIN)
 
     def dump(self) -> bytes:
         b = io.BytesIO()
