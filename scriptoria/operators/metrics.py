@@ -69,9 +69,11 @@ def confusion_wide(conf: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFra
 
 def per_class(conf: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """(by..., label, tp, support, predicted, precision, recall, f1); no division by zero."""
-    true = conf.select(*by, F.col("y_true").alias("label"), F.col("n").alias("support"), F.lit(0).alias("predicted"), F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("tp"))
-    pred = conf.select(*by, F.col("y_pred").alias("label"), F.lit(0).alias("support"), F.col("n").alias("predicted"), F.lit(0).alias("tp"))
-    x = true.unionByName(pred).groupBy(*by, "label").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("tp", "support", "predicted")])
+    n, zero = F.col("n"), F.lit(0).cast("bigint")
+    side = lambda c, support, predicted, tp: F.struct(c.alias("label"), support.alias("support"), predicted.alias("predicted"), tp.alias("tp"))
+    true = side(F.col("y_true"), n, zero, F.when(F.col("y_true") == F.col("y_pred"), n).otherwise(zero))
+    both = conf.select(*by, F.explode(F.array(true, side(F.col("y_pred"), zero, n, zero))).alias("s")).select(*by, "s.*")
+    x = both.groupBy(*by, "label").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("tp", "support", "predicted")])
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     tp, s, p = F.col("tp"), F.col("support"), F.col("predicted")
     return x.select(*by, "label", "tp", "support", "predicted", ratio(tp, p).alias("precision"), ratio(tp, s).alias("recall"), ratio(2 * tp, s + p).alias("f1"))
@@ -92,20 +94,17 @@ def summary(conf: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
 def report(conf: DataFrame) -> DataFrame:
     """(label, precision, recall, f1, support) of each class, then accuracy (the
     value in all four columns), macro and weighted averages."""
-    c = per_class(conf).select("label", "precision", "recall", "f1", F.col("support").cast("double").alias("support"))
-    n = F.sum("support")
-    w = lambda x: (F.sum(F.col(x) * F.col("support")) / n).alias(x)
-    acc = per_class(conf).agg((F.sum("tp") / F.sum("support")).alias("a"))
-    rows = [
-        c,
-        acc.select(F.lit("accuracy").alias("label"), *[F.col("a").alias(x) for x in ("precision", "recall", "f1", "support")]),
-        c.agg(*[F.avg(x).alias(x) for x in ("precision", "recall", "f1")], n.alias("support")).select(F.lit("macro avg").alias("label"), "precision", "recall", "f1", "support"),
-        c.agg(*[w(x) for x in ("precision", "recall", "f1")], n.alias("support")).select(F.lit("weighted avg").alias("label"), "precision", "recall", "f1", "support"),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    kept = ("label", "tp", "support", "precision", "recall", "f1")
+    one = per_class(conf).agg(F.collect_list(F.struct(*kept)).alias("c"))  # a row a label: small
+    total = lambda f: F.aggregate("c", F.lit(0.0), lambda a, r: a + f(r))
+    row = lambda name, p, r, f, s: F.struct(F.lit(name).alias("label"), p.alias("precision"), r.alias("recall"), f.alias("f1"), s.alias("support"))
+    n = total(lambda r: r["support"].cast("double"))
+    acc = total(lambda r: r["tp"].cast("double")) / n
+    macro = [total(lambda r, m=m: r[m]) / F.size("c") for m in ("precision", "recall", "f1")]
+    weighted = [total(lambda r, m=m: r[m] * r["support"]) / n for m in ("precision", "recall", "f1")]
+    classes = F.transform("c", lambda r: F.struct(r["label"].alias("label"), r["precision"].alias("precision"), r["recall"].alias("recall"), r["f1"].alias("f1"), r["support"].cast("double").alias("support")))
+    averages = F.array(row("accuracy", acc, acc, acc, acc), row("macro avg", *macro, n), row("weighted avg", *weighted, n))
+    return one.filter(F.size("c") > 0).select(F.explode(F.concat(classes, averages)).alias("r")).select("r.*")
 
 
 def fold_summary(pred: DataFrame) -> DataFrame:

@@ -119,20 +119,23 @@ _LAST_D = f"(SELECT * FROM (SELECT *, {ACT} AS a, row_number() OVER (PARTITION B
 _LAST_A = f"(SELECT * FROM (SELECT *, {ACT} AS a, row_number() OVER (PARTITION BY {ACT}, esperimento ORDER BY registrato_il DESC, audit_id DESC) AS rn FROM audit_log) WHERE rn = 1 AND a IS NOT NULL)"
 
 
-def _existing(s, d) -> DataFrame:
-    x = table(s, d, "dataset_atti").withColumn("a", act_id("id_atto")).filter("a is not null")
+def _existing(s, d, *cols: str) -> DataFrame:
+    """Last dataset row of each act and experiment; the columns are picked before the
+    aggregation packs them, so that the scan reads no others."""
+    x = table(s, d, "dataset_atti").select(act_id("id_atto").alias("a"), "esperimento", "caricato_il", "riga_id", *cols).filter("a is not null")
     return latest(x, ["a", "esperimento"], ["caricato_il", "riga_id"])
 
 
-def _runs(s, d) -> DataFrame:
-    x = table(s, d, "audit_log").withColumn("a", act_id("id_atto")).filter("a is not null")
+def _runs(s, d, *cols: str) -> DataFrame:
+    """Last audited run of each act and experiment."""
+    x = table(s, d, "audit_log").select(act_id("id_atto").alias("a"), "esperimento", "registrato_il", "audit_id", *cols).filter("a is not null")
     return latest(x, ["a", "esperimento"], ["registrato_il", "audit_id"])
 
 
 @query(f"SELECT a AS id, esperimento, riga_id, file_name, golden_label FROM {_LAST_D}")
 def dataset_load(s, d):
     """The last row of each act and experiment."""
-    return _existing(s, d).select(F.col("a").alias("id"), "esperimento", "riga_id", "file_name", "golden_label")
+    return _existing(s, d, "file_name", "golden_label").select(F.col("a").alias("id"), "esperimento", "riga_id", "file_name", "golden_label")
 
 
 @query(f"SELECT n.a AS id, n.esperimento, n.audit_id, e.riga_id FROM {_LAST_A} n LEFT JOIN {_LAST_D} e ON e.a = n.a AND e.esperimento = n.esperimento")
@@ -150,8 +153,8 @@ FROM {_LAST_A} n FULL JOIN {_LAST_D} e ON e.a = n.a AND e.esperimento = n.esperi
 def upsert_merge(s, d):
     """New runs over existing records; the new side wins, the label is carried over,
     and a failed run blanks the text."""
-    n = _runs(s, d).select("a", "esperimento", F.col("file_name").alias("nf"), F.col("ocr").alias("no"), not_blank(F.col("errore_tecnico")).alias("failed"))
-    e = _existing(s, d).select("a", "esperimento", "file_name", "ocr", "testo_completo_llm", "golden_label")
+    n = _runs(s, d, "file_name", "ocr", "errore_tecnico").select("a", "esperimento", F.col("file_name").alias("nf"), F.col("ocr").alias("no"), not_blank(F.col("errore_tecnico")).alias("failed"))
+    e = _existing(s, d, "file_name", "ocr", "testo_completo_llm", "golden_label").select("a", "esperimento", "file_name", "ocr", "testo_completo_llm", "golden_label")
     return n.join(e, ["a", "esperimento"], "full").select(
         F.col("a").alias("id"),
         "esperimento",
@@ -173,7 +176,7 @@ def incremental_work(s, d):
     """What is left to do: acts without a valid record, and forced ones."""
     valid = table(s, d, "dataset_atti").filter(not_blank(F.col("testo_completo_llm"))).select(act_id("id_atto").alias("a"), "esperimento").filter("a is not null").distinct()
     forced = F.col("a").isin("7", "22") | F.col("file_name").isin("atto_711.pdf")
-    n = _runs(s, d).select("a", "esperimento", forced.alias("forzato"))
+    n = _runs(s, d, "file_name").select("a", "esperimento", forced.alias("forzato"))
     must = n.filter(F.coalesce("forzato", F.lit(False)))
     todo = n.filter(~F.coalesce("forzato", F.lit(False))).join(valid, ["a", "esperimento"], "left_anti")
     return must.unionByName(todo).select(F.col("a").alias("id"), "esperimento", "forzato")

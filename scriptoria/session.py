@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def session(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; on a cluster the caller brings its own."""
@@ -25,9 +28,32 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSessi
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once an application: as an archive in
+    the shared checkpoint folder. Without it they must have it on their own path, as
+    they do where that folder is no plain directory and nothing is shipped."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    folder = checkpoint_dir(spark).removeprefix("file://")
+    if not folder.startswith("/"):
+        return
+    os.makedirs(folder, exist_ok=True)
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(folder, f"scriptoria-{app}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``; only where
     that is unset (tests, a laptop) a temporary one is made."""
