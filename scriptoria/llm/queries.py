@@ -63,8 +63,10 @@ def _usable(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("riga_id", canonical_label(F.col("golden_label")).alias("label")).filter("label is not null")
 
 
-def _targets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _targets(spark: SparkSession, d: str, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     rows = _usable(spark, d)
+    if keep:  # id and label alone: sampling reads them several times
+        rows = cut(rows)
     return rows, quotas.quota_targets(rows, "label", table(spark, d, "quote_campione"))
 
 
@@ -75,13 +77,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     """The sampled rows of each campaign."""
-    rows, targets = _targets(spark, d)
+    rows, targets = _targets(spark, d, keep=True)
     return quotas.quota_sample(rows, "riga_id", "label", targets).withColumnRenamed("id", "riga_id")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """What each campaign asked for, drew and lacks, by label."""
-    rows, targets = _targets(spark, d)
+    rows, targets = _targets(spark, d, keep=True)
     drawn = quotas.quota_sample(rows, "riga_id", "label", targets).groupBy("campagna_id", "golden_label").agg(F.count(F.lit(1)).alias("drawn"))
     return targets.join(drawn, ["campagna_id", "golden_label"], "left").select(
         "campagna_id", "golden_label", "usable", "size", "needed", F.coalesce("drawn", F.lit(0)).cast("bigint").alias("drawn"), "deficit"

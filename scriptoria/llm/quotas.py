@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptoria.session import cut
+
 BIN_ROWS = 1000
 SIGMAS = 6.0
 
@@ -27,6 +29,7 @@ def quota_targets(rows: DataFrame, label: str, targets: DataFrame) -> DataFrame:
     rows has usable 0; without any rows every size is 0 and minima alone count.
     """
     counts = rows.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("golden_label")).agg(F.count(F.lit(1)).alias("usable"))
+    counts = cut(counts)  # a row a category
     total = counts.agg(F.coalesce(F.sum("usable"), F.lit(0))).first()[0]
     size = F.floor(F.lit(total) * F.col("frazione_pct") / 100)
     return (
