@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import U, WordHashes, words
+from scriptoria.llm.common import U, WORD, WordHashes, words
 from scriptoria.llm.truncation import AMOUNT, SIGN_OFF, ending
 from scriptoria.session import spread
 
@@ -139,14 +139,14 @@ LEAD = re.compile(
 LABEL = re.compile(r"^\W*[^\W\d_]+(?:\s+[^\W\d_]+){0,5}\s*:\s*")
 ERROR_CODE = re.compile(r"\W*(?:ERRORE|ERROR|ERR)[_A-Z0-9-]*\W*|\W*[A-Z]+(?:_[A-Z0-9]+)*_(?:ERROR|ERRORE)\W*|Errore Ollama\b.*|Timeout Ollama\b.*", re.S)
 FUNCTION_WORDS = {
-    "it": "il lo la gli le un uno una di del dello della dei degli delle da dal dalla nel nella nei con per su sul sulla che non è e ed sono ha hanno al allo alla agli alle come si entro presso viene numero quale questo".split(),
-    "en": "the of and to is was were are for with by on at from that this which has have been will before until must near since under within only not an be its it as".split(),
-    "de": "der die das den dem des und ist im am vom zum zur mit von für auf hat haben wird werden ein eine einen einem einer nicht aus bevor nach über binnen wurde noch sich auch bei".split(),
-    "fr": "le les des du et est une dans par pour sur que qui pas ne avec aux au ont été sera plus cette ce avant près sous chargée encore car dont leurs".split(),
-    "es": "el los las del y es una en por para que con al se ha han sido más esta este antes cerca bajo debe todavía hasta cuando como su sus lo".split(),
-    "pt": "o os as do da dos das e é uma em por para que com ao não foi mais esta este até pela pelo".split(),
-    "nl": "de het een en van is in op met voor niet dat die zijn wordt door aan bij naar".split(),
-    "ro": "şi și este în la cu pe din pentru care nu sau prin fost".split(),
+    "it": "il lo la i gli le l un uno una di d del dello della dell dei degli delle a ad al allo alla all ai agli alle da dal dalla dall dai in nel nello nella nell nei nelle con per su sul sulla tra fra e ed o che chi cui non è sono ha hanno come si se entro presso dopo prima viene sarà più anche numero quale questo questa".split(),
+    "en": "the of and to is was were are a an in for with by on at from that this which has have been will before until must near since under within only not be its it as or due no".split(),
+    "de": "der die das den dem des und ist im in am vom zum zur mit von für auf hat haben wird werden ein eine einen einem einer nicht aus bevor nach über binnen wurde noch sich auch bei an nr".split(),
+    "fr": "le la les l un une des du de d et est a à au aux en dans par pour sur que qui ne pas n avec ont été sera plus cette ce avant près sous chargée encore car dont leurs il elle se son sa ses ou no".split(),
+    "es": "el la los las un una unos de del al a y o e es en por para que con se ha han sido más esta este antes después cerca bajo debe todavía hasta cuando como su sus lo no n entre sobre".split(),
+    "pt": "o a os as um uma de da do das dos no na em e é por para que com se ao foi mais esta este até pela pelo não".split(),
+    "nl": "de het een en van is in op met voor niet dat die zijn wordt door aan bij naar te om".split(),
+    "ro": "şi și este în la cu pe din pentru care nu sau prin fost o un a de".split(),
 }
 _VOTES: dict[str, list[str]] = {}
 for _lang, _ws in FUNCTION_WORDS.items():
@@ -169,16 +169,20 @@ def language(text: str) -> tuple[str, int, int]:
     letters = [c for c in text if c.isalpha()]
     if letters and sum(ord(c) > 0x24F for c in letters) > 0.5 * len(letters):
         return "xx", len(ws), 0
-    votes: Counter[str] = Counter()
-    for w in ws:
-        for lang in _VOTES.get(w, ()):
-            votes[lang] += 1
+    votes = votes_of(text)
     best = max(votes, key=lambda k: (votes[k], k == "it"), default="it")
     return best, votes[best], votes["it"]
 
 
-def foreign(answer: str) -> bool:
-    """True if the answer, an Italian lead-in set aside, is in another language."""
+def votes_of(text: str) -> Counter[str]:
+    """Function words of each language in a text; shared ones count for each."""
+    return Counter(lang for w in words(text) for lang in _VOTES.get(w, ()))
+
+
+def foreign(answer: str, known=lambda w: True) -> bool:
+    """True if the answer, an Italian lead-in set aside, is in another language: another
+    language's function words outnumber Italian ones, or nearly do where ``known``, the
+    words of the Italian requests, lacks most of the answer's own words."""
     rest = LABEL.sub("", answer, count=1)
     parts = [rest] if rest.strip() else []
     if "\n" in answer.strip():
@@ -188,7 +192,13 @@ def foreign(answer: str) -> bool:
         parts.append(rest[m.end() :])
     for p in parts or [answer]:
         lang, n, it = language(p)
-        if lang == "xx" or (lang != "it" and n >= 2 and n > 1.5 * it and n >= 0.12 * len(words(p))):
+        if lang == "xx":
+            return True
+        own = [w.lower() for w in WORD.findall(p) if len(w) > 3 and w.islower()]
+        strange = len(own) >= 3 and sum(not known(w) for w in own) > 0.5 * len(own)
+        if n >= 2 and n >= 0.12 * len(words(p)) and lang != "it" and (n > 1.5 * it or (strange and n >= it)):
+            return True
+        if strange and len(own) >= 5 and max((c for k, c in votes_of(p).items() if k != "it"), default=0) >= 0.8 * it:
             return True
     return False
 
@@ -300,7 +310,7 @@ def defect(answer: str | None, request: str | None, whole) -> str | None:
         return "vuota"
     if refused(t):
         return "rifiuto"
-    if foreign(t):
+    if foreign(t, whole):
         return "altra_lingua"
     if request and copied(t, request):
         return "copia"
