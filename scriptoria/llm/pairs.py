@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.llm.common import U, WORD, WordHashes, words
-from scriptoria.llm.truncation import AMOUNT, SIGN_OFF, ending
+from scriptoria.llm.truncation import AMOUNT, HANGING, SIGN_OFF, ending
 from scriptoria.session import spread
 
 SEEN_BITS = 22
@@ -155,9 +155,6 @@ for _lang, _ws in FUNCTION_WORDS.items():
 VERBS = frozenset(
     "è sono ha hanno viene vengono riguarda risulta riporta descrive tratta stabilisce dispone disposto approva approvato prevede impegna interessa comunica conferma autorizza affida affidando sia siano sarà saranno consente rinvia contiene indica".split()
 )
-HANGING = frozenset(
-    "il lo la i gli le l un uno una di d del dello della dei degli delle dell a ad al allo alla ai agli alle all da dal dalla dai dalle dall in nel nella nei nelle nell con su sul sulla sui sulle sull per tra fra e ed o che se come ma n via viale piazza piazzale largo strada vicolo corso numero comma art articolo cui ai sensi euro è dal quale presso entro".split()
-)
 MONTHS = frozenset("gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre".split())
 QUESTION = re.compile(r"\?\s*$|^\s*(?:indica|qual|quale|quali|che|chi|quando|quanto|quanti|dove|in che|di che|a che|estrai|riporta)\b", re.I)
 
@@ -198,7 +195,7 @@ def foreign(answer: str, known=lambda w: True) -> bool:
         strange = len(own) >= 3 and sum(not known(w) for w in own) > 0.5 * len(own)
         if n >= 2 and n >= 0.12 * len(words(p)) and lang != "it" and (n > 1.5 * it or (strange and n >= it)):
             return True
-        if strange and len(own) >= 5 and max((c for k, c in votes_of(p).items() if k != "it"), default=0) >= 0.8 * it:
+        if strange and len(own) >= 5 and max((c for k, c in votes_of(p).items() if k != "it"), default=0) >= max(2, 0.8 * it):
             return True
     return False
 
