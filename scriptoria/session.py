@@ -44,13 +44,9 @@ def ship(spark: SparkSession) -> None:
     if not folder.startswith("/"):
         return
     os.makedirs(folder, exist_ok=True)
-    root = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(folder, f"scriptoria-{app}.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for at, _, names in os.walk(root):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), os.path.dirname(root)))
+    with zipfile.PyZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:  # compiled, so that workers need not
+        z.writepy(os.path.dirname(os.path.abspath(__file__)))
     spark.sparkContext.addPyFile(path)
 
 
