@@ -261,17 +261,24 @@ k AS (SELECT x, y FROM j JOIN n na ON na.id = x AND na.side = sa JOIN n nb ON nb
 """
 
 
+_SPLITS = "SELECT 'a' AS side, riga_id AS id, testo_completo_llm AS text FROM training_set UNION ALL SELECT 'b', riga_id, testo_completo_llm FROM test_set"
+_ACTS = """, ids AS (SELECT 'a' AS side, riga_id, regexp_extract(regexp_replace(id_atto, '[\\s\\p{Z}]+', '', 'g'), '^0*([0-9]+)(?:_0*([0-9]+))?$', ['n', 's']) AS p FROM training_set
+ UNION ALL SELECT 'b', riga_id, regexp_extract(regexp_replace(id_atto, '[\\s\\p{Z}]+', '', 'g'), '^0*([0-9]+)(?:_0*([0-9]+))?$', ['n', 's']) FROM test_set)
+"""
+
 ORACLES = {
     "p3_found": _QUOTAS + "SELECT campagna_id, golden_label FROM n WHERE usable < needed",
     "p3_report": _QUOTAS
     + "SELECT campagna_id, golden_label, usable, size, CAST(needed AS BIGINT) AS needed, CAST(least(needed, usable) AS BIGINT) AS drawn, CAST(needed - least(needed, usable) AS BIGINT) AS deficit FROM n",
-    "p4_found": _alike(
-        "SELECT 'a' AS side, riga_id AS id, testo_completo_llm AS text FROM training_set UNION ALL SELECT 'b', riga_id, testo_completo_llm FROM test_set",
-        "a.side = 'a' AND b.side = 'b'",
-    )
-    + """, ids AS (SELECT 'a' AS side, riga_id, regexp_extract(regexp_replace(id_atto, '[\\s\\p{Z}]+', '', 'g'), '^0*([0-9]+)(?:_0*([0-9]+))?$', ['n', 's']) AS p FROM training_set
- UNION ALL SELECT 'b', riga_id, regexp_extract(regexp_replace(id_atto, '[\\s\\p{Z}]+', '', 'g'), '^0*([0-9]+)(?:_0*([0-9]+))?$', ['n', 's']) FROM test_set)
-SELECT least(x, y) AS riga_a, greatest(x, y) AS riga_b FROM k
+    "p4_report": _alike(_SPLITS, "a.side = 'a' AND b.side = 'b'")
+    + _ACTS
+    + """, same AS (SELECT a.riga_id AS x, b.riga_id AS y FROM ids a JOIN ids b ON a.side = 'a' AND b.side = 'b' AND a.p.n <> '' AND a.p.n = b.p.n AND a.p.s = b.p.s),
+u AS (SELECT x, y FROM k UNION SELECT x, y FROM same)
+SELECT split_nome, esperimento, count(*) AS coppie, count(DISTINCT y) AS righe_test, count(*) FILTER ((x, y) IN (SELECT (x, y) FROM same)) AS stesso_atto, count(*) FILTER ((x, y) IN (SELECT (x, y) FROM k)) AS testi_simili
+FROM u JOIN test_set t ON t.riga_id = u.y GROUP BY ALL""",
+    "p4_found": _alike(_SPLITS, "a.side = 'a' AND b.side = 'b'")
+    + _ACTS
+    + """SELECT least(x, y) AS riga_a, greatest(x, y) AS riga_b FROM k
 UNION SELECT least(a.riga_id, b.riga_id), greatest(a.riga_id, b.riga_id) FROM ids a JOIN ids b ON a.side = 'a' AND b.side = 'b' AND a.p.n <> '' AND a.p.n = b.p.n AND a.p.s = b.p.s""",
     "p6_found": _alike("SELECT 'a' AS side, riga_id AS id, testo_completo_llm AS text FROM dataset_atti", "a.id < b.id") + "SELECT x AS riga_a, y AS riga_b FROM k",
 }
