@@ -281,4 +281,14 @@ FROM u JOIN test_set t ON t.riga_id = u.y GROUP BY ALL""",
     + """SELECT least(x, y) AS riga_a, greatest(x, y) AS riga_b FROM k
 UNION SELECT least(a.riga_id, b.riga_id), greatest(a.riga_id, b.riga_id) FROM ids a JOIN ids b ON a.side = 'a' AND b.side = 'b' AND a.p.n <> '' AND a.p.n = b.p.n AND a.p.s = b.p.s""",
     "p6_found": _alike("SELECT 'a' AS side, riga_id AS id, testo_completo_llm AS text FROM dataset_atti", "a.id < b.id") + "SELECT x AS riga_a, y AS riga_b FROM k",
+    "p6_groups": _alike("SELECT 'a' AS side, riga_id AS id, testo_completo_llm AS text FROM dataset_atti", "a.id < b.id").replace("WITH r AS", "WITH RECURSIVE r AS", 1)
+    + """, l AS (SELECT x, y FROM k UNION ALL SELECT y, x FROM k),
+reach(x, m) AS (SELECT id, id FROM n UNION SELECT reach.x, l.y FROM reach JOIN l ON l.x = reach.m),
+g AS (SELECT x AS riga_id, min(m) AS gruppo FROM reach GROUP BY 1)
+SELECT riga_id, gruppo, count(*) OVER (PARTITION BY gruppo) AS righe FROM g""",
+    "p8_found": """
+WITH d AS (SELECT doc_id, regexp_replace(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+w AS (SELECT item_id, regexp_extract_all(lower(strip_accents(brano)), '[\\p{L}\\p{N}]+') AS w FROM brani_valutazione WHERE brano IS NOT NULL),
+p AS (SELECT item_id, array_to_string(w[i:i + 19], '') AS p FROM (SELECT *, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20))
+SELECT DISTINCT doc_id, item_id FROM d JOIN p ON contains(t, p)""",
 }
