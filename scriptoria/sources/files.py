@@ -34,7 +34,8 @@ WRITE = {"sep": ";", "header": True, "quote": '"', "escape": '"', "emptyValue":
 
 
 def documents(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """Files of a folder in natural order with content and URI."""
+    """Files of a folder in natural order with content and URI; files without a
+    byte are none."""
     x = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     x = x.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "modificationTime", "length", "content").withColumn("file_name", F.regexp_replace("path", r"^.*/", ""))
     return x.withColumn("uri", C.file_uri(F.col("path"))).orderBy(*C.natural_key(F.col("file_name")), "file_name")
