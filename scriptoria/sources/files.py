@@ -43,7 +43,7 @@ def documents(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataF
 
 def texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """Whole text files by name."""
-    x = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
+    x = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern)
     return x.select(F.regexp_replace(F.col("_metadata.file_name"), "%20", " ").alias("file_name"), F.col("value").alias("text"))
 
 

@@ -8,7 +8,7 @@ import sys
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.functions.labels import BY_FOLDED
@@ -136,6 +136,24 @@ def parse_records(df: DataFrame, record: str, *keep: str | Column, sep: str = ";
     return src.mapInPandas(run, schema)
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file_csv, num_riga, riga): the records of delimited files before parsing, in the
+    file's order. A file is read whole by one task, as only its quotes from the start
+    on tell which line feeds end a record; many files are read side by side. A byte
+    order mark at the start and empty lines at the end are no records."""
+    src = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_csv"), "value")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, text in zip(b["file_csv"], b["value"]):
+                body = text.removeprefix("\ufeff").replace("\r\n", "\n").rstrip("\n")
+                rows = [(name, i, r) for i, r in enumerate(assemble(body.split("\n")), 1)] if body else []
+                if rows:
+                    yield pd.DataFrame(rows, columns=["file_csv", "num_riga", "riga"])
+
+    return src.mapInPandas(run, "file_csv string, num_riga bigint, riga string")
+
+
 def valid_rows(parsed: DataFrame, *keep: str) -> DataFrame:
     """The rows that loaded, with the dataset's own field names."""
     ok = parsed.filter(F.col("motivo").isNull())

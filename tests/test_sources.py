@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.operators import metrics
 from scriptoria.sources import files
-from scriptoria.sources.records import assemble, parse, parse_records, rejected_rows, valid_rows
+from scriptoria.sources.records import assemble, parse, parse_records, read_records, rejected_rows, valid_rows
 
 GOOD = '12;a.pdf;0;"uno; due ""tre""\nquattro";Determina'
 
@@ -57,6 +57,15 @@ def test_assemble():
     assert list(assemble(text.split("\n"))) == [GOOD, "1;b;0;x;", '2;c;0;"aperto']
 
 
+def test_record_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeff" + GOOD + "\n1;b;0;x;\n\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text('2;c;0;"aperto\nresto', encoding="utf-8")
+    (tmp_path / "c.csv").write_text("\n", encoding="utf-8")
+    got = read_records(spark, str(tmp_path)).orderBy("file_csv", "num_riga").collect()
+    assert [tuple(r) for r in got] == [("a.csv", 1, GOOD), ("a.csv", 2, "1;b;0;x;"), ("b.csv", 1, '2;c;0;"aperto\nresto')]
+    assert [r["motivo"] for r in parse_records(read_records(spark, str(tmp_path)), "riga", "file_csv").orderBy("file_csv").collect()] == [None, None, "virgolette"]
+
+
 def test_dataset_round_trip(spark, tmp_path):
     rows = [("0012", "a.pdf", "0", 'testo; con "virgolette" e\nriga ', "Determina"), ("0012_2", "b.pdf", "1", "altro", "")]
     df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in files.DATASET))
@@ -90,12 +99,12 @@ def test_audit_log(spark, tmp_path):
 def test_documents_and_texts(spark, tmp_path):
     for n, b in (("atto_10.pdf", b"dieci"), ("atto_2.pdf", b"due"), ("altro.pdf", b"due")):
         (tmp_path / n).write_bytes(b)
-    (tmp_path / "atto_10.txt").write_text("testo dieci")
+    (tmp_path / "atto_10.txt").write_text("testo\ndieci")
     (tmp_path / "atto_1.txt").write_text("testo uno")
     docs = files.documents(spark, str(tmp_path))
     assert [r["file_name"] for r in docs.collect()] == ["atto_2.pdf", "atto_10.pdf", "altro.pdf"]
     joined = {r["file_name"]: r["text"] for r in files.with_text(docs, files.texts(spark, str(tmp_path))).collect()}
-    assert joined == {"atto_2.pdf": "", "atto_10.pdf": "testo dieci", "altro.pdf": ""}
+    assert joined == {"atto_2.pdf": "", "atto_10.pdf": "testo\ndieci", "altro.pdf": ""}
     out = {r["file_name"]: (r["text"], r["errore"] != "") for r in files.extracted(docs, lambda b: b.decode() if b != b"dieci" else 1 / 0).collect()}
     assert out["atto_2.pdf"] == ("due", False) and out["atto_10.pdf"] == ("", True)
     with pytest.raises(ValueError, match="lack"):
