@@ -291,8 +291,16 @@ class Model:
 
 def fit(texts: list[str], labels: list[int], rounds: int = 4) -> Model:
     """Both models from labelled documents; see the module's text."""
-    docs = [[[surface(t) for t in TOKEN.findall(s)] for s in sentences(x or "")] for x in texts]
-    prior = [[surface(t) for t in TOKEN.findall(p)] for p in re.split(r"[|\n]+", KNOWN) if p.strip()]
+    seen: dict[str, str] = {}
+
+    def plain(t: str) -> str:
+        w = seen.get(t)
+        if w is None:
+            w = seen[t] = surface(t)
+        return w
+
+    docs = [[[plain(t) for t in TOKEN.findall(s)] for s in sentences(x or "")] for x in texts]
+    prior = [[plain(t) for t in TOKEN.findall(p)] for p in re.split(r"[|\n]+", KNOWN) if p.strip()]
     count = Counter(w for d in docs for s in d for w in s)
     lexicon = {w for p in prior for w in p}
     words = ["", *sorted({w for w, c in count.items() if c > 0} | lexicon)]
@@ -305,11 +313,16 @@ def fit(texts: list[str], labels: list[int], rounds: int = 4) -> Model:
     # How strange a sentence is to the ordinary documents: the share of its word pairs they lack.
     have = np.unique(_key2(*grams(ordinary)[1:])) if ordinary else np.empty(0, np.uint64)
 
-    def strange(s: list[int]) -> float:
-        _, v, w = grams([s])
-        return float(np.mean(~np.isin(_key2(v, w), have)))
-
-    toxic = [s for s in flagged if len(s) >= 3 and strange(s) >= 0.6]
+    long = [s for s in flagged if len(s) >= 3]
+    _, v, w = grams(long)
+    key = _key2(v, w)
+    if len(have):
+        lack = have[np.minimum(np.searchsorted(have, key), len(have) - 1)] != key
+    else:
+        lack = np.ones(len(key), bool)
+    of = np.repeat(np.arange(len(long)), [len(s) for s in long])
+    strange = np.bincount(of, lack, len(long)) / np.maximum(np.bincount(of, minlength=len(long)), 1)
+    toxic = [s for s, x in zip(long, strange) if x >= 0.6]
     model = Model(prior * 2 + toxic * 2, ordinary, words)
     for _ in range(rounds):
         score = model.sentence_scores(flagged)
