@@ -2,8 +2,9 @@
 
 Plan. A first pass reduces every text to its lengths and the form of its ending. The
 endings that no closing mark settles are judged by the corpus itself: a last fragment
-is a closing formula if texts end with it more often than they go on after it, and a
-last word is whole if it occurs inside texts. Both come from aggregates of bounded
+is a closing formula if distinct texts, with distinct words before it, end with it more
+often than they go on after it, and a last word is whole if it occurs inside other
+texts (or, where it stands nowhere inside, begins no longer word). Equal copies of a text count once. Candidates and the word sketch are of bounded
 size. Length histograms, one row a source and length, give for each source a
 right-censored log-normal by maximum likelihood, the limits where lengths pile up, and
 the posterior that a text of just that length was cut there; the token cap of the last
@@ -20,15 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import U, WordHashes
+from scriptoria.llm.common import U, WordHashes, signed
 from scriptoria.session import cut, spread
 
 SEEN_BITS = 22  # word sketch: 2^22 bits whatever the data's size
 FORMULA_SHARE = 2e-3  # a formula ends at least this share of the texts: at most 500 candidates
 FORMULA_LEAST = 3
+BEFORE = 24  # words before a last fragment by which two texts that end with it differ
 
 # Abbreviations after which a sentence goes on; marks of omission.
 ABBREVIATIONS = frozenset(
@@ -105,8 +108,13 @@ def _masked(t: str) -> str:
     return NAME.sub("§", t)
 
 
+def _digest(words: list[str]) -> int:
+    return signed(xxhash.xxh3_64_intdigest(" ".join(words)))
+
+
 def described(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, chars, bytes, kind, fragment, word) of each row."""
+    """(id, source, chars, bytes, kind, fragment, word, key, before) of each row: key
+    stands for the text, blanks and case apart, before for the words before the fragment."""
     src = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
 
@@ -114,6 +122,8 @@ def described(df: DataFrame, id_col: str, text_col: str, source_col: str) -> Dat
         for b in batches:
             texts = b.column(2).to_pylist()
             ends = [ending(t) for t in texts]
+            seqs = [(t or "").lower().split() for t in texts]
+            lead = [w[: max(0, len(w) - len(e[1].split()))][-BEFORE:] if e[0] == "open" else [] for w, e in zip(seqs, ends)]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
@@ -121,36 +131,61 @@ def described(df: DataFrame, id_col: str, text_col: str, source_col: str) -> Dat
                     pa.array([len(t or "") for t in texts], pa.int32()),
                     pa.array([len((t or "").encode("utf-8", "replace")) for t in texts], pa.int32()),
                     *[pa.array([e[i] for e in ends], pa.string()) for i in range(3)],
+                    *[pa.array([_digest(w) for w in x], pa.int64()) for x in (seqs, lead)],
                 ],
-                names=["id", "source", "chars", "bytes", "kind", "fragment", "word"],
+                names=["id", "source", "chars", "bytes", "kind", "fragment", "word", "key", "before"],
             )
 
-    return src.mapInArrow(run, f"id {kind}, source string, chars int, bytes int, kind string, fragment string, word string")
+    return src.mapInArrow(run, f"id {kind}, source string, chars int, bytes int, kind string, fragment string, word string, key bigint, before bigint")
 
 
 def corpus_evidence(df: DataFrame, text_col: str, described_rows: DataFrame) -> tuple[set[str], np.ndarray]:
-    """(closing formulas, sketch of words that occur inside texts)."""
+    """(closing formulas, sketch of words that occur inside texts).
+
+    Words like 'Presidente' may stand in closing formulas alone. So a last word that
+    no text has inside passes only where the fragment follows as many distinct heads
+    as it needs texts, and no text has a longer word that begins with it."""
     ends = described_rows.filter("kind <> 'blank'")
-    n = ends.count()
+    n = ends.select("key").distinct().count()
     least = max(FORMULA_LEAST, math.ceil(FORMULA_SHARE * n))
-    got = ends.filter("kind = 'open'").groupBy("fragment").count().filter(F.col("count") >= least).collect()
-    ended = Counter({r[0]: r[1] for r in got})
+    each = ends.filter("kind = 'open'").groupBy("fragment").agg(F.countDistinct("key").alias("n"), F.countDistinct("before").alias("heads"))
+    got = each.filter((F.col("n") >= least) & (F.col("heads") > 1)).collect()
+    ended = Counter({r["fragment"]: r["n"] for r in got})
+    varied = {x for r in got if r["heads"] >= least for x in (r["fragment"], r["fragment"].lower())}
     for f, c in list(ended.items()):
         if f != f.lower():
             ended[f.lower()] += c
     longest = max((len(x.split()) for x in ended), default=0)
+    last = {f: re.split(r"[\W_]+", f.lower())[-1] for f in ended}
+    asked = {w for w in last.values() if w}
+    sizes = sorted({len(w) for w in asked})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         seen = np.zeros(1 << SEEN_BITS, dtype=bool)
-        goes_on: Counter[str] = Counter()
+        checked: set[str] = set()
+        longer: set[str] = set()  # last words that longer words begin with
+        within: dict[str, tuple[int, int]] = {}  # the least and the greatest text with a last word inside
         for b in batches:
+            out: list[tuple[str, int, int]] = []
             for t in b.column(0).to_pylist():
                 if not t:
                     continue
-                inside = re.findall(r"[^\W\d_]+", t.lower())[:-1]
+                every = re.findall(r"[^\W\d_]+", t.lower())
+                inside = every[:-1]
+                for w in every if asked else ():
+                    if w not in checked:
+                        if len(checked) > 400_000:
+                            checked.clear()
+                        checked.add(w)
+                        longer.update(w[:k] for k in sizes if k < len(w) and w[:k] in asked)
                 if inside:
                     seen[(hashes(inside) >> U(64 - SEEN_BITS)).astype(np.int64)] = True
+                key = _digest(t.lower().split())
+                for w in asked.intersection(inside):
+                    lo, hi = within.get(w, (key, key))
+                    within[w] = min(lo, key), max(hi, key)
+                goes_on: Counter[str] = Counter()
                 for s in BOUNDARY.split(_masked(t.strip())):
                     w = s.split(None, longest + 1)
                     for k in range(1, min(longest, len(w) - 1) + 1):
@@ -158,23 +193,35 @@ def corpus_evidence(df: DataFrame, text_col: str, described_rows: DataFrame) ->
                         for h in {head, head.lower()}:
                             if h in ended:
                                 goes_on[h] += 1
+                out += [(f, key, c) for f, c in goes_on.items()]
+            yield block("on", [f for f, _, _ in out], [k for _, k, _ in out], [c for *_, c in out])
+        yield block("in", [w for w, k in within.items() for _ in k], [k for x in within.values() for k in x])
+        yield block("longer", sorted(longer), [0] * len(longer))
         at = np.nonzero(seen)[0]
-        keys = [*goes_on, *[""] * len(at)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.string()), pa.array([*[-1] * len(goes_on), *at.tolist()], pa.int64()), pa.array([*goes_on.values(), *[1] * len(at)], pa.int64())],
-            names=["fragment", "slot", "n"],
-        )
+        yield block("seen", [""] * len(at), at)
+
+    def block(what: str, term, key, n=None) -> pa.RecordBatch:
+        cols = [pa.array([what] * len(key), pa.string()), pa.array(term, pa.string()), pa.array(key, pa.int64()), pa.array([1] * len(key) if n is None else n, pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["what", "term", "key", "n"])
 
-    per = df.select(F.col(text_col)).mapInArrow(run, "fragment string, slot bigint, n bigint").groupBy("fragment", "slot").agg(F.sum("n").alias("n"))
+    per = df.select(F.col(text_col)).mapInArrow(run, "what string, term string, key bigint, n bigint").groupBy("what", "term", "key").agg(F.max("n").alias("n"))
+    slot = F.when(F.col("what") == "seen", F.col("key"))
+    per = per.groupBy("what", "term", slot.alias("slot")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
     seen = np.zeros(1 << SEEN_BITS, dtype=bool)
     goes_on: dict[str, int] = {}
+    elsewhere: set[str] = set()  # last words that stand inside more than one text: inside another one than any given
+    parts: set[str] = set()  # last words that longer words begin with
     for r in per.toArrow().to_pylist():
-        if r["slot"] >= 0:
+        if r["what"] == "seen":
             seen[r["slot"]] = True
-        else:
-            goes_on[r["fragment"]] = r["n"]
-    whole = (f for f, c in ended.items() if c > goes_on.get(f, 0))
-    return {f for f in whole if re.split(r"[\W_]+", f.lower())[-1] not in HANGING}, np.packbits(seen)
+        elif r["what"] == "longer":
+            parts.add(r["term"])
+        elif r["what"] == "on":
+            goes_on[r["term"]] = r["n"]
+        elif r["texts"] > 1:
+            elsewhere.add(r["term"])
+    whole = lambda f: not last[f] or last[f] in elsewhere or (f in varied and last[f] not in parts)
+    return {f for f, c in ended.items() if c > goes_on.get(f, 0) and last[f] not in HANGING and whole(f)}, np.packbits(seen)
 
 
 # --- censored lengths ------------------------------------------------------------

@@ -216,6 +216,22 @@ def test_truncated_texts(spark):
     assert truncation.truncated(df.limit(0), "id", "text", "source").count() == 0
 
 
+def test_copies_of_a_cut_text_make_no_formula(spark):
+    rng = random.Random(8)
+    phrase = lambda: f"Il comune di {rng.choice(WORDS)} approva la spesa di euro {rng.randrange(99)},00 per {rng.choice(WORDS)}."
+    texts = [" ".join(phrase() for _ in range(rng.randrange(3, 9))) for _ in range(60)]
+    inside = texts[0] + " Si dispone la liquidaz"  # cut inside a word, of which an intact copy goes on
+    between = texts[1] + " Si dispone la spesa"  # cut after a whole word
+    signed = [t + " Il Segretario Comunale" for t in texts[2:6]]
+    rows = [inside] * 30 + [between] * 3 + [inside + "ione della spesa."] * 3 + signed + [t + " Il Presidente" for t in texts[6:10]] + texts[10:] + ["Il segretario comunale riferisce."] * 2 + [f"Il sindaco sente il segretario comunale {w}." for w in WORDS[:3]]
+    rows += [f"Prima nota {w}. {between}" for w in WORDS[:3]]  # near copies, equal before the cut
+    rows += [phrase() + " Si trasmette al compet" for _ in range(4)] + ["Si trasmette al competente ufficio."]  # texts of their own, no whole last word
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(rows)], "id bigint, text string, source string")
+    got = {r["id"]: r["cut"] for r in truncation.truncated(df, "id", "text", "source").collect()}
+    for i, t in enumerate(rows):
+        assert got[i] == (not t.endswith((".", "Comunale", "Presidente"))), t[-40:]
+
+
 def test_censored_fit_recovers_the_distribution():
     rng = np.random.default_rng(0)
     x = np.exp(rng.normal(6.5, 0.4, 20_000))
