@@ -1,15 +1,18 @@
 """TF-IDF features as plans; three text classifiers; cross-validation.
 
 Counts, document frequencies and weights are DataFrame aggregations and scale with the
-data. The classifiers' solvers work on hundreds to thousands of rows, so each (model,
-fold) is one task that fits its own features and model on a bounded sample of rows
-(``most``) and predicts its test rows: one fit a fold, all metrics from one table.
+data. The classifiers' solvers work on hundreds to thousands of rows, so each fold is
+one task that fits its features and models on a bounded sample of its training rows
+(``most``). The fitted models are of fixed size and broadcast; every test row is
+predicted, in batches, and all metrics come from one table.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,15 +22,16 @@ from pyspark.sql import functions as F
 from scriptoria.functions import text as T
 from scriptoria.functions.labels import canonical_label
 from scriptoria.operators import metrics as M
-from scriptoria.operators.ranking import seeded
-from scriptoria.operators.relational import folds
+from scriptoria.operators.ranking import group_rank
+from scriptoria.operators.relational import SEED, folds
 from scriptoria.plans import sqlkit as Q
-from scriptoria.session import spread, table
+from scriptoria.session import cut, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 MAX_WORDS, MAX_CHARS = 20_000, 12_000
-MOST_ROWS = 400  # rows that cross-validation is run on
+MOST_ROWS = 400  # training rows that a model is fitted on
+STEP = 256  # rows predicted at a time
 
 
 def query(sql: str | None = None):
@@ -326,48 +330,100 @@ def fit_bayes(x: Rows, y: np.ndarray, k: int, alpha: float = 1.0) -> np.ndarray:
 MODELS = {"linear_svm": fit_svm, "logistic_regression": fit_logistic, "naive_bayes": fit_bayes}
 
 
-def fit_predict(model: str, texts: list[str], labels: list[str], test: list[str]) -> list[str]:
-    """Labels of the test texts by one of MODELS fitted on the training texts."""
+Fitted = tuple[Features | None, dict[str, tuple[list[str], np.ndarray]]]  # features, and of each model its labels and weights
+
+
+def fit_all(models, texts: list[str], labels: list[str]) -> Fitted:
+    """MODELS by name, fitted on the training texts over the same features."""
     names = sorted(set(labels))
-    if not test or not names:
-        return []
-    if len(names) == 1:
-        return names * len(test)
+    if len(names) < 2:
+        return None, {m: (names, np.empty(0)) for m in models}
     y = np.array([names.index(v) for v in labels])
     feats = Features(texts)
-    x, z = feats.of(texts), feats.of(test)
-    if model == "naive_bayes":
-        m = fit_bayes(x, y, len(names))
-        score = z.dot(m[:-1]) + m[-1]
-    else:
-        # The best weights lie in the span of the rows, of which there are far fewer than
-        # features: with K = X X' = L L', the rows of L stand for those of X, and the
-        # loss and the penalty are the same.
-        low = np.linalg.cholesky(x.gram(x) + 1e-9 * np.eye(len(y)))
-        m = MODELS[model](Dense(low), y, len(names))
-        score = np.linalg.solve(low, x.gram(z)).T @ m[:-1] + m[-1]
-    return [names[i] for i in score.argmax(axis=1)]
+    x = feats.of(texts)
+    out, low = {}, None
+    for model in models:
+        if model == "naive_bayes":
+            m = fit_bayes(x, y, len(names))
+        else:
+            # The best weights lie in the span of the rows, of which there are far fewer than
+            # features: with K = X X' = L L', the rows of L stand for those of X, and the
+            # loss and the penalty are the same. Weights m of L's columns are X' L'^-1 m of X's.
+            if low is None:
+                low = np.linalg.cholesky(x.gram(x) + 1e-9 * np.eye(len(y)))
+            m = MODELS[model](Dense(low), y, len(names))
+            m = np.vstack([x.tdot(np.linalg.solve(low.T, m[:-1])), m[-1]])
+        out[model] = names, m
+    return feats, out
+
+
+def predict_all(fitted: Fitted, texts: list[str]) -> dict[str, list[str | None]]:
+    """Of each model the labels of the texts; null where there was nothing to learn."""
+    feats, models = fitted
+    out: dict[str, list[str | None]] = {m: [] for m in models}
+    for a in range(0, len(texts), STEP):
+        part = texts[a : a + STEP]
+        z = feats.of(part) if feats is not None else None
+        for model, (names, m) in models.items():
+            out[model] += [names[i] for i in (z.dot(m[:-1]) + m[-1]).argmax(axis=1)] if z is not None else (names or [None]) * len(part)
+    return out
 
 
-def cross_validate(rows: DataFrame, id_: str, label: str, text: str, most: int = MOST_ROWS, models=tuple(MODELS)) -> DataFrame:
-    """(id, modello, fold, y_true, y_pred): out-of-fold predictions of every model,
-    one fit a model and fold, on ``most`` rows in seeded order."""
-    sample = rows.select(F.col(id_).alias("id"), F.col(label).alias("y"), F.col(text).alias("t")).orderBy(seeded(id_, 7) if id_ == "id" else F.md5(F.concat(F.col("id").cast("string"), F.lit(":7"))), "id").limit(most)
-    big = sample.join(sample.groupBy("y").count().filter("count >= 2").select("y"), "y", "left_semi")
-    x = folds(big, "y", "id")
-    k = x.agg(F.max("fold")).first()[0]
-    if k is None:
-        return rows.sparkSession.createDataFrame([], "id bigint, modello string, fold int, y_true string, y_pred string")
-    tasks = F.explode(F.array(*[F.struct(F.lit(m).alias("modello"), F.lit(i).alias("run")) for m in models for i in range(k + 1)])).alias("k")
-    jobs = x.select("id", "y", "t", "fold", tasks).select("id", "y", "t", "fold", "k.modello", "k.run")
+def fit_predict(model: str, texts: list[str], labels: list[str], test: list[str]) -> list[str]:
+    """Labels of the test texts by one of MODELS fitted on the training texts."""
+    return predict_all(fit_all((model,), texts, labels), test)[model] if labels else []
+
+
+def fit_sample(rows: DataFrame, label: str, id_: str, most: int) -> DataFrame:
+    """The first rows of each class in seeded order: ``most`` by the classes' shares, two
+    of each at least."""
+    n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    total = n.agg(F.sum("__n")).first()[0] or 1
+    quota = n.select(F.col(label).alias("__l"), F.greatest(F.lit(2), F.ceil(F.lit(most) * F.col("__n") / F.lit(total))).alias("__quota"))
+    x = group_rank(rows, label, id_, SEED).join(F.broadcast(quota), F.col(label) == F.col("__l"))
+    return x.filter("__rank <= __quota").drop("__rank", "__l", "__quota")
+
+
+def fitted_runs(sample: DataFrame, models) -> dict[int, Fitted]:
+    """The models of each run of (run, id, y, t), one task a run."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("id")
-        a, b = p[p["fold"] != p["run"]], p[p["fold"] == p["run"]]
-        got = fit_predict(p["modello"].iloc[0], a["t"].tolist(), a["y"].tolist(), b["t"].tolist())
-        return pd.DataFrame({"id": b["id"], "modello": b["modello"], "fold": b["run"], "y_true": b["y"], "y_pred": got})
+        return pd.DataFrame({"run": p["run"].iloc[:1], "model": [pickle.dumps(fit_all(models, p["t"].tolist(), p["y"].tolist()))]})
+
+    got = sample.select("run", "id", "y", "t").groupBy("run").applyInPandas(run, "run int, model binary").collect()
+    return {r["run"]: pickle.loads(r["model"]) for r in got}
+
+
+def predicted(rows: DataFrame, fitted: dict[int, Fitted]) -> DataFrame:
+    """(id, modello, fold, y_true, y_pred) of every row of (id, y, t, fold), by the models
+    of run ``fold``."""
+    known = rows.sparkSession.sparkContext.broadcast(fitted)
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for fold, b in p.groupby("fold"):
+                if fold in known.value:
+                    for model, got in predict_all(known.value[fold], b["t"].tolist()).items():
+                        yield pd.DataFrame({"id": b["id"], "modello": model, "fold": fold, "y_true": b["y"], "y_pred": got})
 
-    return jobs.groupBy("modello", "run").applyInPandas(run, "id bigint, modello string, fold int, y_true string, y_pred string")
+    return spread(rows.select("id", "y", "t", "fold")).mapInPandas(run, f"id {kind}, modello string, fold int, y_true string, y_pred string")
+
+
+def cross_validate(rows: DataFrame, id_: str, label: str, text: str, most: int = MOST_ROWS, models=tuple(MODELS)) -> DataFrame:
+    """(id, modello, fold, y_true, y_pred): out-of-fold predictions of every model for
+    every row of a label with two rows or more; each fold's models are fitted on about
+    ``most`` of its training rows (fit_sample)."""
+    x = rows.select(F.col(id_).alias("id"), F.col(label).alias("y"), F.col(text).alias("t"))
+    big = cut(x.join(x.groupBy("y").count().filter("count >= 2").select("y"), "y", "left_semi"))
+    x = cut(folds(big, "y", "id"))
+    k = x.agg(F.max("fold")).first()[0]
+    if k is None:
+        return rows.sparkSession.createDataFrame([], "id bigint, modello string, fold int, y_true string, y_pred string")
+    pool = fit_sample(x, "y", "id", -(-most * (k + 1) // max(k, 1)))  # the folds share it evenly
+    sample = pool.withColumn("run", F.explode(F.array(*[F.lit(i) for i in range(k + 1)]))).filter("run <> fold")
+    return predicted(x, fitted_runs(sample, models))
 
 
 def _rows(s, d) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from scriptoria.operators import learn
 from scriptoria.operators.cleaning import VARIANTS
 from scriptoria.plans import pipelines
 from scriptoria.sources import files
@@ -49,3 +50,17 @@ def test_training(spark):
     assert {r["cv_n_splits"] for r in t.cv_summary.collect()} == {5} and t.cv_confusion.agg(F.sum("n")).first()[0] == 80
     with pytest.raises(ValueError, match="not trainable"):
         pipelines.train(df.filter("riga_id < 20"))
+
+
+def _labelled(spark):
+    word = {"Determina": "determina impegno spesa", "Ordinanza": "ordinanza divieto sosta"}
+    rows = [(i, f"{word[y]} {i % 7}", y) for i in range(600) for y in [list(word)[i % 2]]] + [(600 + i, f"statuto comunale articolo {i}", "Statuto") for i in range(4)]
+    return spark.createDataFrame([(*r, "x") for r in rows], "riga_id bigint, testo_completo_llm string, golden_label string, altro string")
+
+
+def test_cross_validation_predicts_every_row(spark):
+    x = _labelled(spark)
+    got = learn.cross_validate(x, "riga_id", "golden_label", "testo_completo_llm", 40, ("naive_bayes", "linear_svm")).collect()
+    assert sorted((r["modello"], r["id"]) for r in got) == [(m, i) for m in ("linear_svm", "naive_bayes") for i in range(604)]
+    assert all(r["y_true"] == r["y_pred"] for r in got if r["modello"] == "linear_svm")
+    assert learn.cross_validate(x.limit(0), "riga_id", "golden_label", "testo_completo_llm").count() == 0
