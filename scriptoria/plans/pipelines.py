@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,23 +121,16 @@ class Training:
 
 def train(rows: DataFrame, id_: str = "riga_id", most: int = learn.MOST_ROWS, models: tuple[str, ...] = tuple(learn.MODELS)) -> Training:
     """Prepare, split, fit, predict and cross-validate; ValueError where fewer than two
-    classes are left. Fits run one a model in tasks of their own, on ``most`` rows."""
-    good = prepared(rows).select(F.col(id_).alias("id"), "label", F.col("testo_ml").alias("t"))
-    good = cut(good.orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(":7"))), "id").limit(most))
+    classes are left. All rows are split and all test rows predicted; only the fits, in a
+    task of their own, take ``most`` of the training rows (learn.fit_sample)."""
+    good = cut(prepared(rows).select(F.col(id_).alias("id"), "label", F.col("testo_ml").alias("t")))
     good = good.join(good.groupBy("label").count().filter("count >= 2").select("label"), "label", "left_semi")
     if good.select("label").distinct().limit(2).count() < 2:
         raise ValueError("not trainable: fewer than two classes")
     split = cut(stratified_split(good, "label", "id"))
-    jobs = split.select("id", "label", "t", "split", F.explode(F.array(*[F.lit(m) for m in models])).alias("modello"))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("id")
-        a, b = p[p["split"] == "train"], p[p["split"] == "test"]
-        got = learn.fit_predict(p["modello"].iloc[0], a["t"].tolist(), a["label"].tolist(), b["t"].tolist())
-        return pd.DataFrame({"id": b["id"], "modello": b["modello"], "y_true": b["label"], "y_pred": got})
-
-    kind = split.schema["id"].dataType.simpleString()
-    pred = cut(jobs.groupBy("modello").applyInPandas(run, f"id {kind}, modello string, y_true string, y_pred string"))
+    named = split.select("id", F.col("label").alias("y"), "t", "split", F.lit(0).alias("run"))
+    fitted = learn.fitted_runs(learn.fit_sample(named.filter("split = 'train'"), "y", "id", most), models)
+    pred = cut(learn.predicted(named.filter("split = 'test'").withColumn("fold", F.col("run")), fitted).drop("fold"))
     cv = cut(learn.cross_validate(good.withColumn("id", F.col("id").cast("bigint")), "id", "label", "t", most, models))
     summary = metrics.summary(metrics.confusion(pred, ["modello"]), ["modello"])
     return Training(split, pred, summary, metrics.fold_summary(cv), metrics.confusion(cv, ["modello"]))

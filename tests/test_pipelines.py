@@ -58,6 +58,13 @@ def _labelled(spark):
     return spark.createDataFrame([(*r, "x") for r in rows], "riga_id bigint, testo_completo_llm string, golden_label string, altro string")
 
 
+def test_training_covers_all_rows(spark):
+    t = pipelines.train(_labelled(spark), most=50, models=("naive_bayes",))
+    assert t.split.count() == 604 and t.predictions.count() == t.split.filter("split = 'test'").count() == 151
+    assert {r["label"] for r in t.split.select("label").distinct().collect()} >= {"Statuto"}
+    assert t.cv_confusion.agg(F.sum("n")).first()[0] == 604
+
+
 def test_cross_validation_predicts_every_row(spark):
     x = _labelled(spark)
     got = learn.cross_validate(x, "riga_id", "golden_label", "testo_completo_llm", 40, ("naive_bayes", "linear_svm")).collect()
