@@ -5,15 +5,18 @@ keeps the least shingle of every window of consecutive shingles ("rolling-hash
 minima"). Least means rarest first: the order is (document count of the shingle in a
 sketch of fixed size, hash), one order for all texts, so that two texts that share a
 run as long as a window keep the same shingle of it, and common phrases of the trade
-are hardly ever kept. Of the kept shingles only those among a text's rarest part are
-joined: texts of Jaccard t share, in any fixed order, one of their n - tn + 1 first
-shingles. Seeds joined across the splits are chained collinearly, the chains extended
-word by word, and the pair measured: coverage of either side and exact Jaccard.
+are hardly ever kept. Candidates are exact: texts of Jaccard t share, in any fixed
+order, one of their n - tn + 1 first shingles, so the rarest of either side are joined
+across the splits, and the places of the first shared one bound what a pair can share.
+The kept shingles that a candidate pair shares are its seeds (all shared shingles where
+it has none). They are chained collinearly, the chains extended word by word, and the
+pair measured: coverage of either side and exact Jaccard.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,7 +31,6 @@ from scriptoria.session import cut, spread
 
 SKETCH_BITS = 20  # the sketch has 2^20 counters whatever the data's size: 4 MB to broadcast
 WINDOW = 7  # shingles of a winnowing window: any 9 words in a row that two texts share yield a common seed
-SHARED = 0.1  # least part of the shorter seed list that a pair must share to be aligned
 
 
 def act_key(id_col: str | Column) -> Column:
@@ -115,20 +117,23 @@ def order_of(sh: np.ndarray, counts: np.ndarray, bits: int = SKETCH_BITS) -> np.
 
 
 def seeded(classes: DataFrame, counts, k: int, threshold: float, w: int = WINDOW) -> DataFrame:
-    """(key, in_a, in_b, wh, n, hs, ps) of (key, in_a, in_b, wh): the number of distinct
-    shingles and the kept ones with their positions, each once a text. Kept are
-    winnowed shingles among the 1 - threshold rarest, with a quarter of that as a
-    margin for shared shingles that stand in runs shorter than a window."""
+    """(key, in_a, in_b, wh, n, hs, ps, first) of (key, in_a, in_b, wh): the number of
+    distinct shingles, the kept ones with their positions, each once a text, and the
+    rarest n - ceil(tn) + 1, rarest first. Kept are winnowed shingles among the
+    1 - threshold rarest, with a quarter of that as a margin for shared shingles that
+    stand in runs shorter than a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for b in batches:
-            n_out, h_out, p_out = [], [], []
+            n_out, h_out, p_out, f_out = [], [], [], []
             for wh in _each(b, 3):
                 sh = shingles(wh, k)
                 rank = order_of(sh, table)
-                _, first = np.unique(sh, return_index=True)
+                each, first = np.unique(sh, return_index=True)
                 n = len(first)
+                order = np.lexsort((each, rank[first]))
+                f_out.append(each[order[: n - math.ceil(n * threshold - 1e-9) + 1]])
                 prefix = min(n, int(n * (1 - threshold) * 1.25) + 2)
                 limit = np.partition(rank[first], prefix - 1)[prefix - 1] if n else 0
                 pos = winnow(sh, rank, window_of(n, w))
@@ -142,12 +147,12 @@ def seeded(classes: DataFrame, counts, k: int, threshold: float, w: int = WINDOW
             cat = lambda x: np.concatenate(x) if x else np.empty(0, U)
             many = [len(h) for h in h_out]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(n_out, pa.int32()), lists(cat(h_out), many), lists(cat(p_out), many)],
-                names=["key", "in_a", "in_b", "wh", "n", "hs", "ps"],
+                [*b.columns, pa.array(n_out, pa.int32()), lists(cat(h_out), many), lists(cat(p_out), many), lists(cat(f_out), [len(f) for f in f_out])],
+                names=["key", "in_a", "in_b", "wh", "n", "hs", "ps", "first"],
             )
 
     return classes.select("key", "in_a", "in_b", "wh").mapInArrow(
-        run, "key bigint, in_a boolean, in_b boolean, wh array<bigint>, n int, hs array<bigint>, ps array<bigint>"
+        run, "key bigint, in_a boolean, in_b boolean, wh array<bigint>, n int, hs array<bigint>, ps array<bigint>, first array<bigint>"
     )
 
 
@@ -204,16 +209,13 @@ def class_overlaps(classes: DataFrame, k: int, threshold: float) -> DataFrame:
     spark = classes.sparkSession
     counts = spark.sparkContext.broadcast(count_sketch(classes, k))
     sig = cut(seeded(classes, counts, k, threshold))
-    one = sig.select("key", "in_a", "in_b", "n", F.size("hs").alias("m"), F.explode("hs").alias("h"))
+    one = sig.select("key", "in_a", "in_b", "n", F.posexplode("first").alias("i", "h"))
     a, b = one.filter("in_a").alias("a"), one.filter("in_b").alias("b")
     near = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold)
-    pairs = (
-        a.join(b, (F.col("a.h") == F.col("b.h")) & near & (F.col("a.key") != F.col("b.key")))
-        .groupBy(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
-        .agg(F.count(F.lit(1)).alias("seeds"), F.min(F.least("a.m", "b.m")).alias("m"))
-        .filter(F.col("seeds") >= F.col("m") * F.lit(SHARED))
-        .select("a", "b", "seeds")
-    )
+    # The first shared shingle has at most what is left of either side behind it: a pair
+    # that is near passes at that one, whatever its others do.
+    enough = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= (F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6)
+    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & near & enough & (F.col("a.key") != F.col("b.key"))).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
     side = lambda x: sig.select(F.col("key").alias(x), *[F.col(c).alias(c + x) for c in ("wh", "hs", "ps")])
     work = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -223,11 +225,15 @@ def class_overlaps(classes: DataFrame, k: int, threshold: float) -> DataFrame:
             for x in p.itertuples(index=False):
                 wa, wb = as_hash(x.wha), as_hash(x.whb)
                 _, i, j = np.intersect1d(x.hsa, x.hsb, assume_unique=True, return_indices=True)
-                blocks = extend(wa, wb, chain(np.asarray(x.psa)[i], np.asarray(x.psb)[j]))
-                got = sum(n for *_, n in blocks)
-                out.append((x.a, x.b, x.seeds, got / len(wa), got / len(wb), jaccard(wa, wb, k)))
-            r = pd.DataFrame(out, columns=["a", "b", "seeds", "coverage_a", "coverage_b", "similarity"])
-            yield r[r["similarity"] >= threshold]
+                alike = jaccard(wa, wb, k)
+                if alike < threshold:
+                    continue
+                pa_, pb = np.asarray(x.psa)[i], np.asarray(x.psb)[j]
+                if not len(i):
+                    _, pa_, pb = np.intersect1d(shingles(wa, k), shingles(wb, k), return_indices=True)
+                got = sum(n for *_, n in extend(wa, wb, chain(pa_, pb)))
+                out.append((x.a, x.b, len(pa_), got / len(wa), got / len(wb), alike))
+            yield pd.DataFrame(out, columns=["a", "b", "seeds", "coverage_a", "coverage_b", "similarity"])
 
     return work.mapInPandas(
         run, "a bigint, b bigint, seeds bigint, coverage_a double, coverage_b double, similarity double"

@@ -105,6 +105,20 @@ def test_split_overlaps_equal_brute_force(spark, corpus):
     assert overlap.split_overlaps(empty, make(right), "id", "text", "act").count() == 0
 
 
+def test_split_overlaps_of_reordered_sentences(spark):
+    rng = random.Random(21)
+    left, right = [], []
+    for i in range(8):
+        parts = [text(rng, 8) for _ in range(20)]
+        left.append((i, " ".join(parts)))
+        right.append((i, " ".join(rng.sample(parts, 20))))
+    other = [(50 + i, text(rng, 160)) for i in range(8)]
+    make = lambda rows: spark.createDataFrame(rows, "id bigint, text string")
+    got = overlap.split_overlaps(make(left + other), make(right), "id", "text", None, 3, 0.6).collect()
+    assert {(r["id_a"], r["id_b"]) for r in got} == {(i, j) for i, a in left + other for j, b in right if jaccard(a, b) >= 0.6} != set()
+    assert all(r["coverage_a"] > 0 for r in got)
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(5)
     for _ in range(50):
