@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.llm.boost import Boosted
+from scriptoria.llm.near import components, near_duplicates
+from scriptoria.llm.overlap import act_key
 from scriptoria.session import cut, spread
 
 SAMPLE_TEXTS = 1500  # texts the furniture trees are trained on
@@ -365,17 +367,47 @@ def laid_out(txt: DataFrame, rates: np.ndarray, trees: Boosted | None) -> DataFr
     )
 
 
-COMMON = 0.02  # a word in this share of the scanned texts, and in three at least, is a word too
+COMMON = 0.02  # a word in this share of the distinct scans, and in three at least, is a word too
+COMMONER = 5  # times as common as a scanned word is the clean word that it is taken for a misreading of
 
 
-def vocabulary(clean: DataFrame, text_col: str, body: DataFrame, texts: int) -> DataFrame:
+def distinct_scans(txt: DataFrame, act: bool) -> DataFrame:
+    """(txt_id, scan): texts that are near copies, or of one act, are one scan."""
+    rows = txt.select(F.col("txt_id").cast("bigint").alias("txt_id"), "txt", (act_key("id_atto") if act else F.lit(None).cast("string")).alias("act"))
+    members, links = near_duplicates(rows, "txt_id", "txt", 3, 0.6)
+    rows = rows.select("txt_id", "act").join(members.withColumnRenamed("id", "txt_id"), "txt_id", "left")
+    rows = cut(rows.select("txt_id", "act", F.coalesce("key", F.xxhash64(F.lit("txt"), "txt_id")).alias("key")))
+    acts = rows.filter("act is not null").select(F.col("key").alias("a"), F.xxhash64(F.lit("act"), "act").alias("b")).distinct()
+    group = components(rows.select("key").distinct(), links.select("a", "b").unionByName(acts))
+    return cut(rows.join(group, "key").select("txt_id", F.col("group").alias("scan")))
+
+
+def confused(word: str) -> set[str]:
+    """All that one known confusion makes of a word."""
+    both = [(a, b) for x, y in CONFUSIONS for a, b in ((x, y), (y, x))]
+    return {word[:i] + b + word[i + len(a) :] for a, b in both for i in range(len(word)) if word.startswith(a, i)} - {word}
+
+
+def _readings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in batches:
+        yield pd.DataFrame([(w, n, c) for w, n in zip(p["w"], p["n"]) for c in sorted(confused(w))], columns=["w", "n", "c"])
+
+
+def vocabulary(clean: DataFrame, text_col: str, body: DataFrame, scans: DataFrame) -> DataFrame:
     """(w, n): words of the clean texts with their counts, and the words that stand in
-    so many of the scanned texts that they cannot be misreadings."""
+    so many distinct scans (txt_id, scan) that they cannot be misreadings, unless they
+    are one confusion away from a clean word that is much commoner."""
     w = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(?U)(\p{L}+)"), 1)).alias("w")
     known = clean.filter(F.col(text_col).isNotNull()).select(w).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     mine = body.select("txt_id", F.explode("words").alias("w")).filter(F.col("w").rlike(r"(?U)^\p{L}+$"))
-    mine = mine.groupBy("w", "txt_id").agg(F.count(F.lit(1)).alias("c")).groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("n"))
-    mine = mine.filter(F.col("df") >= max(KNOWN, int(COMMON * texts))).select("w", "n")
+    mine = mine.groupBy("w", "txt_id").agg(F.count(F.lit(1)).alias("c")).join(scans, "txt_id").groupBy("w").agg(F.countDistinct("scan").alias("df"), F.sum("c").alias("n"))
+    least = max(KNOWN, int(COMMON * scans.select("scan").distinct().count()))
+    known, mine = cut(known), cut(mine)
+    often = mine.filter(F.col("df") >= least).select("w", "n")
+    sure = known.filter(F.col("n") >= KNOWN)
+    total = sure.join(mine.select("w", F.col("n").alias("m")), "w", "left").select(F.col("w").alias("c"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("nc"))
+    taken = often.join(sure, "w", "left_anti").mapInPandas(_readings, "w string, n bigint, c string").join(total, "c").filter(F.col("nc") >= COMMONER * F.col("n"))
+    mine = often.join(taken.select("w").distinct(), "w", "left_anti")
     return known.unionByName(mine).groupBy("w").agg(F.sum("n").alias("n"))
 
 
@@ -601,8 +633,8 @@ class Repaired:
     table of clean texts to take words from.
 
     Null and blank texts have no lines. A null or zero page count counts as one page.
-    Repeated texts are worked on one by one; their txt_id must differ. Other columns
-    are not read. Without clean texts the words common to the scanned ones are the
+    Repeated texts are worked on one by one; their txt_id must differ. An id_atto, where
+    there is one, says which texts are of one act. Other columns are not read. Without clean texts the words common to the scanned ones are the
     vocabulary.
     """
 
@@ -611,7 +643,7 @@ class Repaired:
         rates = break_rates(src)
         self.lines = cut(laid_out(src, rates, furniture_trees(src, rates)))
         body = self.lines.filter("kind = 'corpo'")
-        self.vocab = cut(vocabulary(clean, clean_text, body, src.count()))
+        self.vocab = cut(vocabulary(clean, clean_text, body, distinct_scans(txt, "id_atto" in txt.columns)))
         compound = F.explode(F.regexp_extract_all(F.lower("line"), F.lit(r"(?U)(\p{L}+-\p{L}+)"), 1)).alias("compound")
         compounds = body.select(compound).groupBy("compound").agg(F.count(F.lit(1)).alias("nc"))
         self.joins = cut(joins(self.lines, self.vocab, compounds))

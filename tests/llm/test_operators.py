@@ -390,3 +390,18 @@ def test_scans_round_trip(spark):
     empty = scans.Repaired(t.limit(0), c, "testo")
     assert empty.found().count() == 0 and empty.text().count() == 0
     assert scans.Repaired(t, c.limit(0), "testo").found().filter("difetto = 'numero_pagina'").count() == len([x for x in truth if x[2] == "numero_pagina"])
+
+
+def test_copies_of_a_scan_make_no_vocabulary(spark):
+    rng = random.Random(17)
+    clean = [(i, "della delibera del consiglio " + text(rng, 30)) for i in range(40)]
+    one = "una prova con provvedlmento " + text(rng, 40)
+    txts = [(i, one, None) for i in range(30)]  # copies of one scan
+    txts += [(100 + i, f"zzqwx {text(rng, 40)}", "7") for i in range(8)]  # windows of one act
+    txts += [(200 + i, f"dclla giunta {text(rng, 40)}", str(50 + i)) for i in range(6)]  # a common misreading
+    txts += [(300 + i, f"protocollo {text(rng, 40)}", str(90 + i)) for i in range(6)]  # a word that only scans have
+    t = spark.createDataFrame(txts, "txt_id bigint, txt string, id_atto string")
+    c = spark.createDataFrame(clean, "id bigint, testo string")
+    body = t.select("txt_id", F.split("txt", " ").alias("words"))
+    w = {r["w"] for r in scans.vocabulary(c, "testo", body, scans.distinct_scans(t, True)).collect()}
+    assert {"della", "protocollo", "giunta"} <= w and not {"provvedlmento", "zzqwx", "dclla"} & w
