@@ -91,6 +91,17 @@ def as_hash(x) -> np.ndarray:
     return np.asarray(x, dtype=np.int64).view(np.uint64)
 
 
+def small(df: "DataFrame", most: int = 100_000) -> "DataFrame":  # noqa: F821
+    """``df``, written down and, where it is known to have ``most`` rows or fewer, marked
+    for broadcast; larger ones are joined by shuffle."""
+    from pyspark.sql import functions as F
+
+    from scriptoria.session import cut
+
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def lists(values: np.ndarray, lengths) -> "pyarrow.Array":  # noqa: F821
     """A list<int64> Arrow array of concatenated values and their lengths."""
     import pyarrow as pa

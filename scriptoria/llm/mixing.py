@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptoria.llm.common import small
 from scriptoria.llm.quotas import draw
 from scriptoria.session import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SALT = "miscela"
 # Fixed value: the pre-tokenisation pattern that belongs to that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -58,37 +60,36 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, source: str, path: str
 
 def mix_rates(counted: DataFrame, weights: DataFrame) -> DataFrame:
     """The weights (miscela_id, source, peso_pct, max_ripetizioni, dimensione_pct) with
-    source_tokens, wanted_tokens, rate and short (the source cannot fill its share).
+    source_tokens, wanted (in ten-thousandths of a token), rate and capped (the source
+    has no more than its share even when repeated as often as it may be).
 
     The mix's total is dimensione_pct % of the tokens of all documents, those without
     source included. A source without documents has 0 tokens and rate 0. The output
     keeps the weights' own spelling of the source.
     """
-    per = counted.groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
+    per = small(counted.groupBy("source").agg(F.sum("tokens").alias("source_tokens")))
     total = per.agg(F.coalesce(F.sum("source_tokens"), F.lit(0))).first()[0]
     have = per.filter("source is not null").withColumnRenamed("source", "key")
-    wanted = F.lit(total).cast("bigint") * F.col("dimensione_pct").cast("bigint") * F.col("peso_pct").cast("bigint")  # ten-thousandths
+    most = F.col("max_ripetizioni")
     return (
         weights.select("miscela_id", "source", "peso_pct", "max_ripetizioni", "dimensione_pct", source_key(F.col("source")).alias("key"))
         .join(have, "key", "left")
         .withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0)))
-        .withColumn("wanted_tokens", wanted / 10000)
-        .withColumn("short", F.col("source_tokens") * F.col("max_ripetizioni") * 10000 < wanted)
-        .withColumn(
-            "rate",
-            F.when(F.col("source_tokens") > 0, F.least(F.col("max_ripetizioni").cast("double"), F.col("wanted_tokens") / F.col("source_tokens"))).otherwise(0.0),
-        )
+        .withColumn("wanted", F.lit(total).cast("bigint") * F.col("dimensione_pct").cast("bigint") * F.col("peso_pct").cast("bigint"))
+        .withColumn("capped", F.col("source_tokens") * most * 10000 <= F.col("wanted"))
+        .withColumn("rate", F.when(F.col("source_tokens") == 0, 0.0).when(F.col("capped"), most.cast("double")).otherwise(F.col("wanted") / 10000 / F.col("source_tokens")))
     )
 
 
 def mixed(counted: DataFrame, rates: DataFrame) -> DataFrame:
     """(miscela_id, source, doc_id, copia, tokens): every chosen copy of a document,
-    numbered from 1. Repeated doc ids draw the same number and are otherwise separate."""
+    numbered from 1: floor(rate) of each, and one more where its draw is below the
+    rate's fraction. Repeated doc ids draw the same number and are otherwise separate."""
     per = rates.filter("rate > 0").select("miscela_id", F.col("source").alias("name"), F.col("key").alias("source"), "rate")
     whole = F.floor("rate")
-    extra = (draw(F.col("miscela_id"), F.col("doc_id")) < F.col("rate") - whole).cast("int")
+    extra = (draw(SALT, F.col("miscela_id"), F.col("doc_id")) < F.col("rate") - whole).cast("int")
     return (
-        counted.join(per, "source")
+        counted.join(small(per), "source")
         .withColumn("n", (whole + extra).cast("int"))
         .filter("n > 0")
         .select("miscela_id", F.col("name").alias("source"), "doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copia"), "tokens")
@@ -97,18 +98,19 @@ def mixed(counted: DataFrame, rates: DataFrame) -> DataFrame:
 
 def mix_shares(counted: DataFrame, rates: DataFrame) -> DataFrame:
     """(miscela_id, source, peso_pct, wanted_tokens, drawn_tokens, actual_pct, short):
-    what each source really gives to its mix."""
+    what each source really gives to its mix; short where it gives all it may and that
+    is less than its share."""
     got = mixed(counted, rates).groupBy("miscela_id", "source").agg(F.sum("tokens").alias("drawn_tokens"))
-    out = rates.join(got, ["miscela_id", "source"], "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0)))
+    out = small(rates.join(small(got), ["miscela_id", "source"], "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0))))
     all_ = out.groupBy("miscela_id").agg(F.sum("drawn_tokens").alias("mix_tokens"))
     return out.join(all_, "miscela_id").select(
         "miscela_id",
         "source",
         "peso_pct",
-        "wanted_tokens",
+        (F.col("wanted") / 10000).alias("wanted_tokens"),
         "drawn_tokens",
         (100.0 * F.col("drawn_tokens") / F.nullif(F.col("mix_tokens"), F.lit(0))).alias("actual_pct"),
-        "short",
+        (F.col("capped") & (F.col("drawn_tokens") * 10000 < F.col("wanted"))).alias("short"),
     )
 
 

@@ -23,26 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.llm.common import U, WordHashes, as_hash, as_long, lists, mix, shingles, text_key, words
+from scriptoria.operators.relational import act_id
 from scriptoria.session import cut, spread
 
 SKETCH_BITS = 20  # the sketch has 2^20 counters whatever the data's size: 4 MB to broadcast
 WINDOW = 7  # shingles of a winnowing window: any 9 words in a row that two texts share yield a common seed
 
 
-def act_key(id_col: str | Column) -> Column:
-    """'number_suffix' of an act id, whatever its padding or blanks; null if it has none."""
-    c = F.col(id_col) if isinstance(id_col, str) else id_col
-    c = F.regexp_replace(c, r"(?U)\s+", "")
-    pat = r"^0*([0-9]+)(?:_0*([0-9]+))?$"
-    return F.when(
-        c.rlike(pat), F.concat_ws("_", F.regexp_extract(c, pat, 1), F.nullif(F.regexp_extract(c, pat, 2), F.lit("")))
-    )
-
-
 def hashed(df: DataFrame, k: int) -> DataFrame:
     """(side, id, act, key, wh) of (side, id, act, text): wh are the word hashes in
     order; texts of fewer than ``k`` words, empty and null ones keep a null key."""
@@ -255,7 +246,7 @@ def split_overlaps(
     pick = lambda d, side: d.select(
         F.lit(side).alias("side"),
         F.col(id_col).cast("bigint").alias("id"),
-        (act_key(act_col) if act_col else F.lit(None).cast("string")).alias("act"),
+        (act_id(act_col) if act_col else F.lit(None).cast("string")).alias("act"),
         F.col(text_col).alias("text"),
     )
     rows = cut(hashed(spread(pick(left, "a").unionByName(pick(right, "b"))), k))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions.labels import canonical_label, not_blank
 from scriptoria.llm import abuse, leaks, mixing, near, overlap, pairs, quotas, scans, truncation
+from scriptoria.plans import sqlkit as Q
 from scriptoria.session import cut, table
 
 SIMILAR, SHINGLE = 0.6, 3  # "alike" in this project's data
@@ -63,31 +64,30 @@ def _usable(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("riga_id", canonical_label(F.col("golden_label")).alias("label")).filter("label is not null")
 
 
-def _targets(spark: SparkSession, d: str, keep: bool = False) -> tuple[DataFrame, DataFrame]:
-    rows = _usable(spark, d)
-    if keep:  # id and label alone: sampling reads them several times
-        rows = cut(rows)
+def _quotas(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = cut(_usable(spark, d))  # id and label alone: sampling reads them several times
     return rows, quotas.quota_targets(rows, "label", table(spark, d, "quote_campione"))
 
 
+def _quota_report(spark: SparkSession, d: str) -> DataFrame:
+    rows, targets = _quotas(spark, d)
+    return quotas.quota_report(rows, "riga_id", "label", targets)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Labels whose target cannot be met."""
-    return _targets(spark, d)[1].filter("deficit > 0").select("campagna_id", "golden_label")
+    """Labels of which the sampler could not draw what was asked for."""
+    return _quota_report(spark, d).filter("deficit > 0").select("campagna_id", "golden_label")
 
 
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     """The sampled rows of each campaign."""
-    rows, targets = _targets(spark, d, keep=True)
+    rows, targets = _quotas(spark, d)
     return quotas.quota_sample(rows, "riga_id", "label", targets).withColumnRenamed("id", "riga_id")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """What each campaign asked for, drew and lacks, by label."""
-    rows, targets = _targets(spark, d, keep=True)
-    drawn = quotas.quota_sample(rows, "riga_id", "label", targets).groupBy("campagna_id", "golden_label").agg(F.count(F.lit(1)).alias("drawn"))
-    return targets.join(drawn, ["campagna_id", "golden_label"], "left").select(
-        "campagna_id", "golden_label", "usable", "size", "needed", F.coalesce("drawn", F.lit(0)).cast("bigint").alias("drawn"), "deficit"
-    )
+    return _quota_report(spark, d).select("campagna_id", "golden_label", "usable", "size", "needed", "drawn", "deficit")
 
 
 # --- 4: overlap of the splits
@@ -184,8 +184,8 @@ def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that cannot fill their share of a mix."""
-    return _mix(spark, d)[1].filter("short").select("miscela_id", "source")
+    """Sources whose copies, as many as they may have, do not fill their share of a mix."""
+    return mixing.mix_shares(*_mix(spark, d)).filter("short").select("miscela_id", "source")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -230,17 +230,8 @@ QUERIES = {
     )
 }
 
-_SPELLINGS = """CASE lower(regexp_replace(golden_label, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))
- WHEN 'accordo sindacale' THEN 'AccordoSindacale' WHEN 'accordosindacale' THEN 'AccordoSindacale' WHEN 'decreto' THEN 'Decreto' WHEN 'decreto sindacale' THEN 'Decreto'
- WHEN 'delibera consiglio' THEN 'DeliberaConsiglio' WHEN 'delibera di consiglio' THEN 'DeliberaConsiglio' WHEN 'deliberazione consiglio' THEN 'DeliberaConsiglio'
- WHEN 'deliberazione di consiglio' THEN 'DeliberaConsiglio' WHEN 'deliberazione del consiglio' THEN 'DeliberaConsiglio' WHEN 'deliberaconsiglio' THEN 'DeliberaConsiglio'
- WHEN 'delibera giunta' THEN 'DeliberaGiunta' WHEN 'delibera di giunta' THEN 'DeliberaGiunta' WHEN 'deliberazione giunta' THEN 'DeliberaGiunta'
- WHEN 'deliberazione di giunta' THEN 'DeliberaGiunta' WHEN 'deliberazione della giunta' THEN 'DeliberaGiunta' WHEN 'deliberagiunta' THEN 'DeliberaGiunta'
- WHEN 'determina' THEN 'Determina' WHEN 'determina dirigenziale' THEN 'Determina' WHEN 'determinazione' THEN 'Determina' WHEN 'determinazione dirigenziale' THEN 'Determina'
- WHEN 'ordinanza' THEN 'Ordinanza' WHEN 'ordinanza sindacale' THEN 'Ordinanza' WHEN 'regolamento' THEN 'Regolamento' WHEN 'regolamento comunale' THEN 'Regolamento'
- WHEN 'statuto' THEN 'Statuto' END"""
 _QUOTAS = f"""
-WITH u AS (SELECT {_SPELLINGS} AS label FROM dataset_atti WHERE regexp_replace(testo_completo_llm, '[\\s\\p{{Z}}]+', '', 'g') <> ''),
+WITH u AS (SELECT riga_id, {Q.canonical('golden_label')} AS label FROM dataset_atti WHERE regexp_replace(testo_completo_llm, '[\\s\\p{{Z}}]+', '', 'g') <> ''),
 c AS (SELECT label, count(*) AS usable FROM u WHERE label IS NOT NULL GROUP BY 1),
 t AS (SELECT coalesce(sum(usable), 0) AS total FROM c),
 z AS (SELECT q.campagna_id, q.golden_label, coalesce(c.usable, 0) AS usable, CAST(total * frazione_pct // 100 AS BIGINT) AS size, quota_pct, minimo
@@ -268,6 +259,10 @@ _ACTS = """, ids AS (SELECT 'a' AS side, riga_id, regexp_extract(regexp_replace(
 
 ORACLES = {
     "p3_found": _QUOTAS + "SELECT campagna_id, golden_label FROM n WHERE usable < needed",
+    "p3_sample": _QUOTAS
+    + """, r AS (SELECT n.campagna_id, n.golden_label, u.riga_id, least(needed, usable) AS target,
+  row_number() OVER (PARTITION BY n.campagna_id, n.golden_label ORDER BY left(md5('quote:' || n.campagna_id || ':' || u.riga_id), 13), u.riga_id) AS r FROM n JOIN u ON u.label = n.golden_label)
+SELECT campagna_id, golden_label, riga_id FROM r WHERE r <= target""",
     "p3_report": _QUOTAS
     + "SELECT campagna_id, golden_label, usable, size, CAST(needed AS BIGINT) AS needed, CAST(least(needed, usable) AS BIGINT) AS drawn, CAST(needed - least(needed, usable) AS BIGINT) AS deficit FROM n",
     "p4_report": _alike(_SPLITS, "a.side = 'a' AND b.side = 'b'")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.llm.boost import Boosted
 from scriptoria.llm.near import components, near_duplicates
-from scriptoria.llm.overlap import act_key
+from scriptoria.operators.relational import act_id
 from scriptoria.session import cut, spread
 
 SAMPLE_TEXTS = 1500  # texts the furniture trees are trained on
@@ -373,7 +373,7 @@ COMMONER = 5  # times as common as a scanned word is the clean word that it is t
 
 def distinct_scans(txt: DataFrame, act: bool) -> DataFrame:
     """(txt_id, scan): texts that are near copies, or of one act, are one scan."""
-    rows = txt.select(F.col("txt_id").cast("bigint").alias("txt_id"), "txt", (act_key("id_atto") if act else F.lit(None).cast("string")).alias("act"))
+    rows = txt.select(F.col("txt_id").cast("bigint").alias("txt_id"), "txt", (act_id("id_atto") if act else F.lit(None).cast("string")).alias("act"))
     members, links = near_duplicates(rows, "txt_id", "txt", 3, 0.6)
     rows = rows.select("txt_id", "act").join(members.withColumnRenamed("id", "txt_id"), "txt_id", "left")
     rows = cut(rows.select("txt_id", "act", F.coalesce("key", F.xxhash64(F.lit("txt"), "txt_id")).alias("key")))

@@ -360,13 +360,13 @@ def truncated(
 def last_tokens(df: DataFrame, audit: DataFrame) -> DataFrame:
     """(id, tokens): for each dataset row the output tokens of its act's last audited
     run in the same experiment; acts are matched by number and suffix."""
-    from scriptoria.llm.overlap import act_key
+    from scriptoria.operators.relational import act_id
 
     runs = (
-        audit.select(act_key("id_atto").alias("act"), "esperimento", "output_tokens", "registrato_il")
+        audit.select(act_id("id_atto").alias("act"), "esperimento", "output_tokens", "registrato_il")
         .filter("act is not null and output_tokens is not null")
         .groupBy("act", "esperimento")
         .agg(F.max_by("output_tokens", F.struct("registrato_il", "output_tokens")).alias("tokens"))
     )
-    rows = df.select(F.col("riga_id").alias("id"), act_key("id_atto").alias("act"), "esperimento")
+    rows = df.select(F.col("riga_id").alias("id"), act_id("id_atto").alias("act"), "esperimento")
     return rows.join(runs, ["act", "esperimento"]).select("id", "tokens")

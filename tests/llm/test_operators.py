@@ -1,6 +1,7 @@
 """Training-data operators against brute force, and on dirty input: nulls in any column,
 empty and very long texts, ties and repeated rows, empty tables, clashing names."""
 
+import hashlib
 import random
 import re
 
@@ -173,13 +174,30 @@ def test_quota_sample_is_exact(spark):
     quota = spark.createDataFrame([(1, "a", 50, 10, 50), (1, "b", 40, 10, 50), (1, "c", 10, 10, 50), (1, "manca", 0, 3, 50), (2, "a", 100, 1, 90)], "campagna_id bigint, golden_label string, quota_pct int, minimo int, frazione_pct int")
     t = quotas.quota_targets(rows, "lab", quota)
     by = {(r["campagna_id"], r["golden_label"]): r for r in t.collect()}
-    assert by[1, "manca"]["deficit"] == 3 and by[1, "a"]["needed"] == 500 and by[1, "a"]["usable"] == 286 and by[1, "a"]["deficit"] == 214
+    assert by[1, "a"]["needed"] == 500 and by[1, "a"]["usable"] == 286
+    report = {(r["campagna_id"], r["golden_label"]): (r["drawn"], r["deficit"]) for r in quotas.quota_report(rows, "id", "lab", t).collect()}
+    assert report[1, "manca"] == (0, 3) and report[1, "a"] == (286, 214) and report[1, "b"] == (by[1, "b"]["target"], by[1, "b"]["needed"] - by[1, "b"]["target"])
     got = {(r[0], r[1]): r[2] for r in quotas.quota_sample(rows, "id", "lab", t).groupBy("campagna_id", "golden_label").count().collect()}
     assert got == {k: r["target"] for k, r in by.items() if r["target"]}
     again = quotas.quota_sample(rows, "id", "lab", t)
     assert again.exceptAll(quotas.quota_sample(rows, "id", "lab", t)).count() == 0
     empty = quotas.quota_targets(rows.limit(0), "lab", quota)
-    assert quotas.quota_sample(rows.limit(0), "id", "lab", empty).count() == 0 and empty.filter("deficit = minimo").count() == 5
+    assert quotas.quota_sample(rows.limit(0), "id", "lab", empty).count() == 0 and quotas.quota_report(rows.limit(0), "id", "lab", empty).filter("deficit = minimo").count() == 5
+
+
+@pytest.mark.parametrize("bins", [1, 4, 4096])
+def test_quota_sample_takes_the_least_draws(spark, monkeypatch, bins):
+    monkeypatch.setattr(quotas, "BINS", bins)
+    rows = spark.createDataFrame([(i, "abc"[min(2, i % 7)]) for i in range(500)] + [(None, "a"), (None, "a")], "id bigint, lab string")
+    quota = spark.createDataFrame([(1, "a", 10, 1, 90), (1, "b", 3, 1, 90), (1, "c", 40, 1, 90), (2, "a", 7, 1, 50)], "campagna_id bigint, golden_label string, quota_pct int, minimo int, frazione_pct int")
+    t = quotas.quota_targets(rows, "lab", quota)
+    got = sorted(map(tuple, quotas.quota_sample(rows, "id", "lab", t).collect()), key=str)
+    want = []
+    for q in t.collect():
+        ids = [r["id"] for r in rows.filter(F.col("lab") == q["golden_label"]).collect()]
+        u = lambda i: hashlib.md5(f"quote:{q['campagna_id']}:{'' if i is None else i}".encode()).hexdigest()[:13]  # noqa: B023, E731
+        want += [(q["campagna_id"], q["golden_label"], i) for i in sorted(ids, key=lambda i: (u(i), i or -1))[: q["target"]]]
+    assert got == sorted(want, key=str) and got
 
 
 def test_mix(spark):
@@ -189,14 +207,21 @@ def test_mix(spark):
     e = mixing.encoder()
     assert counted.agg(F.sum("tokens")).first()[0] == sum(len(e.encode_ordinary("parola " * (1 + i % 5))) for i in range(400) if i != 5)
     rates = mixing.mix_rates(counted, w)
-    assert sorted((r[0], r[1]) for r in rates.filter("short").select("miscela_id", "source").collect()) == [(1, "forum"), (2, "assente")]
+    mixed = mixing.mixed(counted, rates)
     got = mixing.mix_shares(counted, rates).collect()
+    assert sorted((r["miscela_id"], r["source"]) for r in got if r["short"]) == [(1, "forum"), (2, "assente")]
+    copies, want = {(r[0], r[1], r[2]): r[3] for r in mixed.groupBy("miscela_id", "source", "doc_id").count().collect()}, {}
+    for r in rates.filter("rate > 0").collect():
+        for doc in counted.filter(F.col("source") == r["key"]).collect():
+            u = int(hashlib.md5(f"miscela:{r['miscela_id']}:{doc['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
+            want[r["miscela_id"], r["source"], doc["doc_id"]] = int(r["rate"]) + (u < r["rate"] % 1)
+    assert copies == {k: n for k, n in want.items() if n}
     for r in got:
         if not r["short"] and r["wanted_tokens"]:
             assert abs(r["drawn_tokens"] - r["wanted_tokens"]) < 0.15 * r["wanted_tokens"]
-    assert mixing.mixed(counted, rates).groupBy("miscela_id", "source", "doc_id").count().filter("count > 4").count() == 0
+    assert mixed.groupBy("miscela_id", "source", "doc_id").count().filter("count > 4").count() == 0
     none = mixing.counted_documents(docs.limit(0))
-    assert mixing.mix_rates(none, w).filter("short").count() == 0 and mixing.mixed(none, mixing.mix_rates(none, w)).count() == 0
+    assert mixing.mix_shares(none, mixing.mix_rates(none, w)).filter("short").count() == 0 and mixing.mixed(none, mixing.mix_rates(none, w)).count() == 0
 
 
 @pytest.mark.parametrize(
