@@ -49,10 +49,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    """Share of cut texts per experiment."""
-    r = _cut_rows(spark, d).filter("kind <> 'blank'")
+    """Per experiment the share of cut texts, the share that the fitted lengths alone call
+    cut at a limit, and the verdicts that the lengths changed."""
+    r = _cut_rows(spark, d).filter("form <> 'blank'")
     return r.groupBy(F.col("source").alias("esperimento")).agg(
-        F.count(F.lit(1)).alias("testi"), F.sum(F.col("cut").cast("bigint")).alias("tagliati"), F.avg(F.col("cut").cast("double")).alias("tasso")
+        F.count(F.lit(1)).alias("testi"),
+        F.sum(F.col("cut").cast("bigint")).alias("tagliati"),
+        F.avg(F.col("cut").cast("double")).alias("tasso"),
+        F.avg("posterior").alias("tasso_ai_limiti"),
+        F.count_if(F.col("cut") != F.col("unaided")).alias("decisi_dai_limiti"),
     )
 
 

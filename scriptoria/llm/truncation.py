@@ -1,37 +1,49 @@
 """Texts cut before their end: censored length distributions and ending evidence.
 
-Plan. A first pass reduces every text to its lengths and the form of its ending. The
-endings that no closing mark settles are judged by the corpus itself: a last fragment
-is a closing formula if distinct texts, with distinct words before it, end with it more
-often than they go on after it, and a last word is whole if it occurs inside other
-texts (or, where it stands nowhere inside, begins no longer word). Equal copies of a text count once. Candidates and the word sketch are of bounded
-size. Length histograms, one row a source and length, give for each source a
-right-censored log-normal by maximum likelihood, the limits where lengths pile up, and
-the posterior that a text of just that length was cut there; the token cap of the last
-run in the audit is a third measure. Evidence and posterior add up as log odds.
+Plan. A first pass reduces every text to its lengths and the form of its ending. Closing
+marks and known closing formulas settle their texts, and so do ends after which more
+must come: a comma, a function word, half a word. What is left is open: a fragment of
+whole words that may be a closing formula not known beforehand, or a full stop that may
+belong to a figure or a name. Two passes over the corpus judge its parts: a fragment
+that ends distinct texts more often than it goes on in them, and a last word that
+stands inside other texts. Equal copies of a text count once throughout.
+
+Length histograms of distinct texts give for each source a right-censored log-normal by
+maximum likelihood, the limits where lengths pile up, and the posterior that a text of
+just that length was cut there; the token cap of the last run in the audit is a third
+measure. How cut texts end is learned where the posterior is high, how complete ones
+end from the texts away from all limits, less what cuts explain there. The log odds of
+a text are those of its form and those of being cut, which the posterior raises at a
+limit: an open end that is more common away from the limits than cuts explain is
+complete there, and cut at a limit.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import U, WordHashes, signed
+from scriptoria.llm.common import U, WordHashes, as_long, signed, small
 from scriptoria.session import cut, spread
 
-SEEN_BITS = 22  # word sketch: 2^22 bits whatever the data's size
-FORMULA_SHARE = 2e-3  # a formula ends at least this share of the texts: at most 500 candidates
+SKETCH_BITS = 22  # of fragment beginnings worth counting: where it fills, more are counted, none is lost
+FORMULA_SHARE = 2e-3  # a frequent fragment ends at least this share of the distinct texts: at most 500 are
 FORMULA_LEAST = 3
 BEFORE = 24  # words before a last fragment by which two texts that end with it differ
+SOURCE_ROWS = 50  # texts that the rate of cuts over all sources weighs in that of each
+# How cut texts end, weighing as much as four of them: rules where a table has few at its limits.
+USUAL = {"inside": 1.8, "hanging": 0.8, "dangling": 0.3, "fragment": 1.0, "repeated": 0.05, "frequent": 0.02, "doubtful": 0.03}
+CUT = ("inside", "hanging", "dangling")  # forms after which more must come
+OPEN = ("fragment", "repeated", "frequent", "doubtful")  # forms that the odds decide
+SURE = 0.5  # posterior from which a text is at a limit
 
 # Abbreviations after which a sentence goes on; marks of omission.
 ABBREVIATIONS = frozenset(
@@ -112,116 +124,126 @@ def _digest(words: list[str]) -> int:
     return signed(xxhash.xxh3_64_intdigest(" ".join(words)))
 
 
+def shape(fragment: str) -> str:
+    """A fragment as fragments are compared: in lower case, unless it is all capitals."""
+    return fragment if fragment.isupper() else fragment.lower()
+
+
+def head_hashes(tokens: list[str], hashes: WordHashes) -> list[int]:
+    """Signed hashes of the first 1, 2, ... tokens."""
+    out, h = [], 0
+    for w in hashes(tokens).tolist():
+        h = ((h ^ w) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF
+        h ^= h >> 29
+        out.append(signed(h))
+    return out
+
+
 def described(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, chars, bytes, kind, fragment, word, key, before) of each row: key
-    stands for the text, blanks and case apart, before for the words before the fragment."""
+    """(id, source, chars, bytes, kind, fragment, words, word, stem, key, before, known, named)
+    of each row: fragment, word and key are hashes of the last fragment, of its last
+    word and of the text, blanks and case apart; words counts the fragment's tokens,
+    stem is its last word; before stands for the words ahead of it; known: it is a
+    closing formula known beforehand; named: it ends in a name."""
     src = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
+    fields = [("chars", pa.int32()), ("bytes", pa.int32()), ("kind", pa.string()), ("fragment", pa.int64()), ("words", pa.int32()), ("word", pa.int64()), ("stem", pa.string()), ("key", pa.int64()), ("before", pa.int64()), ("known", pa.bool_()), ("named", pa.bool_())]
+
+    def of(t: str | None, hashes: WordHashes) -> tuple:
+        kind, frag, word = ending(t)
+        seq = (t or "").lower().split()
+        size = len((t or "").encode("utf-8", "replace"))
+        if kind == "open":
+            tokens = shape(frag).split()
+            low = frag.lower()
+            known = bool(SIGN_OFF.fullmatch(low)) or (frag.isupper() and bool(OFFICE_ALONE.fullmatch(low)))
+            before = _digest(seq[: max(0, len(seq) - len(tokens))][-BEFORE:])
+            return len(t), size, kind, head_hashes(tokens, hashes)[-1], len(tokens), signed(int(hashes([word])[0])), word, _digest(seq), before, known, frag.endswith("§")
+        return len(t or ""), size, kind, None, 0, None, word, _digest(seq), None, False, False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
-            texts = b.column(2).to_pylist()
-            ends = [ending(t) for t in texts]
-            seqs = [(t or "").lower().split() for t in texts]
-            lead = [w[: max(0, len(w) - len(e[1].split()))][-BEFORE:] if e[0] == "open" else [] for w, e in zip(seqs, ends)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    b.column(1),
-                    pa.array([len(t or "") for t in texts], pa.int32()),
-                    pa.array([len((t or "").encode("utf-8", "replace")) for t in texts], pa.int32()),
-                    *[pa.array([e[i] for e in ends], pa.string()) for i in range(3)],
-                    *[pa.array([_digest(w) for w in x], pa.int64()) for x in (seqs, lead)],
-                ],
-                names=["id", "source", "chars", "bytes", "kind", "fragment", "word", "key", "before"],
-            )
-
-    return src.mapInArrow(run, f"id {kind}, source string, chars int, bytes int, kind string, fragment string, word string, key bigint, before bigint")
-
-
-def corpus_evidence(df: DataFrame, text_col: str, described_rows: DataFrame) -> tuple[set[str], np.ndarray]:
-    """(closing formulas, sketch of words that occur inside texts).
-
-    Words like 'Presidente' may stand in closing formulas alone. So a last word that
-    no text has inside passes only where the fragment follows as many distinct heads
-    as it needs texts, and no text has a longer word that begins with it."""
-    ends = described_rows.filter("kind <> 'blank'")
+            rows = [of(t, hashes) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(fields)]], names=["id", "source", *[f for f, _ in fields]])
+
+    return src.mapInArrow(run, f"id {kind}, source string, chars int, bytes int, kind string, fragment bigint, words int, word bigint, stem string, key bigint, before bigint, known boolean, named boolean")
+
+
+def corpus_evidence(df: DataFrame, text_col: str, rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(fragments, words, least): the last fragments of distinct texts that end more than
+    one (fragment, n, heads, on: how often texts go on after it, part: a longer word
+    begins with its last one) and the last words that stand inside texts (word, lo, hi:
+    the least and the greatest text). ``least`` texts make a fragment frequent."""
+    ends = rows.filter("kind <> 'blank'")
     n = ends.select("key").distinct().count()
     least = max(FORMULA_LEAST, math.ceil(FORMULA_SHARE * n))
-    each = ends.filter("kind = 'open'").groupBy("fragment").agg(F.countDistinct("key").alias("n"), F.countDistinct("before").alias("heads"))
-    got = each.filter((F.col("n") >= least) & (F.col("heads") > 1)).collect()
-    ended = Counter({r["fragment"]: r["n"] for r in got})
-    varied = {x for r in got if r["heads"] >= least for x in (r["fragment"], r["fragment"].lower())}
-    for f, c in list(ended.items()):
-        if f != f.lower():
-            ended[f.lower()] += c
-    longest = max((len(x.split()) for x in ended), default=0)
-    last = {f: re.split(r"[\W_]+", f.lower())[-1] for f in ended}
-    asked = {w for w in last.values() if w}
-    sizes = sorted({len(w) for w in asked})
+    open_ = ends.filter("kind = 'open'")
+    each = open_.groupBy("fragment").agg(F.countDistinct("key").alias("n"), F.countDistinct("before").alias("heads"), F.max("words").alias("words"), F.min("stem").alias("stem"))
+    each = cut(each.filter("n > 1 and heads > 1"))
+    spark = df.sparkSession
+    slots = each.select(F.shiftrightunsigned("fragment", 64 - SKETCH_BITS).alias("s")).distinct().toArrow().column("s").to_numpy()
+    sketch = np.zeros(1 << SKETCH_BITS, dtype=bool)
+    sketch[slots] = True
+    stems = {r[0] for r in each.filter(F.col("n") >= least).select("stem").distinct().collect()}  # of at most 1 / FORMULA_SHARE fragments
+    given = spark.sparkContext.broadcast((np.packbits(sketch), each.agg(F.max("words")).first()[0] or 0, stems))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        seen = np.zeros(1 << SEEN_BITS, dtype=bool)
+        packed, longest, asked = given.value
+        wanted = np.unpackbits(packed).tobytes()
+        sizes = sorted({len(w) for w in asked})
+        hashes, tokens = WordHashes(), WordHashes()
         checked: set[str] = set()
-        longer: set[str] = set()  # last words that longer words begin with
-        within: dict[str, tuple[int, int]] = {}  # the least and the greatest text with a last word inside
+        longer: set[str] = set()
         for b in batches:
-            out: list[tuple[str, int, int]] = []
+            seen, of, on = [], [], []
             for t in b.column(0).to_pylist():
                 if not t:
                     continue
-                every = re.findall(r"[^\W\d_]+", t.lower())
-                inside = every[:-1]
+                key = _digest(t.lower().split())
+                every = re.findall(r"[^\W_]+", t.lower())
                 for w in every if asked else ():
                     if w not in checked:
                         if len(checked) > 400_000:
                             checked.clear()
                         checked.add(w)
                         longer.update(w[:k] for k in sizes if k < len(w) and w[:k] in asked)
-                if inside:
-                    seen[(hashes(inside) >> U(64 - SEEN_BITS)).astype(np.int64)] = True
-                key = _digest(t.lower().split())
-                for w in asked.intersection(inside):
-                    lo, hi = within.get(w, (key, key))
-                    within[w] = min(lo, key), max(hi, key)
-                goes_on: Counter[str] = Counter()
-                for s in BOUNDARY.split(_masked(t.strip())):
-                    w = s.split(None, longest + 1)
-                    for k in range(1, min(longest, len(w) - 1) + 1):
-                        head = " ".join(w[:k])
-                        for h in {head, head.lower()}:
-                            if h in ended:
-                                goes_on[h] += 1
-                out += [(f, key, c) for f, c in goes_on.items()]
-            yield block("on", [f for f, _, _ in out], [k for _, k, _ in out], [c for *_, c in out])
-        yield block("in", [w for w, k in within.items() for _ in k], [k for x in within.values() for k in x])
-        yield block("longer", sorted(longer), [0] * len(longer))
-        at = np.nonzero(seen)[0]
-        yield block("seen", [""] * len(at), at)
-
-    def block(what: str, term, key, n=None) -> pa.RecordBatch:
-        cols = [pa.array([what] * len(key), pa.string()), pa.array(term, pa.string()), pa.array(key, pa.int64()), pa.array([1] * len(key) if n is None else n, pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, names=["what", "term", "key", "n"])
-
-    per = df.select(F.col(text_col)).mapInArrow(run, "what string, term string, key bigint, n bigint").groupBy("what", "term", "key").agg(F.max("n").alias("n"))
-    slot = F.when(F.col("what") == "seen", F.col("key"))
-    per = per.groupBy("what", "term", slot.alias("slot")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
-    seen = np.zeros(1 << SEEN_BITS, dtype=bool)
-    goes_on: dict[str, int] = {}
-    elsewhere: set[str] = set()  # last words that stand inside more than one text: inside another one than any given
-    parts: set[str] = set()  # last words that longer words begin with
-    for r in per.toArrow().to_pylist():
-        if r["what"] == "seen":
-            seen[r["slot"]] = True
-        elif r["what"] == "longer":
-            parts.add(r["term"])
-        elif r["what"] == "on":
-            goes_on[r["term"]] = r["n"]
-        elif r["texts"] > 1:
-            elsewhere.add(r["term"])
-    whole = lambda f: not last[f] or last[f] in elsewhere or (f in varied and last[f] not in parts)
-    return {f for f, c in ended.items() if c > goes_on.get(f, 0) and last[f] not in HANGING and whole(f)}, np.packbits(seen)
+                inside = np.unique(hashes(every[:-1]))
+                seen.append(inside)
+                of.append(np.full(len(inside), key))
+                if longest:
+                    for s in BOUNDARY.split(_masked(t.strip())):
+                        w = s.split(None, longest + 1)[: longest + 1]
+                        for h in set(head_hashes([x.lower() for x in w[:-1]], tokens)) | (set(head_hashes(w[:-1], tokens)) if s[:2].isupper() else set()):
+                            if wanted[(h & 0xFFFFFFFFFFFFFFFF) >> (64 - SKETCH_BITS)]:
+                                on.append((h, key))
+            if seen:
+                h, k = as_long(np.concatenate(seen)), np.concatenate(of)
+                order = np.lexsort((k, h))
+                h, k = h[order], k[order]
+                first = np.nonzero(np.r_[True, h[1:] != h[:-1]])[0] if len(h) else np.empty(0, int)
+                yield block("in", h[first], 0, k[first], np.r_[k[first[1:] - 1], k[-1:]])
+            if on:
+                h, k = np.array(on, np.int64).T
+                yield block("on", h, k, k, k)
+        part = as_long(hashes(sorted(longer)))
+        yield block("part", part, 0, 0, 0)
+
+    def block(what: str, h, k, lo, hi) -> pa.RecordBatch:
+        full = lambda x: pa.array(np.broadcast_to(x, len(h)).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([what] * len(h), pa.string()), full(h), full(k), full(lo), full(hi)], names=["what", "h", "k", "lo", "hi"])
+
+    per = df.select(F.col(text_col)).mapInArrow(run, "what string, h bigint, k bigint, lo bigint, hi bigint")
+    per = per.groupBy("what", "h", "k").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    asked = open_.select("word").distinct()
+    # A word that is only asked for leaves the rest of the vocabulary behind at once.
+    per = cut(per.filter("what <> 'in'").unionByName(per.filter("what = 'in'").join(asked.withColumnRenamed("word", "h"), "h", "left_semi").select(per.columns)))
+    words = per.filter("what = 'in'").select(F.col("h").alias("word"), "lo", "hi")
+    on = per.filter("what = 'on'").groupBy(F.col("h").alias("fragment")).agg(F.sum("n").alias("on"))
+    part = per.filter("what = 'part'").select(F.col("h").alias("last"), F.lit(True).alias("part"))
+    last = open_.groupBy("fragment").agg(F.min("word").alias("last"))
+    fragments = each.join(last, "fragment").join(on, "fragment", "left").join(small(part), "last", "left")
+    return fragments.select("fragment", "n", "heads", F.coalesce("on", F.lit(0)).alias("on"), F.coalesce("part", F.lit(False)).alias("part")), words, least
 
 
 # --- censored lengths ------------------------------------------------------------
@@ -259,24 +281,26 @@ def fit_censored(x: np.ndarray, n: np.ndarray, cut_share: np.ndarray, rounds: in
     return mu, sd
 
 
-def limits_of(x: np.ndarray, n: np.ndarray, least: int = 4, near: int = 25) -> list[tuple[int, int, float, float]]:
+def limits_of(x: np.ndarray, n: np.ndarray, ended: np.ndarray | None = None, least: int = 4, near: int = 25) -> list[tuple[int, int, float, float]]:
     """(limit, texts there, expected there, posterior) for the lengths of one source:
     candidates are lengths with many more texts than their surroundings; the fit and
-    the posteriors are repeated until they agree."""
+    the posteriors are repeated until they agree. ``ended`` of the texts of each length
+    are known to be complete, so that the others alone can have been cut there."""
     order = np.argsort(x)
     x, n = x[order].astype(float), n[order].astype(float)
+    most = 1 - (ended[order] / n if ended is not None else np.zeros_like(n))
     lo, hi = np.searchsorted(x, x - near), np.searchsorted(x, x + near, "right")
     run = np.concatenate([[0], np.cumsum(n)])
     around = (run[hi] - run[lo] - n) / (2 * near)
     cand = (n >= least) & (n > around + 4 * np.sqrt(around + 0.25))
-    share = np.where(cand, 0.9, 0.0)
+    share = np.where(cand, np.minimum(0.9, most), 0.0)
     expected = np.zeros_like(n)
     for _ in range(10):
         mu, sd = fit_censored(x, n, share)
         z = (np.log(np.maximum(x, 1)) - mu) / sd
         model = n.sum() * _phi(z) / (sd * np.maximum(x, 1))
         expected = np.maximum(np.maximum(model, around), 1e-3)
-        new = np.where(cand, np.clip(1 - expected / np.maximum(n, 1e-9), 0, 1), 0.0)
+        new = np.where(cand, np.clip(1 - expected / np.maximum(n, 1e-9), 0, most), 0.0)
         if np.abs(new - share).max(initial=0) < 1e-4:
             break
         share = new
@@ -284,15 +308,16 @@ def limits_of(x: np.ndarray, n: np.ndarray, least: int = 4, near: int = 25) -> l
 
 
 def length_limits(rows: DataFrame, measures: list[str]) -> DataFrame:
-    """(source, measure, limit, texts, expected, posterior) over the columns of lengths."""
+    """(source, measure, limit, texts, expected, posterior) over the columns of lengths;
+    equal copies of a text (key) count once, and texts of settled forms as complete."""
     long = None
     for m in measures:
-        part = rows.filter(F.col(m) > 0).groupBy("source", F.col(m).cast("bigint").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-        part = part.select("source", F.lit(m).alias("measure"), "x", "n")
+        part = rows.filter(F.col(m) > 0).groupBy("source", F.col(m).cast("bigint").alias("x")).agg(F.countDistinct("key").alias("n"), F.countDistinct(F.when(F.col("form").isin("closed", "formula"), F.col("key"))).alias("ended"))
+        part = part.select("source", F.lit(m).alias("measure"), "x", "n", "ended")
         long = part if long is None else long.unionByName(part)
 
     def fit(p: pd.DataFrame) -> pd.DataFrame:
-        out = limits_of(p["x"].to_numpy(), p["n"].to_numpy())
+        out = limits_of(p["x"].to_numpy(), p["n"].to_numpy(), p["ended"].to_numpy())
         r = pd.DataFrame(out, columns=["limit", "texts", "expected", "posterior"])
         r.insert(0, "source", p["source"].iloc[0])
         r.insert(1, "measure", p["measure"].iloc[0])
@@ -303,15 +328,73 @@ def length_limits(rows: DataFrame, measures: list[str]) -> DataFrame:
     )
 
 
-# Log odds that a text was cut, by the form of its ending.
-EVIDENCE = {"closed": -9.0, "formula": -6.0, "doubtful": 1.5, "open": 6.0, "dangling": 8.0, "blank": -99.0}
-PRIOR = -2.0
+# --- odds ------------------------------------------------------------------------
+
+
+def formed(rows: DataFrame, fragments: DataFrame, words: DataFrame, least: int) -> DataFrame:
+    """``rows`` with form: blank; closed or formula (complete); inside a word, hanging on a
+    function word or dangling (cut); frequent, repeated, fragment or doubtful (open)."""
+    rows = rows.join(small(words), "word", "left").join(small(fragments), "fragment", "left")
+    whole = F.col("lo").isNotNull() & ((F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("key")))
+    ends = F.col("n") > F.col("on")
+    # 'Presidente' may stand in closing formulas alone: then the texts before it must
+    # differ, and no text may have a longer word that begins with it.
+    alone = (F.col("heads") >= least) & ~F.col("part")
+    form = (
+        F.when(F.col("kind") != "open", F.col("kind"))
+        .when(F.col("known") & (whole | ~F.col("named")), "formula")
+        .when(F.col("stem").isin(*sorted(HANGING)), "hanging")
+        .when(ends & (F.col("n") >= least) & (whole | alone), "frequent")
+        .when(~F.coalesce(whole, F.lit(False)), "inside")
+        .when(ends, "repeated")
+        .otherwise("fragment")
+    )
+    return rows.withColumn("form", form).drop("lo", "hi", "n", "heads", "on", "part")
+
+
+def with_posterior(rows: DataFrame) -> DataFrame:
+    """``rows`` with the posterior of having been cut at a limit of their source."""
+    measures = ("chars", "bytes", "tokens")
+    limits = length_limits(rows.filter("kind <> 'blank'"), list(measures)).filter("posterior > 0")
+    per = limits.groupBy("source").pivot("measure", list(measures)).agg(F.map_from_entries(F.collect_list(F.struct("limit", "posterior"))))
+    per = small(per.select(F.col("source").alias("__s"), *[F.col(m).alias(f"__{m}") for m in measures]))
+    at = lambda m: F.coalesce(F.try_element_at(F.col(f"__{m}"), F.col(m).cast("bigint")), F.lit(0.0))
+    out = rows.join(per, F.col("source").eqNullSafe(F.col("__s")), "left")
+    return out.withColumn("posterior", F.least(F.greatest(*map(at, measures)), F.lit(0.999))).drop("__s", *[f"__{m}" for m in measures])
+
+
+def form_odds(counts: list[tuple[str, float, float]]) -> tuple[dict[str, float], float, float]:
+    """From (form, posterior mass at limits, distinct texts away from them): the log odds
+    of each open form, the share of the cut forms among cut texts, and the rate of cuts
+    away from the limits. What cuts explain of a form away from the limits follows from
+    the function words there: a cut between words leaves so many of them for each other
+    word. Only what is more than that by a standard deviation counts as complete."""
+    at = {f: USUAL[f] for f in USUAL}
+    off = {f: 0.0 for f in USUAL}
+    done = 0.0
+    for form, mass, texts in counts:
+        if form in at:
+            at[form] += mass
+            off[form] += texts
+        elif form != "blank":
+            done += texts
+    total = sum(at.values())
+    anchor = sum(at[f] for f in CUT) / total
+    cuts = sum(off[f] for f in CUT) / anchor  # away from the limits
+    left = {}
+    for f in OPEN:
+        expected = max(off["hanging"] * at[f] / at["hanging"], cuts * at[f] / total)
+        left[f] = max(0.0, off[f] - expected - math.sqrt(expected + off[f])) + 0.5 * at[f] / total
+    complete = done + sum(left.values())
+    return {f: math.log(at[f] / total) - math.log(left[f] / max(complete, 1.0)) for f in OPEN}, anchor, cuts / max(cuts + complete, 1.0)
 
 
 def truncated(
     df: DataFrame, id_col: str, text_col: str, source_col: str, tokens: DataFrame | None = None
 ) -> DataFrame:
-    """(id, source, kind, posterior, score, cut) of every row of ``df``.
+    """(id, source, form, posterior, score, cut, unaided) of every row of ``df``: score
+    holds the log odds, infinite for forms that settle the matter; unaided is the
+    verdict that the form alone would give, without the lengths.
 
     ``tokens``: optional (id, tokens), the output tokens of the run that made the text.
     Blank and null texts are never cut. A null source is a source of its own. Repeated
@@ -325,35 +408,27 @@ def truncated(
     else:
         rows = rows.withColumn("tokens", F.lit(None).cast("bigint"))
     rows = cut(rows)
-    formulas, seen = corpus_evidence(src, text_col, rows)
-    known = rows.sparkSession.sparkContext.broadcast((formulas, seen))
-    schema = rows.schema.simpleString()[7:-1].replace(":", " ")
-
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        said, packed = known.value
-        inside = np.unpackbits(packed).astype(bool)
-        hashes = WordHashes()
-        for p in batches:
-            words = p["word"].fillna("").tolist()
-            whole = inside[(hashes(words) >> U(64 - SEEN_BITS)).astype(np.int64)]
-            frag = p["fragment"].fillna("")
-            formula = [f in said or f.lower() in said or bool(SIGN_OFF.fullmatch(f.lower())) or (f.isupper() and bool(OFFICE_ALONE.fullmatch(f.lower()))) for f in frag]
-            ok = np.array(formula, dtype=bool) & (whole | ~frag.str.endswith("§").to_numpy(bool))
-            p["kind"] = np.where((p["kind"] == "open") & ok, "formula", p["kind"])
-            yield p
-
-    rows = rows.mapInPandas(settle, schema)
-    limits = length_limits(rows.filter("kind <> 'blank'"), ["chars", "bytes", "tokens"]).filter("posterior > 0")
-    per = limits.groupBy("source").pivot("measure", ["chars", "bytes", "tokens"]).agg(F.map_from_entries(F.collect_list(F.struct("limit", "posterior"))))
-    per = per.select(F.col("source").alias("__s"), *[F.col(m).alias(f"__{m}") for m in ("chars", "bytes", "tokens")])
-    at = lambda m: F.coalesce(F.try_element_at(F.col(f"__{m}"), F.col(m).cast("bigint")), F.lit(0.0))
-    odds = F.create_map(*[F.lit(v) for kv in EVIDENCE.items() for v in kv])
-    p = F.least(F.col("posterior"), F.lit(0.999))
-    return (
-        rows.join(per, F.col("source").eqNullSafe(F.col("__s")), "left")
-        .withColumn("posterior", F.greatest(at("chars"), at("bytes"), at("tokens")))
-        .withColumn("score", odds[F.col("kind")] + F.lit(PRIOR) + F.when(p > 0.05, F.ln(p / (1 - p))).otherwise(0.0))
-        .select("id", "source", "kind", "posterior", "score", (F.col("score") > 0).alias("cut"))
+    rows = cut(with_posterior(formed(rows, *corpus_evidence(src, text_col, rows))))
+    texts = rows.groupBy("source", "key").agg(F.min("form").alias("form"), F.max("posterior").alias("posterior"))
+    limit = F.col("posterior") >= SURE
+    counts = texts.groupBy("form").agg(F.coalesce(F.sum(F.when(limit, F.col("posterior"))), F.lit(0.0)).alias("at"), F.count_if(~limit).cast("double").alias("off"))
+    odds, anchor, rate = form_odds([tuple(r) for r in counts.collect()])
+    free = texts.filter(~limit & (F.col("form") != "blank"))
+    cuts = F.count_if(F.col("form").isin(*CUT)) / anchor
+    rates = free.groupBy(F.col("source").alias("__s")).agg(((cuts + rate * SOURCE_ROWS) / (F.count(F.lit(1)) + SOURCE_ROWS)).alias("__rate"))
+    logit = lambda p: F.ln(p / (1 - p))
+    own = F.least(F.coalesce("__rate", F.lit(rate)), F.lit(0.99)) + 1e-6
+    either = 1 - (1 - F.col("posterior")) * (1 - own)
+    form = F.create_map(*[F.lit(v) for kv in odds.items() for v in kv])[F.col("form")]
+    settled = lambda c: F.when(F.col("form").isin(*CUT), float("inf")).when(form.isNull(), float("-inf")).otherwise(c)
+    return rows.join(small(rates), F.col("source").eqNullSafe(F.col("__s")), "left").select(
+        "id",
+        "source",
+        "form",
+        "posterior",
+        settled(form + logit(either)).alias("score"),
+        (settled(form + logit(either)) > 0).alias("cut"),
+        (settled(form + logit(own)) > 0).alias("unaided"),
     )
 
 

@@ -271,6 +271,29 @@ def test_copies_of_a_cut_text_make_no_formula(spark):
         assert got[i] == (not t.endswith((".", "Comunale", "Presidente"))), t[-40:]
 
 
+def test_the_posterior_decides_an_unknown_closing_fragment(spark):
+    """A fragment that many texts end with is a closing formula away from any limit, and a
+    cut where the text is as long as the texts that were cut at a limit."""
+    rng = random.Random(12)
+    phrase = lambda: f"Il comune di {rng.choice(WORDS)} approva la spesa di euro {rng.randrange(99)},00 per {rng.choice(WORDS)}."
+    make = lambda: " ".join(phrase() for _ in range(rng.randrange(3, 9)))
+    closing = " Tutti gli uffici ringraziano"
+    rows = [t for t in (make() for _ in range(300)) if len(t) != 300]
+    limited = [t[:300] for t in (make() + " " + make() for _ in range(400)) if t[299].isalpha() and t[298].isalpha()][:60]
+    signed = [t + closing for t in (make() for _ in range(40)) if abs(len(t + closing) - 300) > 40][:14]
+    other = [f"Essi ringraziano {w} e {phrase()}" for w in WORDS[:6]]
+    t = make() + make() + make()
+    at_limit = t[: 300 - len(closing) - 1] + "." + closing
+    assert len(at_limit) == 300
+    texts = rows + limited + signed + other + [at_limit]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "id bigint, text string, source string")
+    got = {r["id"]: r for r in truncation.truncated(df, "id", "text", "source").collect()}
+    for i, t in enumerate(texts[:-1]):
+        assert got[i]["cut"] == (i >= len(rows) and not t.endswith((".", closing))), t[-40:]
+    last = got[len(texts) - 1]
+    assert last["form"] == "frequent" and last["posterior"] > 0.9 and last["cut"] and not last["unaided"]
+
+
 def test_censored_fit_recovers_the_distribution():
     rng = np.random.default_rng(0)
     x = np.exp(rng.normal(6.5, 0.4, 20_000))
@@ -279,6 +302,8 @@ def test_censored_fit_recovers_the_distribution():
     mu, sd = truncation.fit_censored(v.astype(float), n.astype(float), np.where(v == 900, 0.99, 0.0))
     assert abs(mu - 6.5) < 0.02 and abs(sd - 0.4) < 0.02
     assert [(a, round(p, 1)) for a, _, _, p in truncation.limits_of(v, n) if a == 900] == [(900, 1.0)]
+    ended = np.where(v == 900, n, 0)  # a length that only complete texts have is no limit
+    assert not [a for a, *_ in truncation.limits_of(v, n, ended) if a == 900]
 
 
 REQ = "Quale ufficio se ne occupa?\n\nCOMUNE DI PROVA ORDINANZA n. 41 del 3 marzo 2020. OGGETTO: pulizia - fontana di via Rossi, incarico annuale. Se ne occupa il Settore Tecnico del comune di Prova."
