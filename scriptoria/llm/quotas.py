@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.llm.common import small
-from scriptoria.session import cut
 
 BINS = 4096
 SIGMAS = 6.0
@@ -33,12 +32,12 @@ def quota_targets(rows: DataFrame, label: str, targets: DataFrame) -> DataFrame:
     rows has usable 0; without any rows every size is 0 and minima alone count.
     """
     counts = rows.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("golden_label")).agg(F.count(F.lit(1)).alias("usable"))
-    counts = cut(counts)  # a row a category
+    counts = small(counts)  # a row a category
     total = counts.agg(F.coalesce(F.sum("usable"), F.lit(0))).first()[0]
     size = F.floor(F.lit(total) * F.col("frazione_pct") / 100)
     return (
         targets.select("campagna_id", "golden_label", "quota_pct", "minimo", "frazione_pct")
-        .join(small(counts), "golden_label", "left")
+        .join(counts, "golden_label", "left")
         .withColumn("usable", F.coalesce("usable", F.lit(0)).cast("bigint"))
         .withColumn("size", size.cast("bigint"))
         .withColumn("needed", F.greatest(F.col("minimo").cast("bigint"), F.floor(F.col("size") * F.col("quota_pct") / 100)))
@@ -78,15 +77,16 @@ def quota_sample(rows: DataFrame, id_col: str, label: str, quotas: DataFrame) ->
     )
     group = ["campagna_id", "golden_label"]
     src = rows.select(F.col(id_col).alias("id"), F.col(label).alias("golden_label"))
-    drawn = src.join(small(want), "golden_label").withColumn("u", draw(SALT, F.col("campagna_id"), F.col("id")))
+    want = small(want)
+    drawn = src.join(want, "golden_label").withColumn("u", draw(SALT, F.col("campagna_id"), F.col("id")))
     taken = F.col("u") < F.col("accept")  # the rest is drawn on only where too few were taken, by chance
     place = F.when(taken, F.col("u") / F.col("accept")).otherwise(1 + (F.col("u") - F.col("accept")) / F.greatest(1 - F.col("accept"), F.lit(1e-9))) * BINS
     drawn = drawn.withColumn("place", place).withColumn("bin", F.floor("place"))
-    edge = small(_edges(drawn, group, "bin", "target"))
+    edge = F.broadcast(_edges(drawn, group, "bin", "target"))  # no more rows than ``want``
     placed = drawn.join(edge, group).filter("bin <= bin_edge")
     whole = placed.filter("bin < bin_edge")
     split = placed.filter("bin = bin_edge").withColumn("sub", F.floor((F.col("place") - F.col("bin")) * BINS))
-    inner = split.join(small(_edges(split, group, "sub", "bin_rest")), group).filter("sub <= sub_edge")
+    inner = split.join(F.broadcast(_edges(split, group, "sub", "bin_rest")), group).filter("sub <= sub_edge")
     ranked = inner.filter("sub = sub_edge").withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("u", "id"))).filter("r <= sub_rest")
     pick = lambda x: x.select(*group, "id")
     return pick(whole).unionByName(pick(inner.filter("sub < sub_edge"))).unionByName(pick(ranked))
@@ -97,7 +97,7 @@ def quota_report(rows: DataFrame, id_col: str, label: str, quotas: DataFrame) ->
     deficit, what these lack of ``needed``. Categories without any rows draw none."""
     drawn = quota_sample(rows, id_col, label, quotas).groupBy("campagna_id", "golden_label").agg(F.count(F.lit(1)).alias("drawn"))
     return (
-        quotas.join(small(drawn), ["campagna_id", "golden_label"], "left")
+        quotas.join(F.broadcast(drawn), ["campagna_id", "golden_label"], "left")
         .withColumn("drawn", F.coalesce("drawn", F.lit(0)).cast("bigint"))
         .withColumn("deficit", F.col("needed") - F.col("drawn"))
     )
