@@ -1,11 +1,15 @@
 """Defective prompt and response pairs: empty, refused, foreign, copied, cut.
 
-Plan. One narrow Arrow pass judges each pair by itself; the only thing taken from the
-whole table is a sketch of fixed size of the words that requests hold, by which a last
-word that was cut in two is told from a whole one. Copies are found by aligning the
-answer with the request, its instruction and its act: containment of word shingles
-first, then the longest common subsequence. Refusals are found by aligning the
-answer's beginning with refusal templates.
+Plan. One pass over the requests counts their letter triples, a table of fixed size, and
+lists their words. The triples make a character model of the language that requests are
+written in, with its mean and deviation: an answer far less likely under it, and
+without that language's function words, is in another language, whichever it is. One
+narrow pass then judges each pair by itself. Copies are found by aligning the answer
+with the request, its instruction and its act: containment of word shingles first, then
+the longest common subsequence. Refusals are found by aligning every sentence of the
+answer with refusal templates, whose places stand for whole classes of words. Where all
+hangs on whether an answer's last word is whole, that word is looked up among the words
+of the requests by a join.
 """
 
 from __future__ import annotations
@@ -19,21 +23,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import U, WORD, WordHashes, words
+from scriptoria.llm.common import WORD, WordHashes, as_long, signed, words
 from scriptoria.llm.truncation import AMOUNT, HANGING, SIGN_OFF, ending
-from scriptoria.session import spread
+from scriptoria.session import cut, spread
 
-SEEN_BITS = 22
 SHINGLE = 5
 CONTAINED = 0.8
+LEAST_TRIPLES = 5000  # of fewer no language can be learned: then function words alone decide
+LETTERS = " abcdefghijklmnopqrstuvwxyzàèéìòù"
+KINDS = len(LETTERS) + 1  # all other letters are one
+FAR, SURE = 1.1, 5.0  # deviations of a letter triple, and of the mean of as many as the text has, that make it foreign
+OWN_WORDS = 0.25  # share of Italian function words from which a text is Italian whatever its letters
 
 # Placeholders, refusal templates, lead-ins, function words by language.
 PLACEHOLDERS = frozenset(
     "n/d nd n.d n.d. n/a na n.a n.a. null none nil nan undefined vuoto vuota vuoto. empty tbd todo n.p. omissis".split()
 ) | {"nessuna risposta", "risposta vuota", "nessun contenuto", "nessun testo", "no response", "no answer", "empty response", "da completare", "da compilare", "in attesa"}
+# A place of a template: a word, alternatives, or a class: <inf> any infinitive, with or
+# without pronoun; <obj> what was asked for; <done> having been done for the asker.
+CLASSES = {
+    "<inf>": re.compile(r"\w*(?:are|ere|ire|rre|(?:ar|er|ir|r)(?:ti|vi|le|lo|la|li|gli|mi|ci|ne|si|telo|velo))"),
+    "<obj>": re.compile(r"richiesta|domanda|risposta|sintesi|riassunto|compito|richieste|domande|operazione"),
+    "<done>": re.compile(r"(?:fornit|soddisfatt|evas|elaborat|generat|dat|completat|esaudit|prodott|processat|formulat|svolt|trattat)[oaie]"),
+}
 REFUSALS = tuple(
     x.strip()
     for x in """
+non posso|possiamo|potrò|potremo|potrei|riesco|riusciamo|saprei|intendo|desidero|voglio <inf>
+non sono|siamo in grado
+non sono|siamo autorizzato|autorizzata|autorizzati|abilitato|abilitata|abilitati|programmato|addestrato|tenuto
+non mi|ci è|risulta|sarà possibile|consentito|permesso|concesso
+mi|ci è|risulta|sarebbe impossibile <inf>
+temo|spiace|dispiace|rincresce di non <inf>
+temo che non
+rifiuto|declino|rinuncio|evito di|a|la <inf>|richiesta|domanda
+la|questa|tale|il|questo|tale|quanto <obj>|chiesto non può|potrà|possono essere <done>
+la|questa|tale|il|questo <obj> esula|eccede|oltrepassa|supera le|dalle|i|dai|alle mie|miei|nostre|nostri
+la|questa|tale|il|questo <obj> viola|contravviene|contrasta le|alle|con mie|nostre
+esula|eccede dalle|le mie|nostre
 non posso fornire una risposta
 non posso aiutarti con questa richiesta
 non posso rispondere
@@ -119,12 +146,38 @@ ich darf diese
 leider kann ich nicht
 leider kann ich
 no puedo
+no podemos
+lamento no
 no me es posible
 no estoy autorizado
 no estoy en condiciones
 debo declinar
 debo rechazar
 não posso
+não consigo
+não me é possível
+não estou autorizado
+no puc
+ik kan niet|geen|dit|deze|u|je
+ik kan helaas|hier
+ik ben niet in staat
+jag kan inte|tyvärr
+jag får inte
+jeg kan ikke|desværre|dessverre
+jeg må ikke
+en voi
+nie mogę
+nie jestem w stanie
+nemohu
+nemůžem
+ne mogu
+nu pot
+nu sunt în măsură
+nem tudok
+nem tudom
+δεν μπορώ
+я не могу
+не могу
 """.strip().split("\n")
 )
 LEAD = re.compile(
@@ -132,10 +185,12 @@ LEAD = re.compile(
     r"da assistente(?: virtuale)?|come (?:assistente|modello|intelligenza)(?: virtuale| linguistico| artificiale| di linguaggio| ai)*|in qualità di (?:assistente|modello)(?: virtuale| linguistico| ai)*|in questo caso|al momento|attualmente|"
     r"ecco il riassunto|ecco la sintesi|ecco la risposta|ecco il testo|ecco|certo|certamente|riassunto|sintesi|risposta|testo|output|ok|"
     r"i'?m sorry|i am sorry|sorry|unfortunately|i apologi[sz]e|"
-    r"je suis désolée?|désolée?|malheureusement|es tut mir (?:sehr )?leid|entschuldigung|leider|lo siento(?: mucho)?|lamentablemente|desculpe|"
+    r"tyvärr|beklager|desværre|helaas|niestety|przykro mi|przepraszam|bohužel|žao mi je|din păcate|sajnálom|je suis désolée?|désolée?|malheureusement|es tut mir (?:sehr )?leid|entschuldigung|leider|lo siento(?: mucho)?|lamentablemente|desculpe|"
     r"ma|but|mais|aber|pero|e|and)\b\W*)+",
     re.I,
 )
+COURTESY = re.compile(r"^\W*(?:grazie|ti ringrazio|la ringrazio|buongiorno|buonasera|salve|ciao|mi dispiace|mi spiace|mi scuso|chiedo scusa|certo|certamente|capisco|ho letto|ho ricevuto|thank|thanks|hello|sorry|merci|bonjour|danke|hallo|gracias|hola)\b", re.I)
+SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
 LABEL = re.compile(r"^\W*[^\W\d_]+(?:\s+[^\W\d_]+){0,5}\s*:\s*")
 ERROR_CODE = re.compile(r"\W*(?:ERRORE|ERROR|ERR)[_A-Z0-9-]*\W*|\W*[A-Z]+(?:_[A-Z0-9]+)*_(?:ERROR|ERRORE)\W*|Errore Ollama\b.*|Timeout Ollama\b.*", re.S)
 FUNCTION_WORDS = {
@@ -176,10 +231,42 @@ def votes_of(text: str) -> Counter[str]:
     return Counter(lang for w in words(text) for lang in _VOTES.get(w, ()))
 
 
-def foreign(answer: str, known=lambda w: True) -> bool:
-    """True if the answer, an Italian lead-in set aside, is in another language: another
-    language's function words outnumber Italian ones, or nearly do where ``known``, the
-    words of the Italian requests, lacks most of the answer's own words."""
+class Letters:
+    """A model of letter triples: the log-probability of a letter after two others, with
+    the mean and the deviation that the texts it was counted on have under it."""
+
+    CODES = np.full(1 << 16, KINDS - 1, np.int64)
+    CODES[[ord(c) for c in LETTERS]] = np.arange(len(LETTERS))
+
+    def __init__(self, counts: np.ndarray):
+        c3 = counts.reshape(KINDS, KINDS, KINDS).astype(float)
+        c2 = c3.sum(axis=0)
+        c1 = c2.sum(axis=0) + 0.5
+        p2 = (c2 + 4 * c1 / c1.sum()) / (c2.sum(axis=1, keepdims=True) + 4)
+        self.log = np.log((c3 + 4 * p2) / (c3.sum(axis=2, keepdims=True) + 4)).ravel()
+        # Mean and deviation of each triple under the model of all others, as a new text's are.
+        left = np.log((np.maximum(c3 - 1, 0) + 4 * p2) / (np.maximum(c3.sum(axis=2, keepdims=True) - 1, 0) + 4)).ravel()
+        n = max(counts.sum(), 1)
+        self.mean = float((counts * left).sum() / n)
+        self.deviation = float(np.sqrt((counts * (left - self.mean) ** 2).sum() / n)) if n >= LEAST_TRIPLES else 0.0
+
+    @classmethod
+    def triples(cls, text: str) -> np.ndarray:
+        t = " ".join(re.findall(r"[^\W\d_]+", text.lower()))
+        c = cls.CODES[np.frombuffer(f" {t} ".encode("utf-32-le"), np.uint32) & 0xFFFF]
+        return (c[:-2] * KINDS + c[1:-1]) * KINDS + c[2:]
+
+    def strange(self, text: str) -> bool:
+        """True if the text's letters are not those of the texts that were counted."""
+        x = self.log[self.triples(text)]
+        less = (self.mean - x.mean()) / self.deviation if len(x) and self.deviation else 0.0
+        return less > FAR and less * np.sqrt(len(x)) > SURE
+
+
+def foreign(answer: str, strange=lambda t: False) -> bool:
+    """True if the answer, an Italian lead-in set aside, is in another language: its
+    letters are ``strange`` and it has few Italian function words, or those of another
+    language outnumber them."""
     rest = LABEL.sub("", answer, count=1)
     parts = [rest] if rest.strip() else []
     if "\n" in answer.strip():
@@ -191,11 +278,10 @@ def foreign(answer: str, known=lambda w: True) -> bool:
         lang, n, it = language(p)
         if lang == "xx":
             return True
-        own = [w.lower() for w in WORD.findall(p) if len(w) > 3 and w.islower()]
-        strange = len(own) >= 3 and sum(not known(w) for w in own) > 0.5 * len(own)
-        if n >= 2 and n >= 0.12 * len(words(p)) and lang != "it" and (n > 1.5 * it or (strange and n >= it)):
+        most, odd = len(words(p)), strange(p)
+        if odd and it < OWN_WORDS * most:
             return True
-        if strange and len(own) >= 5 and max((c for k, c in votes_of(p).items() if k != "it"), default=0) >= max(2, 0.8 * it):
+        if n >= 2 and n >= 0.12 * most and lang != "it" and (n > 1.5 * it or (odd and n >= it)):
             return True
     return False
 
@@ -214,21 +300,54 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(b) - bin(s).count("1")
 
 
-_TEMPLATES = [words(t) for t in REFUSALS]
+_TEMPLATES = [[frozenset(p.split("|")) if "<" not in p else tuple(p.split("|")) for p in t.split()] for t in (re.sub(r"(?<=\w)['’](?=\w)", " ", t) for t in REFUSALS)]
+
+
+def _fits(place, word: str) -> bool:
+    if isinstance(place, frozenset):
+        return word in place
+    return any(CLASSES[x].fullmatch(word) if x in CLASSES else x == word for x in place)
+
+
+def aligned(template, ws: list[str], skips: int = 1) -> bool:
+    """True if a sentence begins with the template: its first word first, every other place
+    in order, with ``skips`` words between them at most."""
+    at = {0: 0} if ws and _fits(template[0], ws[0]) else {}  # place of the last match: words skipped
+    for place in template[1:]:
+        new: dict[int, int] = {}
+        for i, gone in at.items():
+            for skip in range(skips - gone + 1):
+                j = i + 1 + skip
+                if j < len(ws) and _fits(place, ws[j]):
+                    new[j] = min(new.get(j, skips), gone + skip)
+        at = new
+        if not at:
+            return False
+    return bool(at)
+
+
+def declines(sentence: str) -> bool:
+    """True for a sentence that, lead-ins set aside, begins with a refusal template."""
+    rest = LEAD.sub("", sentence, count=1)
+    heads = {" ".join(words(t)) for t in (sentence, rest, LABEL.sub("", rest, count=1))}
+    return any(aligned(t, h.split()) for h in heads for t in _TEMPLATES)
 
 
 def refused(answer: str) -> bool:
-    """True for an error code or an answer whose beginning, lead-ins set aside, aligns
-    with a refusal template: every word of it in order within two words more."""
+    """True for an error code, an answer whose first sentence, courtesies set aside,
+    declines, or one of which sentences that decline are half or more."""
     if ERROR_CODE.fullmatch(answer.strip()):
         return True
-    rest = LEAD.sub("", answer, count=1)
-    for text in {answer, rest, LABEL.sub("", rest, count=1)}:
-        head = words(text)[:14]
-        for t in _TEMPLATES:
-            if lcs(t, head[: len(t) + 1]) == len(t) and head[:1] == t[:1]:
+    no = other = 0
+    for s in (answer, *SENTENCE.split(answer)) if LEAD.match(answer) else SENTENCE.split(answer):
+        n = len(words(s))
+        if n and declines(s):
+            if not other:
                 return True
-    return False
+            no += n
+        elif n and s is not answer and not COURTESY.match(s):
+            other += n
+    return no > 0 and no >= other
 
 
 def shingle_set(ws: list[str], k: int = SHINGLE) -> set[tuple[str, ...]]:
@@ -252,21 +371,23 @@ def copied(answer: str, request: str) -> bool:
             continue
         for p in parts_of(request):
             b = words(p)
-            if not b or not 0.5 <= len(a) / len(b) <= 1.6:
+            least = max(0.9 * len(a), CONTAINED * len(b))  # words in common that make a copy
+            if not b or min(len(a), len(b)) < least:
+                continue
+            # Every word of either side that is not in common breaks five runs of words at
+            # most, so that fewer shared ones leave no room for a copy.
+            sa = shingle_set(a)
+            if len(sa & shingle_set(b)) < len(sa) - SHINGLE * (len(a) + len(b) - 2 * least):
                 continue
-            sa, sb = shingle_set(a), shingle_set(b)
-            shared = len(sa & sb)
-            if len(a) >= 4 * SHINGLE and shared < 0.4 * len(sa):
-                continue  # an edit in eleven words leaves more than that
-            common = lcs(a, b)
-            if common >= 0.9 * len(a) and common >= CONTAINED * len(b):
+            if lcs(a, b) >= least:
                 return True
     return False
 
 
-def stops_short(answer: str, request: str, whole) -> bool:
+def stops_short(answer: str, request: str) -> bool | str:
     """True if the answer stops inside a word or a sentence. A bare value without full
-    stop is complete if it is a whole number, date or name."""
+    stop is complete if it is a whole number, date or name; where that depends on its
+    last word, the word is given instead."""
     kind, frag, last = ending(answer)
     if kind in ("closed", "blank"):
         return False
@@ -296,43 +417,48 @@ def stops_short(answer: str, request: str, whole) -> bool:
         return " - " in answer and re.match(r"\s+\w", after) is not None
     if re.fullmatch(r"\d+|\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{1,2} [^\W\d_]+ \d{4}", value):
         return False
-    return bool(last) and not last.isdigit() and not whole(last) or value[-1].isdigit()
+    return True if value[-1].isdigit() else last if last and not last.isdigit() else False
 
 
-def defect(answer: str | None, request: str | None, whole) -> str | None:
-    """The first defect that fits, else None."""
+def defect(answer: str | None, request: str | None, strange=lambda t: False) -> str | None:
+    """The first defect that fits, else None; 'troncata?' and a word where the answer is
+    cut unless the word is whole."""
     t = (answer or "").replace("​", "").replace("﻿", "").strip()
     bare = re.sub(r"^```\w*|```$", "", t).strip()
     if not any(c.isalnum() for c in bare) or bare.strip(" .-–—_*#[](){}<>\"'").lower() in PLACEHOLDERS or bare.lower() in PLACEHOLDERS:
         return "vuota"
     if refused(t):
         return "rifiuto"
-    if foreign(t, whole):
+    if foreign(t, strange):
         return "altra_lingua"
     if request and copied(t, request):
         return "copia"
-    if stops_short(bare, request or "", whole):
-        return "troncata"
-    return None
+    short = stops_short(bare, request or "")
+    return "troncata" if short is True else f"troncata?{short}" if short else None
 
 
-def word_sketch(df: DataFrame, text_col: str) -> np.ndarray:
-    """2^22 bits, one set for each word that occurs in ``text_col``."""
+def request_facts(df: DataFrame, text_col: str) -> DataFrame:
+    """(what, h, n): of all texts the letter triples ('t') with their counts, and the
+    hashes of their words ('w')."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        seen = np.zeros(1 << SEEN_BITS, dtype=bool)
+        count = np.zeros(KINDS**3, np.int64)
         for b in batches:
+            seen = []
             for t in b.column(0).to_pylist():
-                ws = words(t)
-                if ws:
-                    seen[(hashes(ws) >> U(64 - SEEN_BITS)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(seen)[0])], names=["slot"])
+                if t:
+                    count += np.bincount(Letters.triples(t), minlength=KINDS**3)
+                    seen.append(hashes(words(t)))
+            h = as_long(np.unique(np.concatenate(seen))) if seen else np.empty(0, np.int64)
+            yield block("w", h, np.ones(len(h), np.int64))
+        at = np.nonzero(count)[0]
+        yield block("t", at, count[at])
 
-    got = df.select(text_col).mapInArrow(run, "slot bigint").distinct().toArrow().column("slot").to_numpy()
-    seen = np.zeros(1 << SEEN_BITS, dtype=bool)
-    seen[got] = True
-    return np.packbits(seen)
+    def block(what: str, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([what] * len(h), pa.string()), pa.array(h), pa.array(n)], names=["what", "h", "n"])
+
+    return df.select(text_col).mapInArrow(run, "what string, h bigint, n bigint").groupBy("what", "h").agg(F.sum("n").alias("n"))
 
 
 def defective_pairs(df: DataFrame, id_col: str, request_col: str, answer_col: str) -> DataFrame:
@@ -341,24 +467,29 @@ def defective_pairs(df: DataFrame, id_col: str, request_col: str, answer_col: st
 
     Null answers are empty; with a null request nothing can be a copy. Flags and error
     columns are not consulted: they do not always agree with the answer. Repeated rows
-    are judged one by one; other columns are not read.
+    are judged one by one; other columns are not read. Requests are taken for Italian.
     """
     src = spread(df.select(F.col(id_col).alias("id"), F.col(request_col).alias("q"), F.col(answer_col).alias("a")))
-    sketch = df.sparkSession.sparkContext.broadcast(word_sketch(src, "q"))
+    facts = cut(request_facts(src, "q"))
+    got = facts.filter("what = 't'").select("h", "n").toArrow()  # KINDS^3 rows at most
+    counts = np.zeros(KINDS**3, np.int64)
+    counts[got.column("h").to_numpy()] = got.column("n").to_numpy()
+    letters = df.sparkSession.sparkContext.broadcast(Letters(counts))
     kind = src.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(sketch.value).astype(bool)
+        strange = letters.value.strange
         hashes = WordHashes()
-
-        def whole(w: str) -> bool:
-            return bool(seen[int(hashes([w])[0] >> U(64 - SEEN_BITS))])
-
         for b in batches:
-            out = [defect(a, q, whole) for q, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            out = [defect(a, q, strange) for q, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             keep = [i for i, x in enumerate(out) if x]
+            last = [signed(int(hashes([x[9:]])[0])) if (x := out[i]).startswith("troncata?") else None for i in keep]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(keep, pa.int32())), pa.array([out[i] for i in keep], pa.string())], names=["id", "difetto"]
+                [b.column(0).take(pa.array(keep, pa.int32())), pa.array([out[i].split("?")[0] for i in keep], pa.string()), pa.array(last, pa.int64())], names=["id", "difetto", "h"]
             )
 
-    return src.mapInArrow(run, f"id {kind}, difetto string")
+    found = cut(src.mapInArrow(run, f"id {kind}, difetto string, h bigint"))
+    # A last word is whole if a request has it. Few answers hang on that.
+    asked = found.filter("h is not null")
+    known = facts.filter("what = 'w'").join(asked.select("h").distinct(), "h", "left_semi").select("h")
+    return found.filter("h is null").unionByName(asked.join(known, "h", "left_anti").select(found.columns)).select("id", "difetto")
