@@ -372,7 +372,7 @@ def scored(docs: DataFrame, doc_id: str, text: str, source: str, model: Model) -
             for i, t in enumerate(b.column(2).to_pylist()):
                 for s in sentences(t) if t else ():
                     ids = normal.ids(TOKEN.findall(s))
-                    if len(ids) > 1:
+                    if ids:
                         seqs.append(ids)
                         of.append(i)
             best = np.zeros(b.num_rows)

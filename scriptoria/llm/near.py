@@ -222,18 +222,21 @@ def row_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return across.unionByName(within)
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 30) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(key, group): connected components by alternating large-star and small-star
-    steps over (a, b), each written to the checkpoint folder. The smallest key of a
-    component names it; a node without links is its own group. Every step aggregates
-    by minimum before it joins, so that a hub is never gathered in one task."""
-    edges = cut(links.select("a", "b"))
-    for _ in range(rounds):
-        star = _small(_large(edges)).distinct()
-        new = cut(star)
-        if new.exceptAll(edges.distinct()).isEmpty() and edges.distinct().exceptAll(new).isEmpty():
+    steps over (a, b), each written to the checkpoint folder, until a step changes
+    nothing; their number grows with the logarithm of the longest chain. The smallest
+    key of a component names it; a node without links is its own group. Every step
+    aggregates by minimum before it joins, so that a hub is never gathered in one task."""
+    edges = cut(links.select("a", "b").distinct())
+    mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = mark(edges)
+    while before[0]:
+        edges = cut(_small(_large(edges)).distinct())
+        after = mark(edges)
+        if after == before:
             break
-        edges = new
+        before = after
     group = edges.groupBy(F.greatest("a", "b").alias("key")).agg(F.min(F.least("a", "b")).alias("g"))
     return nodes.join(group, "key", "left").select("key", F.coalesce("g", "key").alias("group"))
 

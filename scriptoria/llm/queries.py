@@ -135,9 +135,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    """Defects per model."""
-    rows = table(spark, d, "coppie_llm").select("coppia_id", "modello")
-    return rows.join(p5_found(spark, d), "coppia_id").groupBy("modello", "difetto").agg(F.count(F.lit(1)).alias("coppie"))
+    """Defects per model, and in how many of the pairs the fallback flag or a technical
+    error says that something went wrong."""
+    error = F.coalesce(F.trim("errore_tecnico"), F.lit("")) != ""
+    rows = table(spark, d, "coppie_llm").select("coppia_id", "modello", "fallback_locale", error.alias("errore"))
+    return rows.join(p5_found(spark, d), "coppia_id").groupBy("modello", "difetto").agg(
+        F.count(F.lit(1)).alias("coppie"), F.count_if(F.col("fallback_locale") == 1).alias("con_fallback"), F.count_if("errore").alias("con_errore")
+    )
 
 
 # --- 6: near copies

@@ -86,6 +86,14 @@ def test_groups_are_components(spark):
     assert near.components(nodes, links.limit(0)).filter("key <> group").count() == 0
 
 
+def test_a_long_chain_is_one_group(spark):
+    ids = list(range(3000))
+    random.Random(1).shuffle(ids)
+    links = spark.createDataFrame(list(zip(ids, ids[1:])), "a bigint, b bigint")
+    got = near.components(spark.createDataFrame([(i,) for i in ids], "key bigint"), links)
+    assert got.filter("group <> 0").count() == 0 and got.count() == 3000
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, None)], "id bigint, text string")
     for x in (df, df.limit(0)):
@@ -324,7 +332,46 @@ SUM = REQ.replace("Quale ufficio se ne occupa?", "Scrivi una breve sintesi dell'
 )
 def test_pair_defects(answer, request_, want):
     known = {w for q in (REQ, SUM) for w in re.findall(r"\w+", q.lower())}
-    assert pairs.defect(answer, request_, known.__contains__) == want
+    got = pairs.defect(answer, request_)
+    if got and got.startswith("troncata?"):
+        got = None if got[9:] in known else "troncata"
+    assert got == want
+
+
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [
+        ("Grazie per la domanda. Non posso rispondere.", True), ("Temo di non poterti aiutare.", True), ("Rifiuto di rispondere.", True), ("Questa richiesta esula dalle mie competenze.", True),
+        ("La risposta non può essere fornita.", True), ("Tyvärr kan jag inte svara. Jag kan inte hjälpa till.", True), ("Niestety nie mogę odpowiedzieć.", True), ("Mi spiace, non riusciamo ad aiutarla.", True),
+        ("Buongiorno. Ho letto il testo. Non mi è possibile rispondere. Provi più tardi.", True),
+        ("Il testo non consente deroghe: la richiesta presentata non può essere accolta e il comune conferma l'appalto.", False), ("Il comune comunica di non essere in grado di rispondere entro i termini.", False),
+        ("Il comune approva la spesa per la scuola e per il ponte di via Rossi. Non è possibile presentare nuove domande.", False), ("La domanda non può essere presentata dopo il 3 marzo.", False), ("È vietato sostare in via Rossi.", False),
+        ("Il comune approva la spesa per la scuola e affida i lavori. " * 3 + "Non posso aggiungere altro.", False),
+    ],
+)
+def test_refusals_anywhere(answer, want):
+    assert pairs.refused(answer) == want
+
+
+def test_unlisted_languages(spark):
+    rng = random.Random(5)
+    parts = "Il comune approva la spesa per la scuola|La giunta affida i lavori della strada alla ditta|Visto il regolamento si dispone la chiusura del ponte|Il settore tecnico provvede entro il termine|Considerato che le domande sono state esaminate dalla commissione|Si autorizza la manutenzione dell'impianto di illuminazione".split("|")
+    act = lambda: ". ".join(rng.sample(parts, 4)) + f" numero {rng.randrange(99)}."
+    foreign = ["Kommunen har godkänt budgeten för vägen och skolan under nästa år.", "Rada miejska zatwierdziła budżet na remont drogi i szkoły w przyszłym roku.", "Ecco il riassunto: Városi tanács jóváhagyta a következő évi költségvetést.", "The council approved the budget for the bridge and the road."]
+    good = ["Il comune dispone la manutenzione della strada e affida i lavori alla ditta.", "La commissione ha esaminato le domande per la scuola.", "Si tratta della chiusura del ponte."]
+    rows = [(i, "Scrivi una sintesi dell'atto.\n\n" + act(), a) for i, a in enumerate(foreign + good + [None])]
+    rows += [(100 + i, "Scrivi una sintesi dell'atto.\n\n" + act(), "La giunta affida i lavori.") for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, q string, a string")
+    got = dict(map(tuple, pairs.defective_pairs(df, "id", "q", "a").collect()))
+    assert got == {**{i: "altra_lingua" for i in range(len(foreign))}, len(foreign) + len(good): "vuota"}
+
+
+def test_copies_with_edits_everywhere():
+    """An edit in every eleventh word leaves few runs of words, and yet a copy."""
+    rng = random.Random(3)
+    w = text(rng, 110).split()
+    edited_ = [f"altro{i}" if i % 11 == 10 else x for i, x in enumerate(w)]
+    assert pairs.copied(" ".join(edited_), "Riassumi.\n\n" + " ".join(w)) and not pairs.copied(text(rng, 110), "Riassumi.\n\n" + " ".join(w))
 
 
 def test_pair_table(spark):
@@ -359,11 +406,12 @@ def test_abuse_on_held_out_documents(spark, sf):
         docs.append((i, " ".join(s), "Forum ", i))
         if i < 200:
             labels.append((i, int(i % 10 == 0) if i % 50 != 1 else 1))  # some labels err
+    docs += [(800, "Coglione!", "x", 1), (801, "La seduta è sospesa. Coglioni! Il bando scade il 3 marzo 2020.", "x", 1), (802, "Grazie!", "x", 1)]
     docs += [(900, None, None, 1), (901, "", "x", 1), (901, "", "x", 1), (902, "Il bando scade. " * 20_000, "x", 1)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string, score int")
     got = abuse.abusive(d, spark.createDataFrame(labels, "doc_id bigint, tossico int")).collect()
     found = {r["doc_id"] for r in got if r["tossico"]}
-    assert found == {i for i in range(0, 400, 10)} and len(got) == len(docs)
+    assert found == {*range(0, 400, 10), 800, 801} and len(got) == len(docs)
     assert {r["source"] for r in got} == {"forum", None, "x"}
     none = abuse.abusive(d.limit(0), spark.createDataFrame([], "doc_id bigint, tossico int"))
     assert none.count() == 0
