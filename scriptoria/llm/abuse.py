@@ -38,6 +38,7 @@ TOKEN = re.compile(r"[^\W_]+(?:[@$!*#€+]+[^\W_]+)*")
 SENTENCE = re.compile(r"(?<=[.!?])[\"»)]?\s+(?=[^\W\d_a-z]|[«\"(])|\n+")
 NAMED = re.compile(r"\b([A-Z])\.\s?([A-Z][\w'’]+)")
 SPACED = re.compile(r"(?<!\w)[^\W\d_](?:[ .\-_*·]{1,2}[^\W\d_]){3,}(?!\w)")
+DIVIDED = re.compile(r"(?<=[^\W\d_])[-‐‑­¬][ \t]*\n[ \t]*(?=[^\W\d_])")
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e", "+": "t"})
 LONG_RUN = re.compile(r"(.)\1{2,}")
 
@@ -55,6 +56,9 @@ gilipollas|hijo de puta|puta|maricón|cabrón|mierda
 
 
 def sentences(text: str) -> list[str]:
+    """A text's sentences; a word divided at a line's end is whole again, spaced letters
+    are a word, and a name with its initial is one sign."""
+    text = DIVIDED.sub("", text) if "\n" in text else text
     t = SPACED.sub(lambda m: re.sub(r"[^\w]|_", "", m.group()), text)
     t = NAMED.sub("Nnnn", t)
     return [s for s in SENTENCE.split(t) if s and not s.isspace()]
