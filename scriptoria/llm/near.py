@@ -5,7 +5,8 @@ with equal word sequences collapse to one class (partial aggregation, so a class
 that holds a third of all rows costs one row per map task). Only classes are signed,
 banded and joined; candidate pairs are deduplicated before the exact Jaccard check,
 which runs JVM-side on the shingle arrays. Pairs of rows, where wanted, come last by
-expanding classes; groups come from links between classes.
+expanding classes. Groups need no pairs: the classes of a band are checked against one
+of them, and only classes of different groups then meet.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from scriptoria.llm.common import U, WordHashes, as_hash, as_long, lists, mix, s
 from scriptoria.session import cut, spread
 
 HASHES = 256  # signature length
+BLOCK = 100_000  # shingles signed at a time
 ROWS = 4  # rows of a band: a pair of similarity s meets with 1-(1-s^4)^64, 0.99986 at 0.6
 
 
@@ -71,9 +73,9 @@ def _poisson_cdf(mean: float) -> np.ndarray:
 
 
 def _cells(most: float) -> Iterator[tuple[int, float, float]]:
-    """Rank cells (number, low, width) up to ``most``: halves towards 0, doublings above 1."""
-    yield 0, 0.0, 2.0**-12
-    low, n = 2.0**-12, 1
+    """Rank cells (number, low, width) up to ``most``, each as wide as all before it."""
+    yield 0, 0.0, 0.25
+    low, n = 0.25, 1
     while low < most:
         yield n, low, low
         low, n = low * 2, n + 1
@@ -87,25 +89,26 @@ def _throw(el: np.ndarray, wt: np.ndarray, doc: np.ndarray, limit: np.ndarray, k
     have equal darts; a dart is in a document if it lies under the element's weight.
     """
     docs, slots, ranks, ids = [], [], [], []
-    lim = limit[doc]
+    lim, whole = limit[doc], bool((wt >= 1).all())
     for n, low, width in _cells(float(limit.max())):
         on = np.nonzero(lim > low)[0]
         if not len(on):
             break
-        cdf = _poisson_cdf(width)
         base = mix(el[on] ^ salt(1, n))
-        count = np.searchsorted(cdf, unit(base), side="right")
-        for j in range(int(count.max(initial=0))):
-            has = count > j
-            on, base, count = on[has], base[has], count[has]
-            dart = mix(base + salt(2, n, j))
-            rank = low + width * unit(mix(dart ^ salt(3)))
-            hit = (unit(mix(dart ^ salt(4))) < wt[on]) & (rank < lim[on])
-            at, dart = on[hit], dart[hit]
-            docs.append(doc[at])
-            slots.append((mix(dart ^ salt(5)) % U(k)).astype(np.int64))
-            ranks.append(rank[hit])
-            ids.append(dart)
+        count = np.searchsorted(_poisson_cdf(width), unit(base), side="right")
+        of = np.repeat(np.arange(len(on)), count)
+        nth = np.arange(len(of)) - (np.cumsum(count) - count)[of]
+        dart = mix(base[of] + mix(nth.astype(np.uint64) + salt(2, n)))
+        rank = low + width * unit(mix(dart ^ salt(3)))
+        of = on[of]
+        hit = rank < lim[of]
+        if not whole:
+            hit &= unit(mix(dart ^ salt(4))) < wt[of]
+        dart = dart[hit]
+        docs.append(doc[of[hit]])
+        slots.append((mix(dart ^ salt(5)) % U(k)).astype(np.int64))
+        ranks.append(rank[hit])
+        ids.append(dart)
     cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
     return cat(docs, np.int64), cat(slots, np.int64), cat(ranks, float), cat(ids, U)
 
@@ -128,15 +131,12 @@ def dart_signatures(el: np.ndarray, wt: np.ndarray, doc: np.ndarray, n_docs: int
         here = renum[doc] >= 0
         d, s, r, i = _throw(el[here], wt[here], renum[doc[here]], darts / total[left], k)
         cell = d * k + s
-        order = np.lexsort((r, cell))
-        cell, i = cell[order], i[order]
-        first = np.ones(len(cell), dtype=bool)
-        first[1:] = cell[1:] != cell[:-1]
+        least = np.full(len(left) * k, np.inf)
+        np.minimum.at(least, cell, r)
+        first = r == least[cell]
         sig = np.zeros(len(left) * k, dtype=np.uint64)
-        full = np.zeros(len(left) * k, dtype=bool)
         sig[cell[first]] = i[first]
-        full[cell[first]] = True
-        done = full.reshape(-1, k).all(axis=1)
+        done = np.isfinite(least).reshape(-1, k).all(axis=1)
         out[left[done]] = sig.reshape(-1, k)[done]
         left, darts = left[~done], darts * 2
     return out
@@ -152,18 +152,21 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-def signed_classes(classes: DataFrame, k: int = HASHES, rows: int = ROWS, block: int = 400) -> DataFrame:
+def signed_classes(classes: DataFrame, k: int = HASHES, rows: int = ROWS) -> DataFrame:
     """(key, sh, bands) of (key, sh); shingles weigh alike, so that the weighted
     similarity is the plain one that the exact check uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, block):
-                part = b.slice(at, block)
+            ends = np.cumsum(np.asarray(b.column(1).value_lengths()))
+            at = 0
+            while at < b.num_rows:  # as many rows at a time as have BLOCK elements
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
+                part = b.slice(at, upto - at)
+                at = upto
                 sh = part.column(1)
                 flat = as_hash(sh.flatten().to_numpy(zero_copy_only=False))
-                sizes = np.asarray(sh.value_lengths())
-                doc = np.repeat(np.arange(part.num_rows), sizes)
+                doc = np.repeat(np.arange(part.num_rows), np.asarray(sh.value_lengths()))
                 keys = bands(dart_signatures(flat, np.ones(len(flat)), doc, part.num_rows, k), rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), sh, lists(keys.ravel(), [keys.shape[1]] * part.num_rows)],
@@ -173,38 +176,80 @@ def signed_classes(classes: DataFrame, k: int = HASHES, rows: int = ROWS, block:
     return classes.mapInArrow(run, "key bigint, sh array<bigint>, bands array<bigint>")
 
 
-def class_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity), a < b, of classes whose exact Jaccard reaches ``threshold``."""
-    sig = cut(signed_classes(classes))
-    band = sig.select("key", F.size("sh").alias("n"), F.explode("bands").alias("band"))
+def banded(sig: DataFrame) -> DataFrame:
+    """(key, n, band): a row a class and band, n the number of its shingles."""
+    return sig.select("key", F.size("sh").alias("n"), F.explode("bands").alias("band"))
+
+
+def _meeting(band: DataFrame, threshold: float, *other) -> DataFrame:
+    """(a, b), a < b, of classes that share a band and are near enough in size."""
     a, b = band.alias("a"), band.alias("b")
     near = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold)) & (F.col("a.key") < F.col("b.key"))
-    cand = (
-        a.join(b, (F.col("a.band") == F.col("b.band")) & near)
-        .select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
-        .distinct()
-    )
-    sets = sig.select("key", "sh")
-    both = F.size(F.array_intersect("sa", "sb"))
+    for c in other:
+        near = near & c
+    return a.join(b, (F.col("a.band") == F.col("b.band")) & near).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) of ``sets`` (key, sh) whose exact Jaccard
+    reaches ``threshold``."""
     return (
-        cand.join(sets.select(F.col("key").alias("a"), F.col("sh").alias("sa")), "a")
+        pairs.join(sets.select(F.col("key").alias("a"), F.col("sh").alias("sa")), "a")
         .join(sets.select(F.col("key").alias("b"), F.col("sh").alias("sb")), "b")
-        .withColumn("shared", both)
+        .withColumn("shared", F.size(F.array_intersect("sa", "sb")))
         .select("a", "b", (F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared"))).alias("similarity"))
         .filter(F.col("similarity") >= F.lit(threshold))
     )
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8):
-    """(members, links): members (id, key) gives each text's class of equal word
-    sequences, links (a, b, similarity) the pairs of different classes that are near.
+def class_links(sig: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity), a < b, of signed classes whose exact Jaccard reaches ``threshold``."""
+    return verified(_meeting(banded(sig), threshold), sig.select("key", "sh"), threshold)
+
+
+def class_groups(sig: DataFrame, threshold: float) -> DataFrame:
+    """(key, group): the components of class_links, without listing the pairs of a large
+    group. Every class of a band is checked against the band's least one alone, and
+    the groups that this makes are taken; only classes that share a band but no group
+    then meet. What is left out are links inside a group, so the groups are the same."""
+    sets, band = sig.select("key", "sh"), banded(sig)
+    hub = band.groupBy("band").agg(F.min(F.struct("key", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", F.col("hub.key").alias("a"), F.col("hub.n").alias("na"))
+    near = F.least("n", "na") >= F.greatest("n", "na") * F.lit(threshold)
+    star = band.join(hub, "band").filter((F.col("key") > F.col("a")) & near).select("a", F.col("key").alias("b")).distinct()
+    first = cut(verified(star, sets, threshold).select("a", "b"))
+    group = cut(components(sig.select("key"), first))
+    placed = band.join(group, "key")
+    mixed = placed.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("band")
+    more = _meeting(placed.join(mixed, "band"), threshold, F.col("a.group") != F.col("b.group"))
+    second = cut(verified(more, sets, threshold).select("a", "b"))
+    if second.isEmpty():
+        return group
+    return components(sig.select("key"), first.unionByName(second))
+
+
+def signed_texts(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): members (id, key) gives each text's class of equal word
+    sequences, classes (key, sh, bands) are signed.
 
     Nulls, empty texts and texts of fewer than ``k`` words are in no class. Repeated
     rows share a class. Other columns of ``df`` play no part, whatever their names.
     """
     rows = cut(keyed(spread(df), id_col, text_col, k))
-    classes = rows.groupBy("key").agg(F.first("sh").alias("sh"))
-    return rows.select("id", "key"), class_links(classes, threshold)
+    return rows.select("id", "key"), cut(signed_classes(rows.groupBy("key").agg(F.first("sh").alias("sh"))))
+
+
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8):
+    """(members, links): members (id, key) of signed_texts, links (a, b, similarity) the
+    pairs of different classes that are near."""
+    members, sig = signed_texts(df, id_col, text_col, k)
+    return members, class_links(sig, threshold)
+
+
+def near_groups(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(id, key, group): each text with its class of equal word sequences and the group
+    of classes that near pairs connect; texts as in signed_texts."""
+    members, sig = signed_texts(df, id_col, text_col, k)
+    return members.join(class_groups(sig, threshold), "key").select("id", "key", "group")
 
 
 def row_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -147,20 +147,14 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 # --- 6: near copies
 
 
-def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return near.near_duplicates(table(spark, d, "dataset_atti"), "riga_id", "testo_completo_llm", SHINGLE, SIMILAR)
-
-
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of rows with alike texts."""
-    return near.row_pairs(*_near(spark, d))
+    return near.row_pairs(*near.near_duplicates(table(spark, d, "dataset_atti"), "riga_id", "testo_completo_llm", SHINGLE, SIMILAR))
 
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row a text: its group, named by the least row in it, and the group's size."""
-    members, links = _near(spark, d)
-    group = near.components(members.select("key").distinct(), links)
-    named = members.join(group, "key")
+    named = cut(near.near_groups(table(spark, d, "dataset_atti"), "riga_id", "testo_completo_llm", SHINGLE, SIMILAR))
     sizes = named.groupBy("group").agg(F.min("id").alias("gruppo"), F.count(F.lit(1)).alias("righe"))
     return named.join(sizes, "group").select(F.col("id").alias("riga_id"), "gruppo", "righe")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.llm.boost import Boosted
-from scriptoria.llm.near import components, near_duplicates
+from scriptoria.llm.near import components, near_groups
 from scriptoria.operators.relational import act_id
 from scriptoria.session import cut, spread
 
@@ -374,11 +374,11 @@ COMMONER = 5  # times as common as a scanned word is the clean word that it is t
 def distinct_scans(txt: DataFrame, act: bool) -> DataFrame:
     """(txt_id, scan): texts that are near copies, or of one act, are one scan."""
     rows = txt.select(F.col("txt_id").cast("bigint").alias("txt_id"), "txt", (act_id("id_atto") if act else F.lit(None).cast("string")).alias("act"))
-    members, links = near_duplicates(rows, "txt_id", "txt", 3, 0.6)
-    rows = rows.select("txt_id", "act").join(members.withColumnRenamed("id", "txt_id"), "txt_id", "left")
+    near = near_groups(rows, "txt_id", "txt", 3, 0.6).select(F.col("id").alias("txt_id"), F.col("group").alias("key"))
+    rows = rows.select("txt_id", "act").join(near, "txt_id", "left")
     rows = cut(rows.select("txt_id", "act", F.coalesce("key", F.xxhash64(F.lit("txt"), "txt_id")).alias("key")))
     acts = rows.filter("act is not null").select(F.col("key").alias("a"), F.xxhash64(F.lit("act"), "act").alias("b")).distinct()
-    group = components(rows.select("key").distinct(), links.select("a", "b").unionByName(acts))
+    group = components(rows.select("key").distinct(), acts)
     return cut(rows.join(group, "key").select("txt_id", F.col("group").alias("scan")))
 
 

@@ -1,6 +1,7 @@
 """Training-data operators against brute force, and on dirty input: nulls in any column,
 empty and very long texts, ties and repeated rows, empty tables, clashing names."""
 
+import functools
 import hashlib
 import random
 import re
@@ -33,6 +34,7 @@ def edited(rng, t, n):
     return " ".join(w)
 
 
+@functools.cache
 def grams(t, k=3):
     w = re.findall(r"[^\W_]+", (t or "").lower())
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
@@ -94,6 +96,52 @@ def test_a_long_chain_is_one_group(spark):
     assert got.filter("group <> 0").count() == 0 and got.count() == 3000
 
 
+def test_groups_equal_brute_force(spark, corpus):
+    """Chains of edits, whose ends are not near, and families that differ among themselves."""
+    rng = random.Random(9)
+    rows = [t for _, t in corpus]
+    for _ in range(4):
+        t = text(rng, 150)
+        for _ in range(8):
+            rows.append(t)
+            t = edited(rng, t, 9)
+    df = spark.createDataFrame(list(enumerate(rows)), "id bigint, text string")
+    got = near.near_groups(df, "id", "text", 3, 0.6).collect()
+    group = {i: i for i, t in enumerate(rows) if grams(t)}
+    for i in group:
+        for j in group:
+            if i < j and group[i] != group[j] and jaccard(rows[i], rows[j]) >= 0.6:
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if v == b else v for k, v in group.items()}
+    parts = lambda pairs: sorted(sorted(v) for v in {g: [i for i, x in pairs if x == g] for _, g in pairs}.values())
+    assert parts([(r["id"], r["group"]) for r in got]) == parts(list(group.items()))
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs just above the threshold, in short and long texts, of which two in five share
+    a preamble with all others: what brute force finds both operators find."""
+    rng = random.Random(31)
+    left, right, common_ = [], [], text(rng, 30)
+    for i in range(150):
+        n = rng.choice([10, 25, 60, 150, 300])
+        a = (common_ + " " if i % 5 < 2 else "") + text(rng, n)
+        want = rng.uniform(0.60, 0.72)
+        b = a
+        while jaccard(a, c := edited(rng, b, 1)) >= want:
+            b = c
+        left.append((i, a))
+        right.append((1000 + i, b))
+    make = lambda rows: spark.createDataFrame(rows, "id bigint, text string")
+    near_ = lambda a, b: min(len(a), len(b)) >= 0.6 * max(len(a), len(b)) and len(a & b) >= 0.375 * (len(a) + len(b)) > 0
+    pairs_ = lambda xs, ys: {(i, j) for i, a in xs for j, b in ys if i < j and near_(grams(a), grams(b))}
+    over = {(r["id_a"], r["id_b"]) for r in overlap.split_overlaps(make(left), make(right), "id", "text", None, 3, 0.6).collect()}
+    assert over == pairs_(left, right) and len(over) >= 150
+    both = left + right
+    found = {tuple(r) for r in near.row_pairs(*near.near_duplicates(make(both), "id", "text", 3, 0.6)).collect()}
+    want = pairs_(both, both)
+    assert found <= want and len(found) >= 0.995 * len(want)
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, None)], "id bigint, text string")
     for x in (df, df.limit(0)):
