@@ -5,9 +5,9 @@ keeps the least shingle of every window of consecutive shingles ("rolling-hash
 minima"). Least means rarest first: the order is (document count of the shingle in a
 sketch of fixed size, hash), one order for all texts, so that two texts that share a
 run as long as a window keep the same shingle of it, and common phrases of the trade
-are hardly ever kept. Candidates are exact: texts of Jaccard t share, in any fixed
-order, one of their n - tn + 1 first shingles, so the rarest of either side are joined
-across the splits, and the places of the first shared one bound what a pair can share.
+are hardly ever kept. Candidates are exact: two texts that share c shingles have, in
+any fixed order, l of them among the first n - c + l of either, so the rarest of either
+side are joined across the splits and pairs counted that meet in l of them.
 The kept shingles that a candidate pair shares are its seeds (all shared shingles where
 it has none). They are chained collinearly, the chains extended word by word, and the
 pair measured: coverage of either side and exact Jaccard.
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import bisect
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import U, WordHashes, as_hash, as_long, lists, mix, shingles, text_key, words
+from scriptoria.llm.common import U, WordHashes, as_hash, lists, mix, shingles, small, text_key, words
 from scriptoria.operators.relational import act_id
 from scriptoria.session import cut, spread
 
 SKETCH_BITS = 20  # the sketch has 2^20 counters whatever the data's size: 4 MB to broadcast
+MEET = 4  # rarest shingles in which a candidate pair meets, l above
 WINDOW = 7  # shingles of a winnowing window: any 9 words in a row that two texts share yield a common seed
 
 
@@ -110,7 +110,7 @@ def order_of(sh: np.ndarray, counts: np.ndarray, bits: int = SKETCH_BITS) -> np.
 def seeded(classes: DataFrame, counts, k: int, threshold: float, w: int = WINDOW) -> DataFrame:
     """(key, in_a, in_b, wh, n, hs, ps, first) of (key, in_a, in_b, wh): the number of
     distinct shingles, the kept ones with their positions, each once a text, and the
-    rarest n - ceil(tn) + 1, rarest first. Kept are winnowed shingles among the
+    rarest n - ceil(tn) + MEET, rarest first. Kept are winnowed shingles among the
     1 - threshold rarest, with a quarter of that as a margin for shared shingles that
     stand in runs shorter than a window."""
 
@@ -124,7 +124,7 @@ def seeded(classes: DataFrame, counts, k: int, threshold: float, w: int = WINDOW
                 each, first = np.unique(sh, return_index=True)
                 n = len(first)
                 order = np.lexsort((each, rank[first]))
-                f_out.append(each[order[: n - math.ceil(n * threshold - 1e-9) + 1]])
+                f_out.append(each[order[: n - math.ceil(n * threshold - 1e-9) + MEET]])
                 prefix = min(n, int(n * (1 - threshold) * 1.25) + 2)
                 limit = np.partition(rank[first], prefix - 1)[prefix - 1] if n else 0
                 pos = winnow(sh, rank, window_of(n, w))
@@ -194,20 +194,30 @@ def jaccard(a: np.ndarray, b: np.ndarray, k: int) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
+def candidates(sig: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of classes a of one split and b of the other that can reach ``threshold``. To
+    reach it they must share c = t (na + nb) / (1 + t) shingles; a shared one at places
+    i and j counts if enough of either side is left from there on for c - MEET + 1 to
+    come, and MEET of them, or c where that is less, make a pair."""
+    one = sig.select("key", "in_a", "in_b", "n", F.posexplode("first").alias("i", "h"))
+    a, b = one.filter("in_a").alias("a"), one.filter("in_b").alias("b")
+    near = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold)
+    c = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6))
+    room = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) > c - MEET
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & near & room & (F.col("a.key") != F.col("b.key"))).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), c.alias("c"))
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.first("c").alias("c")).filter(F.col("m") >= F.least(F.col("c"), F.lit(MEET))).select("a", "b")
+
+
 def class_overlaps(classes: DataFrame, k: int, threshold: float) -> DataFrame:
     """(a, b, seeds, coverage_a, coverage_b, similarity) of classes a of one split and
     b of the other whose Jaccard reaches ``threshold``; a class is not paired with itself."""
     spark = classes.sparkSession
     counts = spark.sparkContext.broadcast(count_sketch(classes, k))
     sig = cut(seeded(classes, counts, k, threshold))
-    one = sig.select("key", "in_a", "in_b", "n", F.posexplode("first").alias("i", "h"))
-    a, b = one.filter("in_a").alias("a"), one.filter("in_b").alias("b")
-    near = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold)
-    # The first shared shingle has at most what is left of either side behind it: a pair
-    # that is near passes at that one, whatever its others do.
-    enough = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= (F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6)
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & near & enough & (F.col("a.key") != F.col("b.key"))).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-    side = lambda x: sig.select(F.col("key").alias(x), *[F.col(c).alias(c + x) for c in ("wh", "hs", "ps")])
+    pairs = cut(candidates(sig, threshold))
+    needed = small(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    kept = sig.select("key", "wh", "hs", "ps").join(needed, "key", "left_semi")
+    side = lambda x: kept.select(F.col("key").alias(x), *[F.col(c).alias(c + x) for c in ("wh", "hs", "ps")])
     work = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,6 +241,24 @@ def class_overlaps(classes: DataFrame, k: int, threshold: float) -> DataFrame:
     )
 
 
+def linked_rows(left: DataFrame, right: DataFrame, id_col: str, text_col: str, act_col: str | None, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): the rows (side, id, act, key) of both splits, with the class of
+    equal word sequences as key, and (a, b, coverage_a, coverage_b, similarity) of the
+    classes of either side that are near, a class of both sides with itself among them."""
+    pick = lambda d, side: d.select(
+        F.lit(side).alias("side"),
+        F.col(id_col).cast("bigint").alias("id"),
+        (act_id(act_col) if act_col else F.lit(None).cast("string")).alias("act"),
+        F.col(text_col).alias("text"),
+    )
+    rows = cut(hashed(spread(pick(left, "a").unionByName(pick(right, "b"))), k))
+    classes = rows.filter("key is not null").groupBy("key").agg(F.first("wh").alias("wh"), F.bool_or(F.col("side") == "a").alias("in_a"), F.bool_or(F.col("side") == "b").alias("in_b"))
+    classes = cut(classes)
+    one = F.lit(1.0)
+    same = classes.filter("in_a and in_b").select(F.col("key").alias("a"), F.col("key").alias("b"), one.alias("coverage_a"), one.alias("coverage_b"), one.alias("similarity"))
+    return rows.select("side", "id", "act", "key"), class_overlaps(classes, k, threshold).select(*same.columns).unionByName(same)
+
+
 def split_overlaps(
     left: DataFrame, right: DataFrame, id_col: str, text_col: str, act_col: str | None = None, k: int = 5, threshold: float = 0.8
 ) -> DataFrame:
@@ -243,30 +271,29 @@ def split_overlaps(
     either side are read. Empty sides give no pairs. Same-act pairs whose texts are
     not near have null coverage and similarity.
     """
-    pick = lambda d, side: d.select(
-        F.lit(side).alias("side"),
-        F.col(id_col).cast("bigint").alias("id"),
-        (act_id(act_col) if act_col else F.lit(None).cast("string")).alias("act"),
-        F.col(text_col).alias("text"),
-    )
-    rows = cut(hashed(spread(pick(left, "a").unionByName(pick(right, "b"))), k))
-    texts = rows.filter("key is not null")
-    classes = cut(
-        texts.groupBy("key").agg(
-            F.first("wh").alias("wh"),
-            F.bool_or(F.col("side") == "a").alias("in_a"),
-            F.bool_or(F.col("side") == "b").alias("in_b"),
-        )
-    )
-    links = class_overlaps(classes, k, threshold)
-    same = classes.filter("in_a and in_b").select(
-        F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("coverage_a"), F.lit(1.0).alias("coverage_b"), F.lit(1.0).alias("similarity")
-    )
-    links = links.select(*same.columns).unionByName(same)
-    one = lambda s: texts.filter(F.col("side") == s).select(F.col("key").alias(s), F.col("id").alias(f"id_{s}"))
+    rows, links = linked_rows(left, right, id_col, text_col, act_col, k, threshold)
+    one = lambda s: rows.filter((F.col("side") == s) & F.col("key").isNotNull()).select(F.col("key").alias(s), F.col("id").alias(f"id_{s}"))
     by_text = links.join(one("a"), "a").join(one("b"), "b").select("id_a", "id_b", "coverage_a", "coverage_b", "similarity")
     acts = lambda s: rows.filter((F.col("side") == s) & F.col("act").isNotNull()).select("act", F.col("id").alias(f"id_{s}"))
     by_act = acts("a").join(acts("b"), "act").select("id_a", "id_b", F.lit(True).alias("same_act"))
     return by_text.join(by_act, ["id_a", "id_b"], "full").select(
         "id_a", "id_b", F.coalesce("same_act", F.lit(False)).alias("same_act"), "coverage_a", "coverage_b", "similarity"
     )
+
+
+def record_overlaps(
+    left: DataFrame, right: DataFrame, id_col: str, text_col: str, act_col: str | None = None, k: int = 5, threshold: float = 0.8
+) -> DataFrame:
+    """(id, pairs, same_act, near, coverage) of every row of ``right``: with how many rows
+    of ``left`` it overlaps, by act, by text and in all, and the most of its text that
+    lies in one of them. No pair of rows is listed: classes and acts are counted, and
+    what both ways find is counted once. Rows, nulls and texts as in split_overlaps."""
+    rows, links = linked_rows(left, right, id_col, text_col, act_col, k, threshold)
+    links = cut(links)
+    mine, theirs = rows.filter("side = 'a'"), rows.filter("side = 'b'")
+    many = lambda *by: mine.filter(" and ".join(f"{c} is not null" for c in by)).groupBy(*by).agg(F.count(F.lit(1)).alias("m"))
+    acts = many("act").withColumnRenamed("m", "same_act")
+    texts = links.join(many("key").withColumnRenamed("key", "a"), "a").groupBy(F.col("b").alias("key")).agg(F.sum("m").alias("near"), F.max("coverage_b").alias("coverage"))
+    both = links.join(many("key", "act").withColumnRenamed("key", "a"), "a").groupBy(F.col("b").alias("key"), "act").agg(F.sum("m").alias("both"))
+    x = theirs.join(acts, "act", "left").join(texts, "key", "left").join(both, ["key", "act"], "left").fillna(0, ["same_act", "near", "both", "coverage"])
+    return x.select("id", (F.col("same_act") + F.col("near") - F.col("both")).alias("pairs"), "same_act", "near", "coverage")

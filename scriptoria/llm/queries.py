@@ -98,29 +98,48 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 # --- 4: overlap of the splits
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.split_overlaps(
-        table(spark, d, "training_set"), table(spark, d, "test_set"), "riga_id", "testo_completo_llm", "id_atto", SHINGLE, SIMILAR
-    )
+def _splits(spark: SparkSession, d: str) -> tuple:
+    return table(spark, d, "training_set"), table(spark, d, "test_set"), "riga_id", "testo_completo_llm", "id_atto", SHINGLE, SIMILAR
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a training and a test row that are the same act or alike."""
-    return _overlaps(spark, d).select(F.least("id_a", "id_b").alias("riga_a"), F.greatest("id_a", "id_b").alias("riga_b")).distinct()
+    return overlap.split_overlaps(*_splits(spark, d)).select(F.least("id_a", "id_b").alias("riga_a"), F.greatest("id_a", "id_b").alias("riga_b")).distinct()
+
+
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every test row with the number of training rows it overlaps with, and the share of
+    its text that stands in one of them."""
+    return overlap.record_overlaps(*_splits(spark, d)).select(
+        F.col("id").alias("riga_id"), F.col("pairs").alias("coppie"), F.col("same_act").alias("stesso_atto"), F.col("near").alias("testi_simili"), F.col("coverage").alias("copertura")
+    )
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping test rows and pairs per split and experiment."""
-    rows = table(spark, d, "test_set").select(F.col("riga_id").alias("id_b"), "split_nome", "esperimento")
+    return _per_split(spark, d).select("split_nome", "esperimento", "coppie", "righe_test", "stesso_atto", "testi_simili")
+
+
+def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per split and experiment, the mean and the greatest share of a test row's text that
+    stands in one training row, over the rows that overlap."""
+    return _per_split(spark, d).select("split_nome", "esperimento", "righe_test", "copertura_media", "copertura_massima")
+
+
+def _per_split(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "test_set").select("riga_id", "split_nome", "esperimento")
     return (
-        _overlaps(spark, d)
-        .join(rows, "id_b")
+        p4_records(spark, d)
+        .filter("coppie > 0")
+        .join(rows, "riga_id")
         .groupBy("split_nome", "esperimento")
         .agg(
-            F.count(F.lit(1)).alias("coppie"),
-            F.countDistinct("id_b").alias("righe_test"),
-            F.sum(F.col("same_act").cast("bigint")).alias("stesso_atto"),
-            F.sum(F.col("similarity").isNotNull().cast("bigint")).alias("testi_simili"),
+            F.sum("coppie").alias("coppie"),
+            F.count(F.lit(1)).alias("righe_test"),
+            F.sum("stesso_atto").alias("stesso_atto"),
+            F.sum("testi_simili").alias("testi_simili"),
+            F.avg("copertura").alias("copertura_media"),
+            F.max("copertura").alias("copertura_massima"),
         )
     )
 
@@ -228,7 +247,7 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_text, p1_report, p2_found, p2_report, p3_found, p3_sample, p3_report, p4_found, p4_report, p5_found, p5_report, p6_found, p6_groups,
+        p1_found, p1_text, p1_report, p2_found, p2_report, p3_found, p3_sample, p3_report, p4_found, p4_records, p4_report, p4_coverage, p5_found, p5_report, p6_found, p6_groups,
         p8_found, p8_report, p9_found, p9_mix, p9_shares, p10_found, p10_scores, p10_report,
     )
 }

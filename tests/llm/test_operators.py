@@ -158,7 +158,12 @@ def test_split_overlaps_equal_brute_force(spark, corpus):
     by_act = {(r["id_a"], r["id_b"]) for r in got if r["same_act"]}
     assert by_act == {(i, j) for i, _ in left for j, _ in right if i % 9 and j % 9 and i % 25 == j % 25}
     assert len(got) == len(by_text | by_act)
+    for r in overlap.record_overlaps(make(left), make(right), "id", "text", "act", 3, 0.6).collect():
+        mine = [x for x in got if x["id_b"] == r["id"]]
+        assert (r["pairs"], r["same_act"], r["near"]) == (len(mine), sum(x["same_act"] for x in mine), sum(x["similarity"] is not None for x in mine))
+        assert r["coverage"] == max([x["coverage_b"] or 0 for x in mine], default=0)
     empty = make(left).limit(0)
+    assert overlap.record_overlaps(empty, make(right), "id", "text", "act").filter("pairs > 0 or coverage > 0").count() == 0
     assert overlap.split_overlaps(empty, make(right), "id", "text", "act").count() == 0
 
 
