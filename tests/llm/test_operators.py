@@ -214,20 +214,30 @@ def test_leaks_equal_brute_force(spark):
 
     want = sorted((i, j) for i, t in docs for j, b in items if holds(t, b))
     assert sorted(got) == want and len(want) > 15
+    inside = "il" + " ".join(src[:20]) + "x poi"  # the first and the last word belong to other words
+    more = spark.createDataFrame([(1, "in " + inside), (2, "in " + inside.replace("il" + src[0], "il " + src[0]).replace("x poi", " poi")), (3, "in il" + " ".join(src[:21]) + " poi")], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in leaks.leaked(more, "doc_id", "text", it, "item_id", "brano").collect()} == {2, 3}
+    half = {(r["doc_id"], r["item_id"]) for r in leaks.leaked(d, "doc_id", "text", it, "item_id", "brano", coverage=0.5).collect()}
+    assert half == {(r["doc_id"], r["item_id"]) for r in leaks.leaked(d, "doc_id", "text", it, "item_id", "brano").collect() if r["words"] >= 30} and (104, 0) in half
     tiles = leaks.leaked(d.filter("doc_id = 104"), "doc_id", "text", it.filter("item_id = 0"), "item_id", "brano").first()
     assert tiles["tiles"] == 2 and tiles["words"] == 41
     assert leaks.leaked(d.limit(0), "doc_id", "text", it, "item_id", "brano").count() == 0
     assert leaks.leaked(d, "doc_id", "text", it.limit(0), "item_id", "brano").count() == 0
 
 
-def test_leak_blocks_give_the_same(spark, monkeypatch):
+def test_leaks_of_many_items_are_joined(spark, monkeypatch):
     rng = random.Random(2)
-    items = [(i, text(rng, 40)) for i in range(9)]
-    d = spark.createDataFrame([(i, "zzz " + t) for i, t in items], "doc_id bigint, text string")
+    items = [(i, text(rng, 40)) for i in range(9)] + [(50, None), (51, "corto")]
+    docs = [(i, "zzz " + (t or "") + " " + text(rng, 50)) for i, t in items] + [(60, items[1][1][:150] + " zzz " + items[2][1]), (60, "niente"), (61, None), (None, items[0][1])]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
     it = spark.createDataFrame(items, "item_id bigint, brano string")
-    whole = sorted(map(tuple, leaks.leaked(d, "doc_id", "text", it, "item_id", "brano").collect()))
+    look = lambda it=it: sorted(tuple(r) for r in leaks.leaked(d, "doc_id", "text", it, "item_id", "brano").collect() if r["doc_id"] is not None)
+    whole = look()
     monkeypatch.setattr(leaks, "BLOCK_CHARS", 700)
-    assert sorted(map(tuple, leaks.leaked(d, "doc_id", "text", it, "item_id", "brano").collect())) == whole and len(whole) == 9
+    monkeypatch.setattr(leaks, "SIEVE_BITS", 12)  # a full sieve costs time, no row
+    assert look() == whole and len(whole) >= 10
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 3)
+    assert look(it.filter("item_id > 9")) == []
 
 
 def test_quota_sample_is_exact(spark):
