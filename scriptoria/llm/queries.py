@@ -305,9 +305,10 @@ g AS (SELECT x AS riga_id, min(m) AS gruppo FROM reach GROUP BY 1)
 SELECT riga_id, gruppo, count(*) OVER (PARTITION BY gruppo) AS righe FROM g""",
     "p8_found": """
 WITH x AS (SELECT doc_id, regexp_replace(lower(strip_accents(text)), '([\\p{L}\\p{N}])[-‐‑­]\\s*\\n\\s*([\\p{L}\\p{N}])', '\\1\\2', 'g') AS t FROM documents WHERE text IS NOT NULL),
-d AS (SELECT doc_id, ' ' || regexp_replace(t, '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ' AS s, regexp_replace(t, '[^\\p{L}\\p{N}]+', '', 'g') AS t FROM x),
+d AS (SELECT doc_id, w, array_to_string(w, '') AS t FROM (SELECT doc_id, regexp_extract_all(t, '[\\p{L}\\p{N}]+') AS w FROM x)),
 w AS (SELECT item_id, regexp_extract_all(lower(strip_accents(brano)), '[\\p{L}\\p{N}]+') AS w FROM brani_valutazione WHERE brano IS NOT NULL),
 p AS (SELECT item_id, array_to_string(w[i:i + 19], '') AS p FROM (SELECT *, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
-c AS (SELECT doc_id, item_id, s, p FROM d JOIN p ON contains(t, p))
-SELECT DISTINCT doc_id, item_id FROM c WHERE regexp_matches(s, ' ' || regexp_replace(p, '(.)', '\\1 ?', 'g') || ' ')""",
+c AS (SELECT doc_id, item_id, p, strpos(t, p) - 1 AS beg FROM d JOIN p ON contains(t, p)),
+e AS (SELECT doc_id, list_transform(range(0, len(w) + 1), lambda i: coalesce(length(array_to_string(w[1:i], '')), 0)) AS ends FROM d WHERE doc_id IN (SELECT doc_id FROM c))
+SELECT DISTINCT doc_id, item_id FROM c JOIN e USING (doc_id) WHERE list_contains(ends, beg) AND list_contains(ends, beg + length(p))""",
 }
