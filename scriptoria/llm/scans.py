@@ -16,9 +16,8 @@ the paragraphs.
 
 from __future__ import annotations
 
-import difflib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.llm.boost import Boosted
+from scriptoria.llm.common import small
 from scriptoria.llm.near import components, near_groups
 from scriptoria.operators.relational import act_id
 from scriptoria.session import cut, spread
@@ -38,7 +38,6 @@ SAMPLE_WORDS = 1500  # words misread on purpose to train the ranking
 INDEX_WORDS = 20_000  # commonest words that those training candidates come from
 KEYS = 1 << 14  # hashed line beginnings
 FEATURES = 19  # of a line pair
-LEADS = 4  # words by which a line's look-alikes are looked up
 Q = 2
 GRAMS = 2 * Q + 1  # two edits destroy at most 2 q of a word's q-grams
 KNOWN = 3  # a word seen so often in the clean texts is a word
@@ -134,43 +133,52 @@ def breaks(lines: list[str], skip: set[int]) -> list[bool]:
 def alike_lines(lines: list[str], skip: set[int]) -> dict[int, tuple[list[int], float]]:
     """Lines with look-alikes elsewhere in the text: line -> (others, best likeness).
     Alike are lines that, page numbers gone, have the same figures but for one sign and
-    the same letters but for misreadings; two or more words each."""
-    short = [i for i, s in enumerate(lines) if i not in skip and 6 <= len(s.strip()) <= 160 and any(c.isalpha() for c in s) and not TABLE.fullmatch(s)]
+    the same letters but for misreadings; two or more words each, two in five of them
+    in common. Lines of any length count."""
     same = defaultdict(list)
-    for i in short:
-        f = " ".join(PAGE_TAIL.sub("", lines[i].strip().lower()).split())
-        if " " in f:
-            same[f].append(i)
+    for i, s in enumerate(lines):
+        if i not in skip and any(c.isalpha() for c in s) and not TABLE.fullmatch(s):
+            f = " ".join(PAGE_TAIL.sub("", s.strip().lower()).split())
+            if " " in f:
+                same[f].append(i)
     forms = list(same)
     bag = [frozenset(f.split()) for f in forms]
     figures = ["".join(c for c in f if c.isdigit()) for f in forms]
+    count = Counter(x for w in bag for x in w)
+    # Lines that share two in five of their words share, in any one order, one of the
+    # first of either that are left when so many are taken away: rarest first.
+    lead = [sorted(w, key=lambda x: (count[x], x))[: len(w) - -(-2 * len(w) // 5) + 1] for w in bag]
     where = defaultdict(list)
-    for a, w in enumerate(bag):
+    for a, w in enumerate(lead):
         for x in w:
             where[x].append(a)
-    out: dict[int, tuple[list[int], float]] = {}
+    near: dict[int, list[tuple[int, float]]] = defaultdict(list)
     for a, f in enumerate(forms):
-        group, top = list(same[f]), 1.0 if len(same[f]) > 1 else 0.0
-        # Look-alikes share most words: of those that other lines have too, the rarest
-        # few lead to them, and no common word makes a long text slow.
-        rare = sorted((x for x in bag[a] if len(where[x]) > 1), key=lambda x: (len(where[x]), x))[:LEADS]
-        for b in sorted({b for x in rare for b in where[x]}):
-            most = max(len(bag[a]), len(bag[b]))
-            if b == a or len(bag[a] & bag[b]) < 0.4 * most or edits(figures[a], figures[b], 1) > 1:
+        for b in sorted({b for x in lead[a] if count[x] > 1 for b in where[x] if b > a}):
+            most = max(2, max(len(f), len(forms[b])) // 10)
+            if abs(len(f) - len(forms[b])) > most or len(bag[a] & bag[b]) < 0.4 * max(len(bag[a]), len(bag[b])) or edits(figures[a], figures[b], 1) > 1:
                 continue
-            r = difflib.SequenceMatcher(None, f, forms[b], autojunk=False).ratio()
-            most = max(2, len(f) // 10)
-            if r >= 0.85 and edits(f, forms[b], most) <= most:
-                group += same[forms[b]]
-                top = max(top, r)
+            d = edits(f, forms[b], most)
+            if d <= max(2, min(len(f), len(forms[b])) // 10):
+                r = 1 - d / max(len(f), len(forms[b]))
+                near[a].append((b, r))
+                near[b].append((a, r))
+    out: dict[int, tuple[list[int], float]] = {}
+    for a, f in enumerate(forms):
+        group = [*same[f], *(i for b, _ in near[a] for i in same[forms[b]])]
+        top = 1.0 if len(same[f]) > 1 else max((r for _, r in near[a]), default=0.0)
         if top:
             for i in same[f]:
                 out[i] = ([j for j in group if j != i], top)
     return out
 
 
-def pair_features(lines: list[str], pages: int, skip: set[int], rates: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """The lines that have look-alikes, and what the trees know of each such pair."""
+RATE, GAP = 3, 1  # places of the rate and of the gap among a pair's features
+
+
+def pair_features(lines: list[str], pages: int, skip: set[int]) -> tuple[list[int], list[int], np.ndarray]:
+    """The lines that have look-alikes, their kinds (line_key), and what the trees know of
+    each such pair; the rate at which its kind interrupts sentences is filled in later."""
     like = alike_lines(lines, skip)
     gap = breaks(lines, skip | set(like))
     n = max(1, len(lines))
@@ -185,7 +193,7 @@ def pair_features(lines: list[str], pages: int, skip: set[int], rates: np.ndarra
                 top,
                 float(gap[i]),
                 sum(gap[x] for x in group) / len(group),
-                rates[line_key(s)],
+                0.0,
                 len(group) / max(1, pages),
                 abs(i - j) / n,
                 abs(i - j) / n * max(1, pages),
@@ -203,38 +211,54 @@ def pair_features(lines: list[str], pages: int, skip: set[int], rates: np.ndarra
                 float(i + 1 < len(lines) and lines[i + 1].strip()[:1].islower()),
             )
         )
-    return at, np.array(rows, float).reshape(len(rows), FEATURES)
+    return at, [line_key(lines[i]) for i in at], np.array(rows, float).reshape(len(rows), FEATURES)
 
 
 def _split(text: str | None) -> list[str]:
     return text.split("\n") if text else []
 
 
-def break_rates(txt: DataFrame) -> np.ndarray:
-    """How often lines with a given beginning interrupt a sentence, over all texts:
-    a table of KEYS shares, shrunk towards 0.1."""
+def paired_lines(txt: DataFrame) -> DataFrame:
+    """(txt_id, num_pagine, txt, numbers, at, key, x) of every text: its page-number lines,
+    and the lines with look-alikes, their kinds and the features of the pairs in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit, all_ = np.zeros(KEYS, np.int64), np.zeros(KEYS, np.int64)
         for b in batches:
-            for t, pages in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            numbers, at, key, x = [], [], [], []
+            for pages, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 lines = _split(t)
                 skip = page_numbers(lines, pages or 1)
-                like = alike_lines(lines, skip)
-                gap = breaks(lines, skip | set(like))
-                for i in like:
-                    k = line_key(lines[i])
-                    all_[k] += 1
-                    hit[k] += gap[i]
-        at = np.nonzero(all_)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(hit[at]), pa.array(all_[at])], names=["k", "hit", "n"])
-
-    got = txt.select("txt", "num_pagine").mapInArrow(run, "k bigint, hit bigint, n bigint").groupBy("k").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).toArrow()
+                i, k, f = pair_features(lines, pages or 1, skip)
+                numbers.append(sorted(skip))
+                at.append(i)
+                key.append(k)
+                x.append(f.ravel())
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(numbers, ints), pa.array(at, ints), pa.array(key, ints), pa.array(x, pa.list_(pa.float64()))], names=["txt_id", "num_pagine", "txt", "numbers", "at", "key", "x"]
+            )
+
+    src = txt.select(F.col("txt_id").cast("bigint").alias("txt_id"), F.col("num_pagine").cast("int").alias("num_pagine"), "txt")
+    return src.mapInArrow(run, "txt_id bigint, num_pagine int, txt string, numbers array<int>, at array<int>, key array<int>, x array<double>")
+
+
+def break_rates(paired: DataFrame) -> np.ndarray:
+    """How often lines with a given beginning interrupt a sentence, over all texts:
+    a table of KEYS shares, shrunk towards 0.1."""
+    each = paired.select(F.posexplode("key").alias("i", "k"), "x")
+    each = each.select("k", F.element_at("x", F.col("i") * FEATURES + GAP + 1).alias("gap"))
+    got = each.groupBy("k").agg(F.sum("gap").alias("hit"), F.count(F.lit(1)).alias("n")).toArrow()  # KEYS rows at most
     out = np.full(KEYS, 0.1)
     out[got.column("k").to_numpy()] = (got.column("hit").to_numpy() + 0.2) / (got.column("n").to_numpy() + 2.0)
     return out
 
 
+def _rated(key, x, rates: np.ndarray) -> np.ndarray:
+    m = np.array(x, float).reshape(-1, FEATURES)
+    m[:, RATE] = rates[np.asarray(key, int)]
+    return m
+
+
 def sure_pairs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(running lines, body lines) among the pairs that need no judgement: alike lines
     that interrupt sentences where lines of their kind commonly do, one to a page or to
@@ -245,33 +269,25 @@ def sure_pairs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sure, (x[:, 3] < 0.1) | (x[:, 9] == 1) | inside
 
 
-def furniture_trees(txt: DataFrame, rates: np.ndarray, most: int = SAMPLE_TEXTS) -> Boosted | None:
+def furniture_trees(paired: DataFrame, rates: np.ndarray, most: int = SAMPLE_TEXTS) -> Boosted | None:
     """Trees for running lines, taught by the sure pairs of a bounded sample of texts.
     None where these are all of one kind: then the sure pairs alone decide."""
-    sample = txt.filter("num_pagine > 1").orderBy(F.xxhash64("txt_id"), "txt_id").limit(most).select("txt", "num_pagine")
+    sample = paired.filter("num_pagine > 1").select("txt_id", "key", "x").orderBy(F.xxhash64("txt_id"), "txt_id").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        xs, ys = [], []
-        for b in batches:
-            for t, pages in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                lines = _split(t)
-                _, x = pair_features(lines, pages or 1, page_numbers(lines, pages or 1), rates)
-                sure, never = sure_pairs(x)
-                keep = sure | never
-                xs.append(x[keep])
-                ys.append(sure[keep])
-        x, y = (np.concatenate(xs), np.concatenate(ys)) if xs else (np.empty((0, FEATURES)), np.empty(0))
-        if len(y) and y.any() and not y.all():
-            yield pa.RecordBatch.from_arrays([pa.array([Boosted(40).fit(x, y).dump()], pa.binary())], names=["m"])
+        xs = [_rated(k, x, rates) for b in batches for k, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        x = np.concatenate(xs) if xs else np.empty((0, FEATURES))
+        sure, never = sure_pairs(x)
+        keep = sure | never
+        if sure[keep].any() and not sure[keep].all():
+            yield pa.RecordBatch.from_arrays([pa.array([Boosted(40).fit(x[keep], sure[keep]).dump()], pa.binary())], names=["m"])
 
     got = sample.repartition(1).mapInArrow(run, "m binary").collect()
     return Boosted.load(got[0][0]) if got else None
 
 
-def layout(lines: list[str], pages: int, rates: np.ndarray, trees: Boosted | None) -> list[str]:
+def layout(lines: list[str], numbers: set[int], at: list[int], x: np.ndarray, trees: Boosted | None) -> list[str]:
     """Kind of each line: vuota, numero_pagina, intestazione or corpo."""
-    numbers = page_numbers(lines, pages)
-    at, x = pair_features(lines, pages, numbers, rates)
     p = trees.predict(x) if trees is not None else sure_pairs(x)[0]
     running = {i for i, q in zip(at, p) if q > 0.5}
     return [
@@ -306,7 +322,7 @@ def wordlike(part: str) -> bool:
     return any(c.isalpha() for c in part) and not (len(part) >= 6 and part.isalnum() and part.isupper() and any(c.isdigit() for c in part) and sum(c.isdigit() for c in part) > 1)
 
 
-def laid_out(txt: DataFrame, rates: np.ndarray, trees: Boosted | None) -> DataFrame:
+def laid_out(paired: DataFrame, rates: np.ndarray, trees: Boosted | None) -> DataFrame:
     """(txt_id, num_linea, kind, line, words, number, left, right, hyphen): every line,
     the words to look up (lower case), whether a figure on it is misread, and the two
     halves at its end with the sign between them ('' for none)."""
@@ -316,9 +332,9 @@ def laid_out(txt: DataFrame, rates: np.ndarray, trees: Boosted | None) -> DataFr
         m = Boosted.load(model) if model else None
         for b in batches:
             ids, no, kind, text, words, number, left, right, hyphen = ([] for _ in range(9))
-            for i, pages, t in zip(*(c.to_pylist() for c in b.columns)):
+            for i, t, numbers, at, key, x in zip(*(c.to_pylist() for c in b.columns)):
                 lines = _split(t)
-                kinds = layout(lines, pages or 1, rates, m)
+                kinds = layout(lines, set(numbers), at, _rated(key, x, rates), m)
                 body = [k for k, x in enumerate(kinds) if x == "corpo"]
                 follow = dict(zip(body, body[1:]))
                 taken = False
@@ -362,7 +378,7 @@ def laid_out(txt: DataFrame, rates: np.ndarray, trees: Boosted | None) -> DataFr
                 names=["txt_id", "num_linea", "kind", "line", "words", "number", "left", "right", "hyphen"],
             )
 
-    return txt.select(F.col("txt_id").cast("bigint"), "num_pagine", "txt").mapInArrow(
+    return paired.select("txt_id", "txt", "numbers", "at", "key", "x").mapInArrow(
         run, "txt_id bigint, num_linea int, kind string, line string, words array<string>, number boolean, left string, right string, hyphen string"
     )
 
@@ -393,22 +409,30 @@ def _readings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(w, n, c) for w, n in zip(p["w"], p["n"]) for c in sorted(confused(w))], columns=["w", "n", "c"])
 
 
-def vocabulary(clean: DataFrame, text_col: str, body: DataFrame, scans: DataFrame) -> DataFrame:
+def vocabulary(clean: DataFrame, text_col: str, body: DataFrame, txt: DataFrame) -> DataFrame:
     """(w, n): words of the clean texts with their counts, and the words that stand in
-    so many distinct scans (txt_id, scan) that they cannot be misreadings, unless they
-    are one confusion away from a clean word that is much commoner."""
+    so many distinct scans of ``txt`` (txt_id, txt, perhaps id_atto) that they cannot be
+    misreadings, unless they are one confusion away from a clean word that is much
+    commoner. Scans are told apart among the texts of words that hang on it alone."""
     w = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(?U)(\p{L}+)"), 1)).alias("w")
-    known = clean.filter(F.col(text_col).isNotNull()).select(w).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    mine = body.select("txt_id", F.explode("words").alias("w")).filter(F.col("w").rlike(r"(?U)^\p{L}+$"))
-    mine = mine.groupBy("w", "txt_id").agg(F.count(F.lit(1)).alias("c")).join(scans, "txt_id").groupBy("w").agg(F.countDistinct("scan").alias("df"), F.sum("c").alias("n"))
-    least = max(KNOWN, int(COMMON * scans.select("scan").distinct().count()))
-    known, mine = cut(known), cut(mine)
-    often = mine.filter(F.col("df") >= least).select("w", "n")
+    known = cut(clean.filter(F.col(text_col).isNotNull()).select(w).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
     sure = known.filter(F.col("n") >= KNOWN)
-    total = sure.join(mine.select("w", F.col("n").alias("m")), "w", "left").select(F.col("w").alias("c"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("nc"))
-    taken = often.join(sure, "w", "left_anti").mapInPandas(_readings, "w string, n bigint, c string").join(total, "c").filter(F.col("nc") >= COMMONER * F.col("n"))
-    mine = often.join(taken.select("w").distinct(), "w", "left_anti")
-    return known.unionByName(mine).groupBy("w").agg(F.sum("n").alias("n"))
+    act = "id_atto" in txt.columns
+    own = F.coalesce(act_id("id_atto"), F.sha2("txt", 256)) if act else F.sha2("txt", 256)
+    least = max(KNOWN, int(COMMON * txt.filter("txt is not null").select(own.alias("own")).distinct().count()))
+    each = body.select("txt_id", F.explode("words").alias("w")).filter(F.col("w").rlike(r"(?U)^\p{L}+$")).groupBy("w", "txt_id").agg(F.count(F.lit(1)).alias("c"))
+    mine = cut(each.groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("n")))
+    often = mine.filter(F.col("df") >= least)
+    strange = cut(often.join(sure, "w", "left_anti").select("w", "n"))
+    often = often.join(sure, "w", "left_semi").select("w", "n")
+    if not strange.isEmpty():
+        held = cut(each.join(small(strange.select("w")), "w", "left_semi"))
+        scans = distinct_scans(txt.join(held.select("txt_id").distinct(), "txt_id", "left_semi"), act)
+        wide = held.join(scans, "txt_id").groupBy("w").agg(F.countDistinct("scan").alias("df")).filter(F.col("df") >= least)
+        total = sure.join(mine.select("w", F.col("n").alias("m")), "w", "left").select(F.col("w").alias("c"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("nc"))
+        taken = strange.mapInPandas(_readings, "w string, n bigint, c string").join(total, "c").filter(F.col("nc") >= COMMONER * F.col("n")).select("w").distinct()
+        often = often.unionByName(strange.join(wide, "w", "left_semi").join(taken, "w", "left_anti"))
+    return known.unionByName(often).groupBy("w").agg(F.sum("n").alias("n"))
 
 
 # --- replacements ----------------------------------------------------------------
@@ -443,17 +467,35 @@ def reading_distance(a: str, b: str) -> float:
 
 
 def edits(a: str, b: str, most: int = 3) -> int:
-    """Levenshtein distance, ``most`` + 1 where it is more."""
-    if abs(len(a) - len(b)) > most:
+    """Levenshtein distance, ``most`` + 1 where it is more; a column of the table at a
+    time, its steps up and down as the bits of two numbers."""
+    if a == b:
+        return 0
+    n = len(a)
+    if abs(n - len(b)) > most:
         return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-        if min(row) > most:
+    if not n or not b:
+        return max(n, len(b))
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top, d = (1 << n) - 1, 1 << (n - 1), n
+    up, down = full, 0
+    for j, c in enumerate(b, 1):
+        same = where.get(c, 0)
+        flat = same | down
+        cross = (((same & up) + up) ^ up) | same
+        right, left = down | (full & ~(cross | up)), up & cross
+        if right & top:
+            d += 1
+        elif left & top:
+            d -= 1
+        if d - (len(b) - j) > most:
             return most + 1
-    return min(row[-1], most + 1)
+        right = (right << 1 | 1) & full
+        left = left << 1 & full
+        up, down = left | (full & ~(flat | right)), right & flat
+    return min(d, most + 1)
 
 
 def grams_of(w: str, q: int = Q) -> list[str]:
@@ -571,6 +613,8 @@ def replacements(unknown: DataFrame, vocab: DataFrame, trees: Boosted | None) ->
                     out.append((t, c[k][0], float(score[k])))
             yield pd.DataFrame(out, columns=["t", "w", "score"])
 
+    # Few bytes and much work: as many parts as cores, whatever their size.
+    pairs = pairs.repartition(2 * pairs.sparkSession.sparkContext.defaultParallelism, "t")
     grouped = pairs.groupBy("t").agg(F.max("nt").alias("nt"), F.collect_list(F.struct("w", "n")).alias("cands"))
     return grouped.mapInPandas(run, "t string, w string, score double")
 
@@ -640,10 +684,11 @@ class Repaired:
 
     def __init__(self, txt: DataFrame, clean: DataFrame, clean_text: str):
         src = spread(txt.select("txt_id", "num_pagine", "txt"))
-        rates = break_rates(src)
-        self.lines = cut(laid_out(src, rates, furniture_trees(src, rates)))
+        paired = cut(paired_lines(src))
+        rates = break_rates(paired)
+        self.lines = cut(laid_out(paired, rates, furniture_trees(paired, rates)))
         body = self.lines.filter("kind = 'corpo'")
-        self.vocab = cut(vocabulary(clean, clean_text, body, distinct_scans(txt, "id_atto" in txt.columns)))
+        self.vocab = cut(vocabulary(clean, clean_text, body, txt))
         compound = F.explode(F.regexp_extract_all(F.lower("line"), F.lit(r"(?U)(\p{L}+-\p{L}+)"), 1)).alias("compound")
         compounds = body.select(compound).groupBy("compound").agg(F.count(F.lit(1)).alias("nc"))
         self.joins = cut(joins(self.lines, self.vocab, compounds))
@@ -725,4 +770,10 @@ def paragraphs(lines, fixes: dict[str, str]) -> str:
             return t
         return w.upper() if t.isupper() and len(t) > 1 else w.capitalize() if t[:1].isupper() else w
 
+    def figure(m: re.Match) -> str:
+        t = m.group()
+        bare = t.strip(EDGE)
+        return t.replace(bare, bare.translate(DIGIT_LOOKS), 1) if bare and misread_number(bare) else t
+
+    out = [re.sub(r"\S+", figure, x) for x in out]
     return "\n".join(re.sub(r"[^\s.,;:()\"«»“”…?\[\]{}<>*'’‘`/‐–—-]+", fix, x) for x in out)

@@ -503,6 +503,32 @@ def test_reading_distance():
     assert scans.reading_distance("coinune", "comune") == pytest.approx(0.3) and scans.reading_distance("comurne", "comurne") == 0
     assert scans.reading_distance("uff!cio", "ufficio") == pytest.approx(0.3) and scans.reading_distance("xa", "ya") == 1
     assert scans.edits("abc", "abd") == 1 and scans.edits("abc", "xyzuvw") == 4
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ["".join(rng.choice("abc ") for _ in range(rng.randrange(0, 14))) for _ in range(2)]
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        for most in (0, 1, 3, 20):
+            assert scans.edits(a, b, most) == min(row[-1], most + 1)
+
+
+def test_running_lines_of_any_length_and_misread_words():
+    head = "Comune di Prova - Settore Affari Generali e Contratti - " + "ufficio protocollo e archivio storico " * 4
+    lines = [head + "di sede", "testo della prima pagina che va", head + "di sede", "avanti senza fine e poi"]
+    assert len(head) > 160 and set(scans.alike_lines(lines, set())) == {0, 2}
+    words_ = "alfa beta gamma delta epsilon zeta eta theta iota kappa".split()
+    other = [w[:-1] + "x" if i < 5 else w for i, w in enumerate(words_)]  # the five rarest words misread
+    common_ = [f"{' '.join(words_[5:])} {i} righe diverse in tutto" for i in range(6)]
+    got = scans.alike_lines([" ".join(words_), *common_, " ".join(other)], set())
+    assert {0, 7} <= set(got)
+
+
+def test_misread_figures_are_mended():
+    rows = [{"line": "La spesa è di euro 2O24,5O per il 2Ol9, codice ABC12DEF9.", "kind": "corpo", "hyphen": None}]
+    assert scans.paragraphs(rows, {}) == "La spesa è di euro 2024,50 per il 2019, codice ABC12DEF9."
 
 
 def test_scans_round_trip(spark):
@@ -564,5 +590,5 @@ def test_copies_of_a_scan_make_no_vocabulary(spark):
     t = spark.createDataFrame(txts, "txt_id bigint, txt string, id_atto string")
     c = spark.createDataFrame(clean, "id bigint, testo string")
     body = t.select("txt_id", F.split("txt", " ").alias("words"))
-    w = {r["w"] for r in scans.vocabulary(c, "testo", body, scans.distinct_scans(t, True)).collect()}
+    w = {r["w"] for r in scans.vocabulary(c, "testo", body, t).collect()}
     assert {"della", "protocollo", "giunta"} <= w and not {"provvedlmento", "zzqwx", "dclla"} & w
