@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
 from scriptoria.functions.labels import canonical_label
-from scriptoria.operators import metrics as M
 from scriptoria.operators.ranking import group_rank
 from scriptoria.operators.relational import SEED, folds
 from scriptoria.plans import sqlkit as Q
@@ -70,16 +69,33 @@ def char_grams(c: Column, least: int = 3, most: int = 5) -> Column:
     return F.flatten(F.transform(words, lambda w: of(F.concat(F.lit(" "), w, F.lit(" ")))))
 
 
+def term_counts(rows: DataFrame, id_: str, grams: Column) -> DataFrame:
+    """(id, term, tf), written down. Rows are parted by id before their terms unfold, so
+    that the texts travel once and the terms not at all."""
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = rows.repartition(n, id_).select(F.col(id_).alias("id"), F.explode(grams).alias("term"))
+    return cut(each.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def kept_terms(tf: DataFrame, rows: int, most: int) -> DataFrame:
+    """L4: (term, idf) of the ``most`` commonest terms (ties by the term), marked for
+    broadcast: ln((1 + n) / (1 + df)) + 1."""
+    top = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(most)
+    return F.broadcast(cut(top.select("term", (F.ln((1 + F.lit(rows)) / (1 + F.col("df"))) + 1).alias("idf"))))
+
+
+def weighed(tf: DataFrame, terms: DataFrame) -> DataFrame:
+    """L1 to L3: (id, term, w), each row's weights of length 1: (1 + ln tf) times idf. A
+    row's terms are packed, normed and unpacked in one pass."""
+    x = tf.join(terms, "term").groupBy("id").agg(F.collect_list(F.struct("term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))).alias("ts"))
+    norm = F.sqrt(F.aggregate("ts", F.lit(0.0), lambda a, t: a + t["w"] * t["w"]))
+    return x.select("id", F.explode("ts").alias("t"), norm.alias("norm")).select("id", "t.term", (F.col("t.w") / F.col("norm")).alias("w"))
+
+
 def tfidf(rows: DataFrame, id_: str, grams: Column, most: int) -> DataFrame:
-    """L1 to L4: (id, term, w), each row's weights of length 1: (1 + ln tf) times
-    ln((1 + n) / (1 + df)) + 1, over the ``most`` commonest terms (ties by the term)."""
-    tf = rows.select(id_, F.explode(grams).alias("term")).groupBy(id_, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = rows.count()
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(most)
-    w = (1 + F.ln("tf")) * (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
-    x = tf.join(df.select("term", "df"), "term").withColumn("w", w)
-    norm = x.groupBy(id_).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return x.join(norm, id_).select(id_, "term", (F.col("w") / F.col("norm")).alias("w"))
+    """L1 to L4: (id, term, w) of the rows over their own commonest terms. Ids must differ."""
+    tf = term_counts(rows, id_, grams)
+    return weighed(tf, kept_terms(tf, rows.count(), most))
 
 
 def _grams_sql(src: str) -> str:
@@ -87,28 +103,40 @@ def _grams_sql(src: str) -> str:
 g AS (SELECT id, array_to_string(w[i:i + k - 1], ' ') AS term FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k))"""
 
 
+def _chars_sql(src: str) -> str:
+    return f"""cw AS (SELECT id, ' ' || unnest(list_filter(string_split(tm, ' '), lambda x: x <> '')) || ' ' AS p FROM {src}),
+cg AS (SELECT id, substr(p, i, k) AS term FROM (SELECT id, p, k, unnest(range(1, length(p) - k + 2)) AS i FROM cw, (VALUES (3), (4), (5)) AS ks(k) WHERE length(p) >= k) UNION ALL SELECT id, p FROM cw WHERE length(p) < 5)"""
+
+
 _SRC = f"src AS (SELECT riga_id AS id, {Q.ml_clean('testo_completo_llm')} AS tm FROM dataset_atti)"
-_TF = f"WITH {_SRC}, {_grams_sql('src')}, tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY ALL), dfs AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT {MAX_WORDS})"
+_TF = f"WITH {_SRC}, {_grams_sql('src')}, tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY ALL)"
+_TOP = lambda most: f", dfs AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT {most})"
+_W = ", x AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM src)) / (1 + df)) + 1) AS w FROM tf JOIN dfs USING (term)) SELECT id AS riga_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS w FROM x"
 
 
-@query(
-    _TF
-    + ", x AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM src)) / (1 + df)) + 1) AS w FROM tf JOIN dfs USING (term))"
-    + " SELECT id AS riga_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS w FROM x"
-)
+def _texts(s, d) -> DataFrame:
+    return table(s, d, "dataset_atti").select("riga_id", T.ml_clean("testo_completo_llm").alias("tm"))
+
+
+@query(_TF + _TOP(MAX_WORDS) + _W)
 def tfidf_word(s, d):
     """L1, L3, L4."""
-    x = spread(table(s, d, "dataset_atti").select("riga_id", "testo_completo_llm")).select("riga_id", T.ml_clean("testo_completo_llm").alias("tm"))
-    return tfidf(x, "riga_id", word_grams(F.col("tm")), MAX_WORDS).select("riga_id", "term", F.round("w", 6).alias("w"))
+    return tfidf(_texts(s, d), "riga_id", word_grams(F.col("tm")), MAX_WORDS).select(F.col("id").alias("riga_id"), "term", F.round("w", 6).alias("w"))
 
 
-@query(_TF + " SELECT term, df, ln((1 + (SELECT count(*) FROM src)) / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1) WHERE df >= 5")
+@query(f"WITH {_SRC}, {_chars_sql('src')}, tf AS (SELECT id, term, count(*) AS tf FROM cg GROUP BY ALL)" + _TOP(MAX_CHARS) + _W)
+def tfidf_char(s, d):
+    """L2 to L4."""
+    return tfidf(_texts(s, d), "riga_id", char_grams(F.col("tm")), MAX_CHARS).select(F.col("id").alias("riga_id"), "term", F.round("w", 6).alias("w"))
+
+
+@query(_TF + " SELECT term, df, ln((1 + (SELECT count(*) FROM src)) / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1)")
 def idf(s, d):
-    """L4: smooth idf of the terms in five rows or more."""
-    x = table(s, d, "dataset_atti").select("riga_id", T.ml_clean("testo_completo_llm").alias("tm"))
+    """L4: smooth idf of every term."""
+    x = _texts(s, d)
     n = x.count()
     g = x.select("riga_id", F.explode(F.array_distinct(word_grams(F.col("tm")))).alias("term"))
-    return g.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter("df >= 5").select("term", "df", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    return g.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 @query(
@@ -139,10 +167,7 @@ def naive_bayes(train: DataFrame, test: DataFrame, id_: str, label: str, text: s
     mine = w(test, id_).groupBy(id_, "t").agg(F.count(F.lit(1)).alias("k")).join(terms, "t", "left_semi")
     known = mine.groupBy(id_).agg(F.sum("k").alias("words"))
     gain = mine.join(lift, "t").groupBy(id_, "y").agg(F.sum(F.col("k") * F.col("lift")).alias("gain"))
-    all_ = test.select(id_).join(known, id_, "left").join(F.broadcast(base.groupBy().agg(F.collect_list(F.struct("y", "prior", "unseen")).alias("ys"))), F.lit(True)).select(id_, "words", F.explode("ys").alias("b"))
-    x = all_.select(id_, F.col("b.y").alias("y"), (F.col("b.prior") + F.coalesce("words", F.lit(0)) * F.col("b.unseen")).alias("s")).join(gain, [id_, "y"], "left")
-    x = x.withColumn("s", F.round(F.col("s") + F.coalesce("gain", F.lit(0.0)), 8))
-    return x.groupBy(id_).agg(F.min_by("y", F.struct(-F.col("s"), F.col("y"))).alias("label"))
+    return _likeliest(test.select(id_).join(known, id_, "left"), base, gain, [id_], "words")
 
 
 @query(
@@ -161,6 +186,134 @@ def nb_predict(s, d):
     return naive_bayes(tr, te, "riga_id", "y", "tm")
 
 
+def union_bayes(train: DataFrame, test: DataFrame, id_: str, label: str, text: str, alpha: float = 1.0) -> DataFrame:
+    """(id, label) of each test row by multinomial Bayes over word and character
+    TF-IDF side by side, as the published classifier has it: terms and idf from the
+    training rows, class weights smoothed by ``alpha``, the class prior not; equal scores
+    go to the first label, a row without known terms to the commonest. What is sent to
+    all tasks has MAX_WORDS + MAX_CHARS terms of each label at most. Ids must differ."""
+    n = train.count()
+    mine, theirs = [], []
+    for name, grams, most in (("w", word_grams, MAX_WORDS), ("c", char_grams, MAX_CHARS)):
+        tf = term_counts(train, id_, grams(F.col(text)))
+        terms = kept_terms(tf, n, most)
+        mine.append(weighed(tf, terms).withColumn("part", F.lit(name)))
+        theirs.append(weighed(term_counts(test, id_, grams(F.col(text))), terms).withColumn("part", F.lit(name)))
+    y = train.select(F.col(id_).alias("id"), F.col(label).alias("y"))
+    sums = mine[0].unionByName(mine[1]).join(y, "id").groupBy("y", "part", "term").agg(F.sum("w").alias("c"))
+    sums = cut(sums)
+    size = sums.select("part", "term").distinct().count()
+    total = sums.groupBy("y").agg(F.sum("c").alias("m"))
+    base = y.groupBy("y").agg(F.ln(F.count(F.lit(1)) / F.lit(n)).alias("prior")).join(total, "y", "left")
+    base = base.select("y", "prior", F.ln(F.lit(alpha) / (F.coalesce("m", F.lit(0.0)) + F.lit(alpha * size))).alias("unseen"))
+    lift = F.broadcast(sums.select("y", "part", "term", F.ln((F.col("c") + alpha) / F.lit(alpha)).alias("lift")))
+    x = cut(theirs[0].unionByName(theirs[1]))
+    gain = x.join(lift, ["part", "term"]).groupBy("id", "y").agg(F.sum(F.col("w") * F.col("lift")).alias("gain"))
+    all_ = test.select(F.col(id_).alias("id")).join(x.groupBy("id").agg(F.sum("w").alias("mass")), "id", "left")
+    return _likeliest(all_, base, gain, ["id"], "mass").withColumnRenamed("id", id_)
+
+
+def _likeliest(rows: DataFrame, base: DataFrame, gain: DataFrame, key: list[str], mass: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(key, label): the label of the greatest prior + mass x unseen + gain of each row."""
+    x = rows.join(F.broadcast(base), by) if by else rows.join(F.broadcast(base.groupBy().agg(F.collect_list(F.struct("y", "prior", "unseen")).alias("ys"))), F.lit(True)).select(*rows.columns, F.inline("ys"))
+    x = x.join(gain, [*key, "y"], "left")
+    s = F.round(F.col("prior") + F.coalesce(F.col(mass), F.lit(0)) * F.col("unseen") + F.coalesce("gain", F.lit(0.0)), 8)
+    return x.groupBy(*key).agg(F.min_by("y", F.struct(-s, F.col("y"))).alias("label"))
+
+
+def _side_sql(name: str, terms: str, most: int) -> str:
+    """TF-IDF of training and test texts over the training texts' commonest terms."""
+    return f""", {name}f AS (SELECT id, term, count(*) AS tf FROM {terms} GROUP BY ALL),
+{name}d AS (SELECT term, count(*) AS df, sum(tf) AS total FROM {name}f WHERE id IN (SELECT id FROM tr) GROUP BY 1 ORDER BY total DESC, term LIMIT {most}),
+{name}x AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM tr)) / (1 + df)) + 1) AS w FROM {name}f JOIN {name}d USING (term)),
+{name}w AS (SELECT id, '{name}' || term AS term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM {name}x)"""
+
+
+@query(
+    f"""WITH tr AS (SELECT riga_id AS id, {Q.canonical('golden_label')} AS y, {Q.ml_clean('testo_completo_llm')} AS tm FROM training_set WHERE {Q.canonical('golden_label')} IS NOT NULL),
+te AS (SELECT riga_id AS id, {Q.ml_clean('testo_completo_llm')} AS tm FROM test_set), src AS (SELECT id, tm FROM tr UNION ALL SELECT id, tm FROM te), {_grams_sql('src')}, {_chars_sql('src')}"""
+    + _side_sql("w_", "g", MAX_WORDS)
+    + _side_sql("c_", "cg", MAX_CHARS)
+    + """, a AS (SELECT * FROM w_w UNION ALL SELECT * FROM c_w), c AS (SELECT y, term, sum(w) AS c FROM a JOIN tr USING (id) GROUP BY ALL),
+b AS (SELECT y, ln(n / (SELECT count(*) FROM tr)) AS prior, ln(1 / (coalesce(m, 0) + (SELECT count(DISTINCT term) FROM c))) AS unseen FROM (SELECT y, count(*) AS n FROM tr GROUP BY 1) LEFT JOIN (SELECT y, sum(c) AS m FROM c GROUP BY 1) USING (y)),
+t AS (SELECT te.id, term, w FROM te JOIN a USING (id)), gn AS (SELECT t.id, c.y, sum(w * ln(c + 1)) AS gain FROM t JOIN c USING (term) GROUP BY ALL), ms AS (SELECT id, sum(w) AS mass FROM t GROUP BY 1),
+x AS (SELECT te.id, b.y, round(b.prior + coalesce(mass, 0) * b.unseen + coalesce(gain, 0), 8) AS s FROM te CROSS JOIN b LEFT JOIN ms USING (id) LEFT JOIN gn ON gn.id = te.id AND gn.y = b.y)
+SELECT id AS riga_id, arg_min(y, (-s, y)) AS label FROM x GROUP BY 1"""
+)
+def nb_union(s, d):
+    """Bayes over the TF-IDF union, trained on the training set, applied to the test set."""
+    tr = table(s, d, "training_set").select("riga_id", canonical_label(F.col("golden_label")).alias("y"), T.ml_clean("testo_completo_llm").alias("tm")).filter("y is not null")
+    te = table(s, d, "test_set").select("riga_id", T.ml_clean("testo_completo_llm").alias("tm"))
+    return union_bayes(tr, te, "riga_id", "y", "tm")
+
+
+def bayes_folds(rows: DataFrame, id_: str, label: str, fold: str, grams: Column, alpha: float = 1.0) -> DataFrame:
+    """(id, fold, y_true, y_pred): out-of-fold labels of all rows by multinomial
+    Bayes over counts of ``grams``. A fold's training counts are all counts less its own,
+    so that one pass over the texts fits every fold's model and a second applies it; no
+    row is left out and no model is fitted on a sample. Ties go to the first label."""
+    x = rows.select(F.col(id_).alias("id"), F.col(label).alias("y"), F.col(fold).alias("fold"), grams.alias("g"))
+    tf = cut(x.select("id", "y", "fold", F.explode("g").alias("t")).groupBy("id", "y", "fold", "t").agg(F.count(F.lit(1)).alias("k")))
+    own = cut(tf.groupBy("y", "t", "fold").agg(F.sum("k").alias("c")))
+    sizes = x.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(sizes)
+    all_folds = F.explode(F.array(*[F.lit(r[0]) for r in sizes.select("fold").distinct().orderBy("fold").collect()] or [F.lit(0)])).alias("fold")
+    rest = own.groupBy("y", "t").agg(F.sum("c").alias("all")).select("y", "t", "all", all_folds).join(own, ["y", "t", "fold"], "left")
+    rest = cut(rest.select("fold", "y", "t", (F.col("all") - F.coalesce("c", F.lit(0))).alias("c")).filter("c > 0"))
+    terms = rest.select("fold", "t").distinct()
+    size = terms.groupBy("fold").agg(F.count(F.lit(1)).alias("v"))
+    m = rest.groupBy("fold", "y").agg(F.sum("c").alias("m"))
+    n = sizes.groupBy("y").agg(F.sum("n").alias("all")).select("y", "all", all_folds).join(sizes, ["y", "fold"], "left").select("fold", "y", (F.col("all") - F.coalesce("n", F.lit(0))).alias("n")).filter("n > 0")
+    total = n.groupBy("fold").agg(F.sum("n").alias("total"))
+    base = cut(
+        n.join(total, "fold").join(size, "fold", "left").join(m, ["fold", "y"], "left").select("fold", "y", F.ln(F.col("n") / F.col("total")).alias("prior"), F.ln(F.lit(alpha) / (F.coalesce("m", F.lit(0)) + F.coalesce("v", F.lit(0)) * alpha + F.when(F.coalesce("v", F.lit(0)) == 0, alpha).otherwise(0.0))).alias("unseen"))
+    )
+    known = tf.select("id", "fold", "t", "k").join(terms, ["fold", "t"])
+    mass = known.groupBy("id", "fold").agg(F.sum("k").alias("mass"))
+    gain = known.join(rest, ["fold", "t"]).groupBy("id", "fold", "y").agg(F.sum(F.col("k") * F.ln((F.col("c") + alpha) / F.lit(alpha))).alias("gain"))
+    truth = x.select("id", "fold", F.col("y").alias("y_true"))
+    pred = _likeliest(truth.select("id", "fold").join(mass, ["id", "fold"], "left"), base, gain, ["id", "fold"], "mass", ["fold"])
+    return truth.join(pred, ["id", "fold"]).select("id", "fold", "y_true", F.col("label").alias("y_pred"))
+
+
+BAYES = (("bayes_parole", 1), ("bayes_coppie", 2))  # of words, and of words and pairs of words
+
+
+def fold_predictions(s, d) -> DataFrame:
+    """(id, modello, fold, y_true, y_pred) of two models over all labelled rows with text."""
+    x = cut(folds(_rows(s, d), "y", "riga_id"))
+    each = [bayes_folds(x, "riga_id", "y", "fold", word_grams(F.col("tm"), 1, n)).withColumn("modello", F.lit(name)) for name, n in BAYES]
+    return cut(each[0].unionByName(each[1]))
+
+
+def _fold_sql(name: str, n: int) -> str:
+    """Out-of-fold predictions of one model of BAYES from rows r (id, y, fold, w)."""
+    p = name.removeprefix("bayes_")
+    return f"""{p}_g AS (SELECT id, y, fold, array_to_string(w[i:i + k - 1], ' ') AS t FROM (SELECT id, y, fold, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM r, (SELECT unnest(range(1, {n + 1})) AS k) WHERE len(w) >= k)),
+{p}_c AS (SELECT f.fold, g.y, g.t, count(*) AS c FROM {p}_g g JOIN (SELECT DISTINCT fold FROM r) f ON f.fold <> g.fold GROUP BY ALL),
+{p}_n AS (SELECT f.fold, r.y, count(*) AS n FROM r JOIN (SELECT DISTINCT fold FROM r) f ON f.fold <> r.fold GROUP BY ALL),
+{p}_v AS (SELECT fold, count(DISTINCT t) AS v FROM {p}_c GROUP BY 1),
+{p}_b AS (SELECT n.fold, n.y, ln(n.n / sum(n.n) OVER (PARTITION BY n.fold)) AS prior, ln(1 / (coalesce(m, 0) + v)) AS unseen FROM {p}_n n JOIN {p}_v USING (fold) LEFT JOIN (SELECT fold, y, sum(c) AS m FROM {p}_c GROUP BY ALL) m ON m.fold = n.fold AND m.y = n.y),
+{p}_k AS (SELECT id, fold, t, count(*) AS k FROM {p}_g GROUP BY ALL),
+{p}_m AS (SELECT id, sum(k) AS mass FROM {p}_k JOIN (SELECT DISTINCT fold, t FROM {p}_c) USING (fold, t) GROUP BY 1),
+{p}_a AS (SELECT id, c.y, sum(k * ln(c + 1)) AS gain FROM {p}_k k JOIN {p}_c c USING (fold, t) GROUP BY ALL),
+{p}_s AS (SELECT r.id, r.fold, r.y AS y_true, b.y, round(prior + coalesce(mass, 0) * unseen + coalesce(gain, 0), 8) AS s FROM r JOIN {p}_b b USING (fold) LEFT JOIN {p}_m m ON m.id = r.id LEFT JOIN {p}_a a ON a.id = r.id AND a.y = b.y),
+{p}_p AS (SELECT id, '{name}' AS modello, fold, y_true, arg_min(y, (-s, y)) AS y_pred FROM {p}_s GROUP BY id, fold, y_true)"""
+
+
+PREDICTED_SQL = f"""WITH r0 AS (SELECT riga_id AS id, {Q.canonical('golden_label')} AS y, {Q.ml_clean('testo_completo_llm')} AS tm FROM dataset_atti),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS VARCHAR) || ':{SEED}'), id) AS rank, count(*) OVER (PARTITION BY y) AS n FROM r0 WHERE y IS NOT NULL AND length(tm) > 0),
+r AS (SELECT id, y, CAST((rank - 1) % (SELECT least(5, min(n)) FROM r1) AS INT) AS fold, regexp_extract_all(tm, '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM r1),
+""" + ",\n".join(_fold_sql(*b) for b in BAYES) + """,
+p AS (SELECT * FROM parole_p UNION ALL SELECT * FROM coppie_p)"""
+
+
+@query(PREDICTED_SQL + " SELECT id AS riga_id, modello, fold, y_true, y_pred FROM p")
+def bayes_predictions(s, d):
+    """Out-of-fold labels of every labelled row by two models."""
+    return fold_predictions(s, d).select(F.col("id").alias("riga_id"), "modello", "fold", "y_true", "y_pred")
+
+
 # --- features and solvers in one task
 
 
@@ -435,10 +588,3 @@ def _rows(s, d) -> DataFrame:
 def cv_predictions(s, d):
     """Out-of-fold predictions of the three classifiers."""
     return cross_validate(_rows(s, d), "riga_id", "y", "tm")
-
-
-@query()
-def cv_summary(s, d):
-    """Fold means and deviations of the three classifiers."""
-    return M.fold_summary(cross_validate(_rows(s, d), "riga_id", "y", "tm"))
-

@@ -6,13 +6,12 @@ confusion counts; every metric follows from these at most labels^2 rows a model.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.functions.labels import LABELS, canonical_label
-from scriptoria.operators.relational import folds
+from scriptoria.functions.labels import LABELS
+from scriptoria.operators.learn import BAYES, PREDICTED_SQL, _rows, cross_validate, fold_predictions
 from scriptoria.plans import sqlkit as Q
-from scriptoria.session import table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -32,28 +31,6 @@ def query(sql: str | None = None):
     return add
 
 
-# A word of an act's heading and the label it stands for, in order of trial.
-HEADINGS = (
-    ("accordo sindacale", "AccordoSindacale"),
-    ("decreto", "Decreto"),
-    ("consiglio comunale", "DeliberaConsiglio"),
-    ("giunta comunale", "DeliberaGiunta"),
-    ("determinazione", "Determina"),
-    ("ordinanza", "Ordinanza"),
-    ("regolamento", "Regolamento"),
-    ("statuto", "Statuto"),
-)
-
-
-def heading_label(c: Column) -> Column:
-    """A label by rule: the first heading word found in the text's first 150 characters."""
-    head = F.lower(F.substring(F.coalesce(c, F.lit("")), 1, 150))
-    out = F.lit(None).cast("string")
-    for word, label in reversed(HEADINGS):
-        out = F.when(head.contains(word), label).otherwise(out)
-    return out
-
-
 def confusion(pred: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """G9, long form: (by..., y_true, y_pred, n)."""
     return pred.filter("y_true is not null and y_pred is not null").groupBy(*by, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
@@ -127,23 +104,16 @@ def percent(table_: DataFrame) -> DataFrame:
     return table_.select("modello", *[F.round(F.col(m) * 100, 2).alias(m) for m in METRICS])
 
 
-def rule_predictions(s, d) -> DataFrame:
-    """Predictions of two rules on the dataset: by heading, and one that always says Determina."""
-    y = canonical_label(F.col("golden_label"))
-    x = table(s, d, "dataset_atti").select(F.col("riga_id").alias("id"), y.alias("y_true"), heading_label(F.col("testo_completo_llm")).alias("h"))
-    x = folds(x.filter("y_true is not null"), "y_true", "id")
-    models = F.explode(F.array(F.struct(F.lit("regola").alias("modello"), F.col("h").alias("y_pred")), F.struct(F.lit("costante").alias("modello"), F.lit("Determina").alias("y_pred")))).alias("m")
-    return x.select("id", "fold", "y_true", models).select("id", "m.modello", "fold", "y_true", "m.y_pred")
-
-
-_HEAD = "CASE " + " ".join(f"WHEN contains(lower(left(coalesce(testo_completo_llm, ''), 150)), {Q.lit(w)}) THEN {Q.lit(v)}" for w, v in HEADINGS) + " END"
-_PRED = f"""WITH x AS (SELECT riga_id AS id, {Q.canonical('golden_label')} AS y_true, {_HEAD} AS h FROM dataset_atti),
-r AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY md5(CAST(id AS VARCHAR) || ':1234'), id) AS rank, count(*) OVER (PARTITION BY y_true) AS n FROM x WHERE y_true IS NOT NULL),
-p0 AS (SELECT id, (rank - 1) % (SELECT least(5, min(n)) FROM r) AS fold, y_true, h FROM r),
-p AS (SELECT id, 'regola' AS modello, fold, y_true, h AS y_pred FROM p0 UNION ALL SELECT id, 'costante', fold, y_true, 'Determina' FROM p0),
-cf AS (SELECT modello, fold, y_true, y_pred, count(*) AS n FROM p WHERE y_pred IS NOT NULL GROUP BY ALL),
+# The queries below measure the out-of-fold predictions of two classifiers for every
+# labelled row of the dataset.
+_PRED = (
+    PREDICTED_SQL
+    + """,
+cf AS (SELECT modello, fold, y_true, y_pred, count(*) AS n FROM p GROUP BY ALL),
 c AS (SELECT modello, y_true, y_pred, CAST(sum(n) AS BIGINT) AS n FROM cf GROUP BY ALL),
 """
+)
+FIRST = BAYES[0][0]
 
 
 def _classes(src: str, by: str) -> str:
@@ -160,23 +130,23 @@ def _summary(src: str, by: str) -> str:
 @query(_PRED.rstrip(",\n") + " SELECT modello, y_true, y_pred, n FROM c")
 def confusion_counts(s, d):
     """G9, long."""
-    return confusion(rule_predictions(s, d), ["modello"])
+    return confusion(fold_predictions(s, d), ["modello"])
 
 
 @query(
     _PRED
-    + "w AS (SELECT * FROM c WHERE modello = 'regola') SELECT 'vero_' || l AS vero, "
+    + "w AS (SELECT * FROM c WHERE modello = '" + FIRST + "') SELECT 'vero_' || l AS vero, "
     + ", ".join(f"CAST(coalesce(sum(n) FILTER (y_pred = '{x}'), 0) AS BIGINT) AS \"pred_{x}\"" for x in LABELS)
     + f" FROM (SELECT unnest([{', '.join(Q.lit(x) for x in LABELS)}]) AS l) LEFT JOIN w ON w.y_true = l GROUP BY l"
 )
 def confusion_matrix(s, d):
     """G9, wide."""
-    return confusion_wide(confusion(rule_predictions(s, d).filter("modello = 'regola'")))
+    return confusion_wide(confusion(fold_predictions(s, d).filter(F.col("modello") == FIRST)))
 
 
 @query(
     _PRED
-    + f"w AS (SELECT y_true, y_pred, n FROM c WHERE modello = 'regola'), k AS {_classes('w', '')} "
+    + f"w AS (SELECT y_true, y_pred, n FROM c WHERE modello = '{FIRST}'), k AS {_classes('w', '')} "
     + """SELECT label, precision, recall, f1, CAST(support AS DOUBLE) AS support FROM k
 UNION ALL SELECT 'accuracy', a, a, a, a FROM (SELECT sum(tp) / sum(support) AS a FROM k)
 UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS DOUBLE) FROM k
@@ -184,13 +154,13 @@ UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(re
 )
 def class_report(s, d):
     """G11."""
-    return report(confusion(rule_predictions(s, d).filter("modello = 'regola'")))
+    return report(confusion(fold_predictions(s, d).filter(F.col("modello") == FIRST)))
 
 
 @query(_PRED + f"z AS {_summary('c', 'modello')} SELECT * FROM z")
 def macro_metrics(s, d):
     """G10, K6."""
-    return summary(confusion(rule_predictions(s, d), ["modello"]), ["modello"])
+    return summary(confusion(fold_predictions(s, d), ["modello"]), ["modello"])
 
 
 @query(
@@ -201,10 +171,16 @@ def macro_metrics(s, d):
 )
 def fold_metrics(s, d):
     """G12."""
-    return fold_summary(rule_predictions(s, d))
+    return fold_summary(fold_predictions(s, d))
 
 
 @query(_PRED + f"z AS {_summary('c', 'modello')} SELECT * FROM z ORDER BY f1_macro DESC, modello LIMIT 1")
 def best_by_f1(s, d):
     """A top-1 report."""
-    return best_model(summary(confusion(rule_predictions(s, d), ["modello"]), ["modello"]))
+    return best_model(summary(confusion(fold_predictions(s, d), ["modello"]), ["modello"]))
+
+
+@query()
+def cv_summary(s, d):
+    """Fold means and deviations of the three classifiers."""
+    return fold_summary(cross_validate(_rows(s, d), "riga_id", "y", "tm"))
