@@ -101,8 +101,13 @@ def id_order(id_: Column) -> list[Column]:
 
 
 def file_uri(path: Column) -> Column:
-    """File URI of an absolute path; blanks are escaped."""
-    return F.concat(F.lit("file://"), F.regexp_replace(path, " ", "%20"))
+    """File URI of an absolute path: every byte but letters, digits, '/',
+    '.', '-', '_' and '~' is escaped, accents as their UTF-8 bytes."""
+    # Of those, form encoding keeps '*', escapes '/' and '~', and makes blanks '+'.
+    c = F.url_encode(path)
+    for code, sign in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):
+        c = F.replace(c, F.lit(code), F.lit(sign))
+    return F.concat(F.lit("file://"), c)
 
 
 def experiment(name: Column) -> Column:

@@ -30,6 +30,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 MAX_WORDS, MAX_CHARS = 20_000, 12_000
 MOST_ROWS = 400  # training rows that a model is fitted on
+MOST_TERMS = 100_000  # terms with their counts that are broadcast: about 50 MB
 STEP = 256  # rows predicted at a time
 
 
@@ -89,7 +90,8 @@ def weighed(tf: DataFrame, terms: DataFrame) -> DataFrame:
     row's terms are packed, normed and unpacked in one pass."""
     x = tf.join(terms, "term").groupBy("id").agg(F.collect_list(F.struct("term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))).alias("ts"))
     norm = F.sqrt(F.aggregate("ts", F.lit(0.0), lambda a, t: a + t["w"] * t["w"]))
-    return x.select("id", F.explode("ts").alias("t"), norm.alias("norm")).select("id", "t.term", (F.col("t.w") / F.col("norm")).alias("w"))
+    x = x.select("id", "ts", norm.alias("norm"))  # before the rows unfold, else once for each term
+    return x.select("id", "norm", F.inline("ts")).select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def tfidf(rows: DataFrame, id_: str, grams: Column, most: int) -> DataFrame:
@@ -247,65 +249,75 @@ def nb_union(s, d):
     return union_bayes(tr, te, "riga_id", "y", "tm")
 
 
-def bayes_folds(rows: DataFrame, id_: str, label: str, fold: str, grams: Column, alpha: float = 1.0) -> DataFrame:
-    """(id, fold, y_true, y_pred): out-of-fold labels of all rows by multinomial
+def bayes_folds(rows: DataFrame, id_: str, label: str, fold: str, grams: Column, models: tuple[tuple[str, float], ...]) -> DataFrame:
+    """(id, modello, fold, y_true, y_pred): for each model (name, smoothing) out-of-fold labels of all rows by multinomial
     Bayes over counts of ``grams``. A fold's training counts are all counts less its own,
     so that one pass over the texts fits every fold's model and a second applies it; no
     row is left out and no model is fitted on a sample. Ties go to the first label."""
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     x = rows.select(F.col(id_).alias("id"), F.col(label).alias("y"), F.col(fold).alias("fold"), grams.alias("g"))
-    tf = cut(x.select("id", "y", "fold", F.explode("g").alias("t")).groupBy("id", "y", "fold", "t").agg(F.count(F.lit(1)).alias("k")))
-    own = cut(tf.groupBy("y", "t", "fold").agg(F.sum("k").alias("c")))
-    sizes = x.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n"))
-    sizes = cut(sizes)
-    all_folds = F.explode(F.array(*[F.lit(r[0]) for r in sizes.select("fold").distinct().orderBy("fold").collect()] or [F.lit(0)])).alias("fold")
-    rest = own.groupBy("y", "t").agg(F.sum("c").alias("all")).select("y", "t", "all", all_folds).join(own, ["y", "t", "fold"], "left")
-    rest = cut(rest.select("fold", "y", "t", (F.col("all") - F.coalesce("c", F.lit(0))).alias("c")).filter("c > 0"))
-    terms = rest.select("fold", "t").distinct()
-    size = terms.groupBy("fold").agg(F.count(F.lit(1)).alias("v"))
-    m = rest.groupBy("fold", "y").agg(F.sum("c").alias("m"))
-    n = sizes.groupBy("y").agg(F.sum("n").alias("all")).select("y", "all", all_folds).join(sizes, ["y", "fold"], "left").select("fold", "y", (F.col("all") - F.coalesce("n", F.lit(0))).alias("n")).filter("n > 0")
-    total = n.groupBy("fold").agg(F.sum("n").alias("total"))
-    base = cut(
-        n.join(total, "fold").join(size, "fold", "left").join(m, ["fold", "y"], "left").select("fold", "y", F.ln(F.col("n") / F.col("total")).alias("prior"), F.ln(F.lit(alpha) / (F.coalesce("m", F.lit(0)) + F.coalesce("v", F.lit(0)) * alpha + F.when(F.coalesce("v", F.lit(0)) == 0, alpha).otherwise(0.0))).alias("unseen"))
-    )
-    known = tf.select("id", "fold", "t", "k").join(terms, ["fold", "t"])
-    mass = known.groupBy("id", "fold").agg(F.sum("k").alias("mass"))
-    gain = known.join(rest, ["fold", "t"]).groupBy("id", "fold", "y").agg(F.sum(F.col("k") * F.ln((F.col("c") + alpha) / F.lit(alpha))).alias("gain"))
+    tf = cut(x.repartition(n, "id").select("id", "y", "fold", F.explode("g").alias("t")).groupBy("id", "y", "fold", "t").agg(F.count(F.lit(1)).alias("k")))
+    own = tf.groupBy("t", "y", "fold").agg(F.sum("k").alias("c"))
+    by_label = own.groupBy("t", "y").agg(F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("fold", "c"))).alias("cs"))
+    terms = cut(by_label.groupBy("t").agg(F.collect_list(F.struct("y", "all", "cs")).alias("ys")))  # an entry a label, a count a fold
+    # A vocabulary of known size goes to all tasks. A larger one is shuffled anew, so that
+    # the rows of a word that is in every text can be split.
+    many = terms.count()
+    looked = F.broadcast(terms) if many <= MOST_TERMS else terms.select(F.concat("t", F.lit("")).alias("t"), "ys")
+    left = lambda r: r["all"] - F.coalesce(F.try_element_at(r["cs"], F.col("fold")), F.lit(0))
+    # What a fold has to learn from: rows, words and different words outside it.
+    ys = F.col("ys")
+    inside = cut(terms.select(F.inline("ys")).select("y", "all", F.explode("cs").alias("fold", "c")).groupBy("y", "fold").agg(F.sum("c").alias("c")))
+    sizes = cut(x.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")))
+    alone = terms.select(F.array_distinct(F.flatten(F.transform(ys, lambda r: F.map_keys(r["cs"])))).alias("f")).filter(F.size("f") == 1).groupBy(F.col("f")[0].alias("fold")).agg(F.count(F.lit(1)).alias("gone"))
+    every = sizes.select("y").distinct().crossJoin(F.broadcast(sizes.select("fold").distinct()))  # labels x folds
+    total = lambda d, c: d.groupBy("y").agg(F.sum(c).alias("__all")).join(every, "y").join(d, ["y", "fold"], "left").select("y", "fold", (F.col("__all") - F.coalesce(c, F.lit(0))).alias(c))
+    base = total(sizes, "n").filter("n > 0").join(total(inside, "c"), ["y", "fold"], "left").join(alone, "fold", "left").withColumn("v", F.lit(many) - F.coalesce("gone", F.lit(0)))
+    rows_of = base.groupBy("fold").agg(F.sum("n").alias("rows"))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("modello"), F.lit(a).alias("alpha")) for m, a in models])).alias("m")
+    base = base.join(rows_of, "fold").select("*", each).select("*", "m.*")
+    base = cut(base.select("modello", "fold", "y", F.ln(F.col("n") / F.col("rows")).alias("prior"), F.ln(F.col("alpha") / F.greatest(F.coalesce("c", F.lit(0)) + F.col("v") * F.col("alpha"), F.col("alpha"))).alias("unseen")))
+    known = F.when(F.exists(ys, lambda r: left(r) > 0), F.array(F.struct(F.lit(None).cast("string").alias("modello"), F.lit(None).cast("string").alias("y"), F.col("k").cast("double").alias("s")))).otherwise(F.array().cast("array<struct<modello:string,y:string,s:double>>"))
+    seen = F.filter(ys, lambda r: left(r) > 0)
+    speaks = lambda m, a: F.transform(seen, lambda r: F.struct(F.lit(m).alias("modello"), r["y"].alias("y"), (F.col("k") * F.ln((left(r) + a) / F.lit(a))).alias("s")))
+    lift = [speaks(m, a) for m, a in models]
+    sums = cut(tf.select("id", "fold", "t", "k").join(looked, "t").select("id", "fold", F.inline(F.concat(known, *lift))).groupBy("id", "fold", "modello", "y").agg(F.sum("s").alias("s")))
     truth = x.select("id", "fold", F.col("y").alias("y_true"))
-    pred = _likeliest(truth.select("id", "fold").join(mass, ["id", "fold"], "left"), base, gain, ["id", "fold"], "mass", ["fold"])
-    return truth.join(pred, ["id", "fold"]).select("id", "fold", "y_true", F.col("label").alias("y_pred"))
+    mass = sums.filter("y is null").select("id", "fold", F.col("s").alias("mass"))
+    gain = sums.filter("y is not null").select("id", "fold", "modello", "y", F.col("s").alias("gain"))
+    asked = truth.select("id", "fold", F.explode(F.array(*[F.lit(m) for m, _ in models])).alias("modello")).join(mass, ["id", "fold"], "left")
+    pred = _likeliest(asked, base, gain, ["id", "fold", "modello"], "mass", ["fold", "modello"])
+    return truth.join(pred, ["id", "fold"]).select("id", "modello", "fold", "y_true", F.col("label").alias("y_pred"))
 
 
-BAYES = (("bayes_parole", 1), ("bayes_coppie", 2))  # of words, and of words and pairs of words
+BAYES = (("bayes_1", 1.0), ("bayes_01", 0.1))  # two smoothings of the words' counts
 
 
 def fold_predictions(s, d) -> DataFrame:
     """(id, modello, fold, y_true, y_pred) of two models over all labelled rows with text."""
     x = cut(folds(_rows(s, d), "y", "riga_id"))
-    each = [bayes_folds(x, "riga_id", "y", "fold", word_grams(F.col("tm"), 1, n)).withColumn("modello", F.lit(name)) for name, n in BAYES]
-    return cut(each[0].unionByName(each[1]))
+    return cut(bayes_folds(x, "riga_id", "y", "fold", word_grams(F.col("tm"), 1, 1), BAYES))
 
 
-def _fold_sql(name: str, n: int) -> str:
-    """Out-of-fold predictions of one model of BAYES from rows r (id, y, fold, w)."""
-    p = name.removeprefix("bayes_")
-    return f"""{p}_g AS (SELECT id, y, fold, array_to_string(w[i:i + k - 1], ' ') AS t FROM (SELECT id, y, fold, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM r, (SELECT unnest(range(1, {n + 1})) AS k) WHERE len(w) >= k)),
-{p}_c AS (SELECT f.fold, g.y, g.t, count(*) AS c FROM {p}_g g JOIN (SELECT DISTINCT fold FROM r) f ON f.fold <> g.fold GROUP BY ALL),
-{p}_n AS (SELECT f.fold, r.y, count(*) AS n FROM r JOIN (SELECT DISTINCT fold FROM r) f ON f.fold <> r.fold GROUP BY ALL),
-{p}_v AS (SELECT fold, count(DISTINCT t) AS v FROM {p}_c GROUP BY 1),
-{p}_b AS (SELECT n.fold, n.y, ln(n.n / sum(n.n) OVER (PARTITION BY n.fold)) AS prior, ln(1 / (coalesce(m, 0) + v)) AS unseen FROM {p}_n n JOIN {p}_v USING (fold) LEFT JOIN (SELECT fold, y, sum(c) AS m FROM {p}_c GROUP BY ALL) m ON m.fold = n.fold AND m.y = n.y),
-{p}_k AS (SELECT id, fold, t, count(*) AS k FROM {p}_g GROUP BY ALL),
-{p}_m AS (SELECT id, sum(k) AS mass FROM {p}_k JOIN (SELECT DISTINCT fold, t FROM {p}_c) USING (fold, t) GROUP BY 1),
-{p}_a AS (SELECT id, c.y, sum(k * ln(c + 1)) AS gain FROM {p}_k k JOIN {p}_c c USING (fold, t) GROUP BY ALL),
-{p}_s AS (SELECT r.id, r.fold, r.y AS y_true, b.y, round(prior + coalesce(mass, 0) * unseen + coalesce(gain, 0), 8) AS s FROM r JOIN {p}_b b USING (fold) LEFT JOIN {p}_m m ON m.id = r.id LEFT JOIN {p}_a a ON a.id = r.id AND a.y = b.y),
-{p}_p AS (SELECT id, '{name}' AS modello, fold, y_true, arg_min(y, (-s, y)) AS y_pred FROM {p}_s GROUP BY id, fold, y_true)"""
+def _fold_sql(name: str, alpha: float) -> str:
+    """Out-of-fold predictions of one model of BAYES from the words g (id, y, fold, t)."""
+    p = name.removeprefix("bayes")
+    return f"""b{p} AS (SELECT n.fold, n.y, ln(n.n / sum(n.n) OVER (PARTITION BY n.fold)) AS prior, ln({alpha} / (coalesce(m, 0) + {alpha} * v)) AS unseen FROM n JOIN v USING (fold) LEFT JOIN (SELECT fold, y, sum(c) AS m FROM c0 GROUP BY ALL) m ON m.fold = n.fold AND m.y = n.y),
+a{p} AS (SELECT id, c.y, sum(k * ln((c + {alpha}) / {alpha})) AS gain FROM k JOIN c0 c USING (fold, t) GROUP BY ALL),
+s{p} AS (SELECT r.id, r.fold, r.y AS y_true, b.y, round(prior + coalesce(mass, 0) * unseen + coalesce(gain, 0), 8) AS s FROM r JOIN b{p} b USING (fold) LEFT JOIN m ON m.id = r.id LEFT JOIN a{p} a ON a.id = r.id AND a.y = b.y),
+p{p} AS (SELECT id, '{name}' AS modello, fold, y_true, arg_min(y, (-s, y)) AS y_pred FROM s{p} GROUP BY id, fold, y_true)"""
 
 
 PREDICTED_SQL = f"""WITH r0 AS (SELECT riga_id AS id, {Q.canonical('golden_label')} AS y, {Q.ml_clean('testo_completo_llm')} AS tm FROM dataset_atti),
 r1 AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS VARCHAR) || ':{SEED}'), id) AS rank, count(*) OVER (PARTITION BY y) AS n FROM r0 WHERE y IS NOT NULL AND length(tm) > 0),
 r AS (SELECT id, y, CAST((rank - 1) % (SELECT least(5, min(n)) FROM r1) AS INT) AS fold, regexp_extract_all(tm, '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM r1),
+g AS (SELECT id, y, fold, unnest(w) AS t FROM r),
+c0 AS (SELECT f.fold, g.y, g.t, count(*) AS c FROM g JOIN (SELECT DISTINCT fold FROM r) f ON f.fold <> g.fold GROUP BY ALL),
+n AS (SELECT f.fold, r.y, count(*) AS n FROM r JOIN (SELECT DISTINCT fold FROM r) f ON f.fold <> r.fold GROUP BY ALL),
+v AS (SELECT fold, count(DISTINCT t) AS v FROM c0 GROUP BY 1), k AS (SELECT id, fold, t, count(*) AS k FROM g GROUP BY ALL),
+m AS (SELECT id, sum(k) AS mass FROM k JOIN (SELECT DISTINCT fold, t FROM c0) USING (fold, t) GROUP BY 1),
 """ + ",\n".join(_fold_sql(*b) for b in BAYES) + """,
-p AS (SELECT * FROM parole_p UNION ALL SELECT * FROM coppie_p)"""
+p AS (SELECT * FROM p_1 UNION ALL SELECT * FROM p_01)"""
 
 
 @query(PREDICTED_SQL + " SELECT id AS riga_id, modello, fold, y_true, y_pred FROM p")

@@ -146,11 +146,11 @@ def confusion_matrix(s, d):
 
 @query(
     _PRED
-    + f"w AS (SELECT y_true, y_pred, n FROM c WHERE modello = '{FIRST}'), k AS {_classes('w', '')} "
-    + """SELECT label, precision, recall, f1, CAST(support AS DOUBLE) AS support FROM k
-UNION ALL SELECT 'accuracy', a, a, a, a FROM (SELECT sum(tp) / sum(support) AS a FROM k)
-UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS DOUBLE) FROM k
-UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), CAST(sum(support) AS DOUBLE) FROM k"""
+    + f"w AS (SELECT y_true, y_pred, n FROM c WHERE modello = '{FIRST}'), kk AS {_classes('w', '')} "
+    + """SELECT label, precision, recall, f1, CAST(support AS DOUBLE) AS support FROM kk
+UNION ALL SELECT 'accuracy', a, a, a, a FROM (SELECT sum(tp) / sum(support) AS a FROM kk)
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS DOUBLE) FROM kk
+UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), CAST(sum(support) AS DOUBLE) FROM kk"""
 )
 def class_report(s, d):
     """G11."""

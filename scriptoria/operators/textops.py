@@ -193,7 +193,10 @@ def id_normalize(s, d):
     return table(s, d, "training_set").select("riga_id", C.padded_id(i, F.col("file_name")).alias("id"), C.id_digits(i).alias("cifre"))
 
 
-@query("SELECT audit_id, 'file://' || replace(pdf_path_locale, ' ', '%20') AS uri, pdf_link = 'file://' || replace(pdf_path_locale, ' ', '%20') AS uguale FROM audit_log")
+_URI = "'file://' || replace(replace(url_encode(pdf_path_locale), '%2F', '/'), '*', '%2A')"
+
+
+@query(f"SELECT audit_id, {_URI} AS uri, pdf_link = {_URI} AS uguale FROM audit_log")
 def path_uri(s, d):
     """P22."""
     u = C.file_uri(F.col("pdf_path_locale"))

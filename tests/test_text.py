@@ -148,3 +148,13 @@ def test_labels(spark):
     v = [" Deliberazione della GIUNTA ", "determina", "DeliberaGiunta", "ambigua", "", None]
     assert run(spark, normalize_label(F.col("c")), v) == ["DeliberaGiunta", "Determina", "DeliberaGiunta", "ambigua", "", ""]
     assert run(spark, canonical_label(F.col("c")), v) == ["DeliberaGiunta", "Determina", "DeliberaGiunta", None, None, None] == [canonical(x) for x in v]
+
+
+def test_file_uri_escapes_as_paths_do(spark):
+    from pathlib import Path
+
+    from scriptoria.functions import convert
+
+    paths = ["/a b/perché #1.pdf", "/100%/x?y=z&w;v.pdf", "/at@to/[1]{2}~*'(3)!.pdf", "/semplice/atto_1.pdf", None]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r[0] for r in df.select(convert.file_uri(F.col("p"))).collect()] == [p and Path(p).as_uri() for p in paths]
