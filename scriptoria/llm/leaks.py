@@ -156,6 +156,8 @@ class Items:
         heap: list[tuple[int, int, int]] = []
 
         def push(n: int, d: int, i: int) -> None:
+            if self.covered(item, i, i + n) < self.least:
+                return
             n, d, i = self.trimmed(item, n, d, i, ends)
             if n and self.covered(item, i, i + n) >= self.least:
                 heapq.heappush(heap, (-n, d, i))
@@ -184,8 +186,12 @@ class Items:
         """(item_id, longest, tiles, words, coverage) of every item the text has tiles of."""
         doc = stream(text)
         hits = self.matches(doc, roll.windows(doc, self.size, self.step))
-        ends = word_ends(text) if hits else None
+        ends = None
         for item, found in hits.items():
+            found = [m for m in found if self.covered(item, m[2], m[2] + m[0]) >= self.least]
+            if not found:
+                continue
+            ends = word_ends(text) if ends is None else ends
             each = [self.covered(item, q, q + n) for n, _, q in self.tiles(item, found, ends)]
             if each:
                 yield self.ids[item], max(each), len(each), sum(each), sum(each) / (len(self.edge[item]) - 1)
