@@ -52,10 +52,12 @@ def ship(spark: SparkSession) -> None:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``; only where
-    that is unset (tests, a laptop) a temporary one is made."""
+    that is unset and the master local (tests, a laptop) a temporary one is made."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not given:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not given.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         given = given.get() if given.isDefined() else tempfile.mkdtemp(prefix="scriptoria_")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(given)
