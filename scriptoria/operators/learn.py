@@ -310,7 +310,7 @@ p{p} AS (SELECT id, '{name}' AS modello, fold, y_true, arg_min(y, (-s, y)) AS y_
 
 PREDICTED_SQL = f"""WITH r0 AS (SELECT riga_id AS id, {Q.canonical('golden_label')} AS y, {Q.ml_clean('testo_completo_llm')} AS tm FROM dataset_atti),
 r1 AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS VARCHAR) || ':{SEED}'), id) AS rank, count(*) OVER (PARTITION BY y) AS n FROM r0 WHERE y IS NOT NULL AND length(tm) > 0),
-r AS (SELECT id, y, CAST((rank - 1) % (SELECT least(5, min(n)) FROM r1) AS INT) AS fold, regexp_extract_all(tm, '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM r1),
+r AS (SELECT id, y, CAST((rank - 1) % (SELECT least(5, min(n)) FROM r1) AS INT) AS fold, regexp_extract_all(tm, '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM r1),
 g AS (SELECT id, y, fold, unnest(w) AS t FROM r),
 c0 AS (SELECT f.fold, g.y, g.t, count(*) AS c FROM g JOIN (SELECT DISTINCT fold FROM r) f ON f.fold <> g.fold GROUP BY ALL),
 n AS (SELECT f.fold, r.y, count(*) AS n FROM r JOIN (SELECT DISTINCT fold FROM r) f ON f.fold <> r.fold GROUP BY ALL),
