@@ -1,60 +1,41 @@
 """Near-duplicate records: DartMinHash signatures, banded join, exact check, groups.
 
-Plan. One Arrow pass turns every text into the set of its word-shingle hashes. Texts
-with equal word sequences collapse to one class (partial aggregation, so a class
-that holds a third of all rows costs one row per map task). Only classes are signed,
-banded and joined; candidate pairs are deduplicated before the exact Jaccard check,
-which runs JVM-side on the shingle arrays. Pairs of rows, where wanted, come last by
-expanding classes. Groups need no pairs: the classes of a band are checked against one
-of them, and only classes of different groups then meet.
+Plan. One Arrow pass turns every text into a class key, its band keys and a sketch of
+one bit a signature value; shingles are written nowhere. Texts with equal word sequences
+collapse to one class (a class that holds a third of all rows is signed and sent once
+per map task). Classes meet a few bands at a time, and the shuffle files of these are
+removed before the next; a pair is written only if its sketches differ in no more bits
+than a near pair's do, so that texts of one trade that share a band by chance cost no
+disk. Of the classes in a pair, and of no others, the texts are then read again and
+brought together, each once for its neighbours, for the exact Jaccard check. Pairs of
+rows, where wanted, come last by expanding classes. Groups need no pairs: the classes of
+a band are checked against one of them, and only classes of different groups then meet.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import U, WordHashes, as_hash, as_long, lists, mix, salt, shingles, text_key, unit, words
+from scriptoria.llm.common import U, WordHashes, as_hash, mix, salt, shingles, text_key, unit, words
 from scriptoria.session import cut, spread
 
 HASHES = 256  # signature length
 BLOCK = 100_000  # shingles signed at a time
+WIDEST = 256  # of a cell: its Poisson probabilities are far from underflow
 ROWS = 4  # rows of a band: a pair of similarity s meets with 1-(1-s^4)^64, 0.99986 at 0.6
-
-
-def keyed(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, key, sh): class key and sorted distinct shingle hashes of each text that
-    has at least ``k`` words; shorter, empty and null texts have no shingles and are
-    left out."""
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = src.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            keep, keys, sets = [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                h = hashes(words(t))
-                if len(h) < k:
-                    continue
-                keep.append(i)
-                keys.append(text_key(h))
-                sets.append(np.unique(shingles(h, k)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(pa.array(keep, pa.int32())),
-                    pa.array(keys, pa.int64()),
-                    lists(np.concatenate(sets) if sets else np.empty(0, U), [len(s) for s in sets]),
-                ],
-                names=["id", "key", "sh"],
-            )
-
-    return src.mapInArrow(run, f"id {kind}, key bigint, sh array<bigint>")
+WORDS = HASHES // 64  # longs of a sketch
+SIGMAS = 6  # a sketch may differ by so many deviations more than at the threshold: 1e-9 of the pairs there do
+SEEN = 200_000  # class keys that a task remembers as signed
+ENTRIES = 500_000  # band entries that meet at a time, or an eighth of all if that is more
+FETCHED = 100_000  # classes whose texts are found by a broadcast; more through a sieve and a shuffle
+SIEVE_BITS = 26  # the sieve has 2^26 bits whatever the data's size: 8 MB to broadcast
+BUCKET = 2_000_000  # shingles, and pairs, checked in one group
 
 
 # --- DartMinHash -----------------------------------------------------------------
@@ -72,74 +53,55 @@ def _poisson_cdf(mean: float) -> np.ndarray:
     return np.array(out)
 
 
-def _cells(most: float) -> Iterator[tuple[int, float, float]]:
-    """Rank cells (number, low, width) up to ``most``, each as wide as all before it."""
-    yield 0, 0.0, 0.25
-    low, n = 0.25, 1
-    while low < most:
-        yield n, low, low
-        low, n = low * 2, n + 1
+def _cells() -> Iterator[tuple[int, float, float]]:
+    """Rank cells (number, low, width), half as wide as all before them, up to WIDEST."""
+    low, width, n = 0.0, 0.5, 0
+    while True:
+        yield n, low, width
+        low, n = low + width, n + 1
+        width = min(low / 2, WIDEST)
 
 
-def _throw(el: np.ndarray, wt: np.ndarray, doc: np.ndarray, limit: np.ndarray, k: int):
-    """Darts of the weighted elements with rank under their document's limit.
+def dart_signatures(el: np.ndarray, wt: np.ndarray, doc: np.ndarray, n_docs: int, k: int = HASHES) -> np.ndarray:
+    """n_docs x k DartMinHash values of weighted sets; weights in (0, 1].
 
     Each element owns one Poisson process of darts over (weight 0..1) x (rank 0..),
     drawn cell by cell from its hash alone, so that equal elements of two documents
     have equal darts; a dart is in a document if it lies under the element's weight.
+    The value of a slot is its dart of least rank. Cells rise in rank, so a slot that has
+    a dart is closed to later cells, and a document whose slots are all closed throws no
+    more. Equal slots of two documents agree with the probability of their weighted
+    Jaccard similarity. Sets without elements keep zeros.
     """
-    docs, slots, ranks, ids = [], [], [], []
-    lim, whole = limit[doc], bool((wt >= 1).all())
-    for n, low, width in _cells(float(limit.max())):
-        on = np.nonzero(lim > low)[0]
-        if not len(on):
+    sig = np.zeros(n_docs * k, dtype=np.uint64)
+    is_open = np.ones(n_docs * k, dtype=bool)
+    left = np.bincount(doc, weights=wt, minlength=n_docs) > 0
+    whole = bool((wt >= 1).all())
+    for n, low, width in _cells():
+        on = left[doc]
+        if not on.all():
+            el, doc, wt = el[on], doc[on], wt[on]
+        if not len(el):
             break
-        base = mix(el[on] ^ salt(1, n))
+        base = mix(el ^ salt(1, n))
         count = np.searchsorted(_poisson_cdf(width), unit(base), side="right")
-        of = np.repeat(np.arange(len(on)), count)
-        nth = np.arange(len(of)) - (np.cumsum(count) - count)[of]
-        dart = mix(base[of] + mix(nth.astype(np.uint64) + salt(2, n)))
-        rank = low + width * unit(mix(dart ^ salt(3)))
-        of = on[of]
-        hit = rank < lim[of]
+        of = np.repeat(np.arange(len(el)), count)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        dart = mix(base[of] + mix(np.arange(count.max(initial=0), dtype=np.uint64) + salt(2, n))[nth])
+        cell = (doc * k)[of] + (dart % U(k)).astype(np.int64)
+        hit = is_open[cell]
         if not whole:
             hit &= unit(mix(dart ^ salt(4))) < wt[of]
-        dart = dart[hit]
-        docs.append(doc[of[hit]])
-        slots.append((mix(dart ^ salt(5)) % U(k)).astype(np.int64))
-        ranks.append(rank[hit])
-        ids.append(dart)
-    cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-    return cat(docs, np.int64), cat(slots, np.int64), cat(ranks, float), cat(ids, U)
-
-
-def dart_signatures(el: np.ndarray, wt: np.ndarray, doc: np.ndarray, n_docs: int, k: int = HASHES) -> np.ndarray:
-    """n_docs x k DartMinHash values of weighted sets; weights in (0, 1].
-
-    The darts of rank under (k ln k + 2k) / total weight are about that many, enough
-    to fill all k slots nearly always; documents with an empty slot throw twice as
-    many again. Equal slots of two documents agree with the probability of their
-    weighted Jaccard similarity. Sets without elements keep zeros.
-    """
-    out = np.zeros((n_docs, k), dtype=np.uint64)
-    total = np.bincount(doc, weights=wt, minlength=n_docs)
-    left = np.nonzero(total > 0)[0]
-    darts = k * math.log(k) + 2 * k
-    while len(left):
-        renum = np.full(n_docs, -1)
-        renum[left] = np.arange(len(left))
-        here = renum[doc] >= 0
-        d, s, r, i = _throw(el[here], wt[here], renum[doc[here]], darts / total[left], k)
-        cell = d * k + s
-        least = np.full(len(left) * k, np.inf)
-        np.minimum.at(least, cell, r)
-        first = r == least[cell]
-        sig = np.zeros(len(left) * k, dtype=np.uint64)
-        sig[cell[first]] = i[first]
-        done = np.isfinite(least).reshape(-1, k).all(axis=1)
-        out[left[done]] = sig.reshape(-1, k)[done]
-        left, darts = left[~done], darts * 2
-    return out
+        hit = np.nonzero(hit)[0]
+        dart, cell = dart[hit], cell[hit]
+        rank = mix(dart ^ salt(3))
+        least = np.full(n_docs * k, ~U(0))
+        np.minimum.at(least, cell, rank)
+        first = rank == least[cell]
+        sig[cell[first]] = dart[first]
+        is_open[cell] = False
+        left &= is_open.reshape(-1, k).any(axis=1)
+    return sig.reshape(n_docs, k)
 
 
 def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
@@ -152,76 +114,207 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-def signed_classes(classes: DataFrame, k: int = HASHES, rows: int = ROWS) -> DataFrame:
-    """(key, sh, bands) of (key, sh); shingles weigh alike, so that the weighted
-    similarity is the plain one that the exact check uses."""
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """One bit of each value of the signatures, as documents x values / 64 longs."""
+    bits = np.packbits((mix(sig ^ salt(6)) >> U(63)).astype(np.uint8), axis=1)
+    return np.ascontiguousarray(bits).view(np.int64)
+
+
+def signed_rows(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(id, raw, key, n, bands, sketch) of each text that has at least ``k`` words; shorter,
+    empty and null texts have no shingles and are left out. raw is the hash of the text
+    as it is, key that of its words, n the number of its distinct shingles. Shingles weigh
+    alike, so that the weighted similarity is the plain one that the exact check uses.
+    A text of a class that the task has signed already has n 0 and empty lists."""
+    src = df.select(F.col(id_col).alias("id"), _raw(text_col).alias("raw"), F.col(text_col).alias("text"))
+    kind = src.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = WordHashes(), set()
         for b in batches:
-            ends = np.cumsum(np.asarray(b.column(1).value_lengths()))
-            at = 0
-            while at < b.num_rows:  # as many rows at a time as have BLOCK elements
+            keep, keys, sets = [], [], []
+            for i, t in enumerate(b.column(2).to_pylist()):
+                h = hashes(words(t))
+                if len(h) < k:
+                    continue
+                keep.append(i)
+                keys.append(text_key(h))
+                sets.append(np.empty(0, U) if keys[-1] in seen else np.unique(shingles(h, k)))
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(keys[-1])
+            n = np.array([len(x) for x in sets], dtype=np.int64)
+            signed = np.nonzero(n)[0]
+            ends = np.cumsum(n[signed])
+            band, bits, at = [], [], 0
+            while at < len(signed):  # as many texts at a time as have BLOCK shingles
                 upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
-                part = b.slice(at, upto - at)
+                part = signed[at:upto]
+                flat = np.concatenate([sets[i] for i in part])
+                sig = dart_signatures(flat, np.ones(len(flat)), np.repeat(np.arange(len(part)), n[part]), len(part))
+                band.append((bands(sig) >> U(32)).astype(np.uint32).view(np.int32).ravel())
+                bits.append(sketches(sig).ravel())
                 at = upto
-                sh = part.column(1)
-                flat = as_hash(sh.flatten().to_numpy(zero_copy_only=False))
-                doc = np.repeat(np.arange(part.num_rows), np.asarray(sh.value_lengths()))
-                keys = bands(dart_signatures(flat, np.ones(len(flat)), doc, part.num_rows, k), rows)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), sh, lists(keys.ravel(), [keys.shape[1]] * part.num_rows)],
-                    names=["key", "sh", "bands"],
-                )
+            rows = pa.array(keep, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0).take(rows),
+                    b.column(1).take(rows),
+                    pa.array(keys, pa.int64()),
+                    pa.array(n, pa.int32()),
+                    _lists(band, np.int32, (n > 0) * (HASHES // ROWS)),
+                    _lists(bits, np.int64, (n > 0) * WORDS),
+                ],
+                names=["id", "raw", "key", "n", "bands", "sketch"],
+            )
 
-    return classes.mapInArrow(run, "key bigint, sh array<bigint>, bands array<bigint>")
+    return src.mapInArrow(run, f"id {kind}, raw bigint, key bigint, n int, bands array<int>, sketch array<bigint>")
 
 
-def banded(sig: DataFrame) -> DataFrame:
-    """(key, n, band): a row a class and band, n the number of its shingles."""
-    return sig.select("key", F.size("sh").alias("n"), F.explode("bands").alias("band"))
+def _raw(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col))
 
 
-def _meeting(band: DataFrame, threshold: float, *other) -> DataFrame:
-    """(a, b), a < b, of classes that share a band and are near enough in size."""
-    a, b = band.alias("a"), band.alias("b")
-    near = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold)) & (F.col("a.key") < F.col("b.key"))
-    for c in other:
-        near = near & c
-    return a.join(b, (F.col("a.band") == F.col("b.band")) & near).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-
-
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b) of ``sets`` (key, sh) whose exact Jaccard
-    reaches ``threshold``."""
-    return (
-        pairs.join(sets.select(F.col("key").alias("a"), F.col("sh").alias("sa")), "a")
-        .join(sets.select(F.col("key").alias("b"), F.col("sh").alias("sb")), "b")
-        .withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-        .select("a", "b", (F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared"))).alias("similarity"))
-        .filter(F.col("similarity") >= F.lit(threshold))
-    )
+def _lists(parts: list[np.ndarray], kind, lengths: np.ndarray) -> pa.ListArray:
+    flat = np.concatenate(parts) if parts else np.empty(0, kind)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(flat))
+
+
+def _lean(df: DataFrame) -> DataFrame:
+    """``cut``; the shuffle files that it took are removed when it is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    conf = df.sparkSession.conf
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return cut(df.select("*"))
+    finally:
+        conf.set(name, before)
+
+
+def banded(sig: DataFrame, low: int, many: int, *other: str) -> DataFrame:
+    """(key, n, sketch's longs, band): a row a class and each of ``many`` bands from ``low`` on."""
+    longs = [F.col("sketch")[i].alias(f"s{i}") for i in range(WORDS)]
+    each = sig.select("key", "n", *longs, *other, F.posexplode(F.slice("bands", low + 1, many)).alias("i", "h"))
+    band = F.shiftleft(F.col("i").cast("bigint"), 32).bitwiseOR(F.col("h").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return each.withColumn("band", band).drop("i", "h")
+
+
+def _near(a: str, b: str, threshold: float) -> Column:
+    """Near enough in size, a bound that is exact, and in sketch: of the bits of a pair at
+    the threshold (1 - threshold) / 2 differ on average."""
+    odds = (1 - threshold) / 2
+    most = HASHES * odds + SIGMAS * math.sqrt(HASHES * odds * (1 - odds))
+    differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(WORDS)), F.lit(0))
+    return (F.least(f"{a}.n", f"{b}.n") >= F.greatest(f"{a}.n", f"{b}.n") * F.lit(threshold)) & (differ <= F.lit(most))
 
 
-def class_links(sig: DataFrame, threshold: float) -> DataFrame:
+def _meeting(sig: DataFrame, meet: Callable[[DataFrame], DataFrame], *other: str) -> DataFrame:
+    """(a, b), each once, of what ``meet`` makes of the bands, a few bands at a time."""
+    bands_ = HASHES // ROWS
+    many = max(bands_ // 8, min(bands_, ENTRIES // max(1, sig.count())))
+    met = None
+    for low in range(0, bands_, many):
+        new = meet(banded(sig, low, many, *other)).distinct()
+        new = _lean(new if met is None else new.join(met, ["a", "b"], "left_anti"))
+        met = new if met is None else met.unionByName(new)
+    return met
+
+
+def _self_join(band: DataFrame, threshold: float, *cond: Column) -> DataFrame:
+    """(a, b), a < b, of classes that share a band and are near enough in size and sketch."""
+    near = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") < F.col("b.key")) & _near("a", "b", threshold)
+    for c in cond:
+        near = near & c
+    return band.alias("a").join(band.alias("b"), near).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+
+
+class Texts:
+    """The texts of classes, read again from where they came."""
+
+    def __init__(self, df: DataFrame, text_col: str, k: int):
+        self.rows, self.k = df.select(_raw(text_col).alias("raw"), F.col(text_col).alias("text")), k
+
+    def of(self, needed: DataFrame, many: int) -> DataFrame:
+        """(raw, text), each raw once, of ``needed`` (raw), ``many`` rows; where they are too
+        many to broadcast some others get through the sieve, but a join with needed drops them."""
+        rows = self.rows.join(F.broadcast(needed), "raw") if many <= FETCHED else self._sieved(needed)
+        return rows.groupBy("raw").agg(F.first("text").alias("text"))
+
+    def _sieved(self, needed: DataFrame) -> DataFrame:
+        slot = needed.select(F.shiftrightunsigned("raw", 64 - SIEVE_BITS).alias("slot"))
+        got = slot.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 63 AS INT)))").alias("bits")).toArrow()
+        table = np.zeros(1 << (SIEVE_BITS - 6), dtype=np.uint64)
+        table[got.column("at").to_numpy()] = as_hash(got.column("bits").to_numpy())
+        sieve = needed.sparkSession.sparkContext.broadcast(table)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                slot = as_hash(b.column(0).to_numpy()) >> U(64 - SIEVE_BITS)
+                bit = sieve.value[(slot >> U(6)).astype(np.int64)] >> (slot & U(63)) & U(1)
+                yield b.filter(pa.array(bit.astype(bool)))
+
+        return self.rows.mapInArrow(run, "raw bigint, text string")
+
+    def verified(self, pairs: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
+        """(a, b, similarity) of the pairs (a, b) of classes of ``sig`` whose exact Jaccard
+        reaches ``threshold``. Pairs go to the least class beside their a, so that a text
+        is sent once for a group of near copies, and by their a to several places where
+        there are too many for one."""
+        needed = _lean(sig.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi").select("key", "raw", "n"))
+        many, total = needed.agg(F.count(F.lit(1)), F.sum("n")).first()
+        buckets = max(2 * pairs.sparkSession.sparkContext.defaultParallelism, (total or 0) // BUCKET)
+        hub = _both(pairs).groupBy(F.col("u").alias("a")).agg(F.least("a", F.min("v")).alias("hub"))
+        placed = pairs.join(hub, "a")
+        shares = placed.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET)).alias("shares")).filter("shares > 1")
+        share = F.coalesce(F.pmod(F.xxhash64("a"), "shares"), F.lit(0).cast("bigint"))
+        placed = placed.join(shares, "hub", "left").select(F.pmod(F.xxhash64("hub", share), F.lit(buckets)).alias("bucket"), "a", "b")
+        placed = _lean(placed)
+        asked = placed.select(F.col("bucket").alias("place"), F.explode(F.array("a", "b")).alias("key")).distinct().join(needed.select("key", "raw"), "key")
+        texts = asked.join(self.of(needed.select("raw"), many), "raw").select("place", "key", "text")
+        k = self.k
+
+        def run(pair: pa.Table, text: pa.Table) -> pa.Table:
+            hashes = WordHashes()
+            at = {key: i for i, key in enumerate(text.column("key").to_pylist())}
+            sets = [np.unique(shingles(hashes(words(t)), k)) for t in text.column("text").to_pylist()]
+            a, b = (pair.column(c).to_numpy() for c in "ab")
+            alike = np.empty(len(a))
+            for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+                x, y = sets[at[x]], sets[at[y]]
+                place = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                shared = int((x[place] == y).sum())
+                alike[i] = shared / (len(x) + len(y) - shared)
+            near = alike >= threshold
+            return pa.table({"a": a[near], "b": b[near], "similarity": alike[near]})
+
+        return placed.groupBy("bucket").cogroup(texts.groupBy("place")).applyInArrow(run, "a bigint, b bigint, similarity double")
+
+
+def class_links(sig: DataFrame, texts: Texts, threshold: float) -> DataFrame:
     """(a, b, similarity), a < b, of signed classes whose exact Jaccard reaches ``threshold``."""
-    return verified(_meeting(banded(sig), threshold), sig.select("key", "sh"), threshold)
+    return texts.verified(_meeting(sig, lambda band: _self_join(band, threshold)), sig, threshold)
 
 
-def class_groups(sig: DataFrame, threshold: float) -> DataFrame:
+def class_groups(sig: DataFrame, texts: Texts, threshold: float) -> DataFrame:
     """(key, group): the components of class_links, without listing the pairs of a large
     group. Every class of a band is checked against the band's least one alone, and
     the groups that this makes are taken; only classes that share a band but no group
     then meet. What is left out are links inside a group, so the groups are the same."""
-    sets, band = sig.select("key", "sh"), banded(sig)
-    hub = band.groupBy("band").agg(F.min(F.struct("key", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", F.col("hub.key").alias("a"), F.col("hub.n").alias("na"))
-    near = F.least("n", "na") >= F.greatest("n", "na") * F.lit(threshold)
-    star = band.join(hub, "band").filter((F.col("key") > F.col("a")) & near).select("a", F.col("key").alias("b")).distinct()
-    first = cut(verified(star, sets, threshold).select("a", "b"))
-    group = cut(components(sig.select("key"), first))
-    placed = band.join(group, "key")
-    mixed = placed.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("band")
-    more = _meeting(placed.join(mixed, "band"), threshold, F.col("a.group") != F.col("b.group"))
-    second = cut(verified(more, sets, threshold).select("a", "b"))
+    longs = [f"s{i}" for i in range(WORDS)]
+
+    def star(band: DataFrame) -> DataFrame:
+        hub = band.groupBy("band").agg(F.min(F.struct("key", "n", *longs)).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "hub.*")
+        near = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") < F.col("b.key")) & _near("a", "b", threshold)
+        return hub.alias("a").join(band.alias("b"), near).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+
+    def across(band: DataFrame) -> DataFrame:
+        mixed = band.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("band")
+        return _self_join(band.join(mixed, "band"), threshold, F.col("a.group") != F.col("b.group"))
+
+    first = _lean(texts.verified(_meeting(sig, star), sig, threshold).select("a", "b"))
+    group = _lean(components(sig.select("key"), first))
+    second = _lean(texts.verified(_meeting(_lean(sig.join(group, "key")), across, "group"), sig, threshold).select("a", "b"))
     if second.isEmpty():
         return group
     return components(sig.select("key"), first.unionByName(second))
@@ -229,27 +322,27 @@ def class_groups(sig: DataFrame, threshold: float) -> DataFrame:
 
 def signed_texts(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(members, classes): members (id, key) gives each text's class of equal word
-    sequences, classes (key, sh, bands) are signed.
+    sequences, classes (key, raw, n, bands, sketch) are signed.
 
     Nulls, empty texts and texts of fewer than ``k`` words are in no class. Repeated
     rows share a class. Other columns of ``df`` play no part, whatever their names.
     """
-    rows = cut(keyed(spread(df), id_col, text_col, k))
-    return rows.select("id", "key"), cut(signed_classes(rows.groupBy("key").agg(F.first("sh").alias("sh"))))
+    rows = cut(signed_rows(spread(df), id_col, text_col, k))
+    return rows.select("id", "key"), _lean(rows.filter("n > 0").drop("id").dropDuplicates(["key"]))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8):
     """(members, links): members (id, key) of signed_texts, links (a, b, similarity) the
     pairs of different classes that are near."""
     members, sig = signed_texts(df, id_col, text_col, k)
-    return members, class_links(sig, threshold)
+    return members, class_links(sig, Texts(df, text_col, k), threshold)
 
 
 def near_groups(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """(id, key, group): each text with its class of equal word sequences and the group
     of classes that near pairs connect; texts as in signed_texts."""
     members, sig = signed_texts(df, id_col, text_col, k)
-    return members.join(class_groups(sig, threshold), "key").select("id", "key", "group")
+    return members.join(class_groups(sig, Texts(df, text_col, k), threshold), "key").select("id", "key", "group")
 
 
 def row_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ import functools
 import hashlib
 import random
 import re
+import subprocess
+import time
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.llm import abuse, common, leaks, mixing, near, overlap, pairs, quotas, scans, truncation
 from scriptoria.llm.boost import Boosted
+from scriptoria.session import checkpoint_dir
 
 WORDS = [f"parola{i}" for i in range(400)]
 
@@ -142,6 +145,24 @@ def test_recall_at_the_threshold(spark):
     assert found <= want and len(found) >= 0.995 * len(want)
 
 
+def test_near_duplicates_take_little_disk(spark):
+    """What is left in the checkpoint folder and of shuffles is bounded by the texts: sets
+    of shingles, written for every row, class and pair, were several times as large."""
+    rng = random.Random(12)
+    rows = [text(rng, 150) for _ in range(1500)]
+    rows += [edited(rng, t, 4) for t in rows[:300]] + rows[:50]
+    df = spark.createDataFrame(list(enumerate(rows)), "id bigint, text string").repartition(4)
+    jvm = spark.sparkContext._jvm
+    folders = [*jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(), checkpoint_dir(spark).removeprefix("file:")]
+    used = lambda: int(subprocess.run(["du", "-scb", *folders], capture_output=True, text=True).stdout.split()[-2])
+    jvm.System.gc()
+    time.sleep(2)
+    before = used()
+    m, links = near.near_duplicates(df, "id", "text", 3, 0.6)
+    assert near.row_pairs(m, links).count() >= 300
+    assert used() - before < 3 * sum(map(len, rows))
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, None)], "id bigint, text string")
     for x in (df, df.limit(0)):
